@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space that separates words, by contract of the queries.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +46,19 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, str], make) -> DataFrame:
+    """The columns of `keep` as they are and, beside them, those of `made` (name: type), which make() gets from the input columns, lists of Python values, a batch at a time."""
+    schema = T.StructType([*(df.schema[n] for n in keep), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in made.items())])
+    types = [to_arrow_type(schema[n].dataType) for n in made]
+
+    def run(batches):
+        for b in batches:
+            new = make(*(b.column(n).to_pylist() for n in inputs))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *(pa.array(x, k) for x, k in zip(new, types, strict=True))], names=[*keep, *made])
+
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- hashed words and shingles
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, mix, shingle_sets, table, written
+from .common import forget, mapped, mix, shingle_sets, table, written
 from .graph import components
 
 BANDS, ROWS = 32, 6
@@ -72,26 +72,19 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def _sketched(width: int):
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for hashes in shingle_sets(pdf["text"], width):
-                registers = sketch(hashes)
-                folded = mix(hashes)
-                lo = int(np.bitwise_xor.reduce(folded)) if len(hashes) else 0
-                hi = int(folded.sum(dtype=np.uint64))
-                rows.append((len(hashes), f"{hi:016x}{lo:016x}", registers.tobytes() if len(hashes) else None, bands(registers).view(np.int64)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [x[0] for x in rows], "set_key": [x[1] for x in rows], "registers": [x[2] for x in rows], "bands": [x[3] for x in rows]})
+    def run(texts):
+        out = []
+        for hashes in shingle_sets(texts, width):
+            registers, folded = sketch(hashes), mix(hashes)
+            key = f"{int(folded.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(folded)):016x}"
+            out.append((len(hashes), key, registers.tobytes() if len(hashes) else None, bands(registers).view(np.int64)))
+        return list(zip(*out, strict=True)) or [[]] * 4
 
     return run
 
 
 def _sets(width: int):
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "hashes": [x.view(np.int64) for x in shingle_sets(pdf["text"], width)]})
-
-    return run
+    return lambda texts: [[x.view(np.int64) for x in shingle_sets(texts, width)]]
 
 
 def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -116,8 +109,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs (a, b, na, nb) and both, the size of the intersection of the full sets."""
     nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    found = texts.join(nodes, "node", "left_semi").mapInPandas(_sets(width), "node long, hashes array<long>")
-    found = written(found, "sets")
+    found = written(mapped(texts.join(nodes, "node", "left_semi"), ["node"], ["text"], {"hashes": "array<long>"}, _sets(width)), "sets")
     b = found.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     a = found.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     out = pairs.join(b, "b").join(a, "a").select(*pairs.columns, F.size(F.array_intersect("ha", "hb")).alias("both"))
@@ -135,7 +127,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id link nothing and get the component of an equal set, else null. kept: doc_id equals component_id, nulls included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(docs.mapInPandas(_sketched(width), "doc_id long, n_shingles long, set_key string, registers binary, bands array<long>"), "sketched")
+    sketched = written(mapped(docs, ["doc_id"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")
     some = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     keys = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     heads = written(some.join(keys.select(F.col("set_key").alias("k"), "node"), F.expr("set_key = k AND doc_id = node")).dropDuplicates(["set_key"]).select("node", "set_key", "n_shingles", "registers", "bands"), "heads")

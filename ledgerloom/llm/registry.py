@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import langid, minhash, quality
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (minhash.op1_minhash_dedup,)}
+    return {f.__name__: f for f in (minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
