@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, quality
+from . import langid, minhash, mixing, quality, sharding
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id)}
+    return {
+        f.__name__: f
+        for f in (
+            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id, sharding.op7_consistent_sharding, mixing.op9_source_mix,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
