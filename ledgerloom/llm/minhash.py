@@ -8,9 +8,10 @@ that are far off, and the full sets decide the rest.
 
 Copies: equal sets are one node. Within a band's bucket every node is first held against the
 bucket's smallest node only. Buckets that are then of one component need nothing more. In the
-others, two nodes of different components are held against each other unless the triangle
-inequality of the Jaccard distance, through the bucket's smallest node, rules a link out. So no
-link between different components is lost and no group is expanded into all its pairs.
+others the largest component and the rest are dealt out in blocks of BLOCK nodes; a task holds
+one block against another, and gives back one link at most for each pair of components that it
+joins. So no link between different components is lost, no group is expanded into all its
+pairs, and no task gets more than two blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Standard deviations that an estimate may be off before a pair is turned away unverified.
 MARGIN = 6.0
+#: Of one register at an index of 0.85 or 0.8: sqrt(J (1 - J)) at most.
+SPREAD = 0.4
+#: Nodes of a side of one comparison task.
+BLOCK = 512
 
 _probe = mix(np.arange(REGISTERS * 64, dtype=np.uint64).reshape(64, REGISTERS) + np.uint64(7919)) % np.uint64(REGISTERS)
 _band_salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(104729))
@@ -83,8 +88,34 @@ def _sketched(width: int):
     return run
 
 
-def _sets(width: int):
-    return lambda texts: [[x.view(np.int64) for x in shingle_sets(texts, width)]]
+def _sets(width: int, wanted: np.ndarray):
+    """Full sets of the nodes whose bit is set; of others, null."""
+    bits = np.uint64(len(wanted) * 64 - 1)
+
+    def run(nodes, texts):
+        h = mix(np.array([x if x is not None else -1 for x in nodes], np.int64).view(np.uint64)) & bits
+        hit = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+        found = shingle_sets([t for t, x in zip(texts, hit, strict=True) if x], width)
+        return [[next(found).view(np.int64) if x else None for x in hit]]
+
+    return run
+
+
+#: Bits of the filter that says which texts to read again: so many a node, up to a fixed size.
+FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
+
+
+def _full_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of the nodes. Their texts are picked by a broadcast filter of bounded size, so texts are never shuffled; what it lets pass wrongly goes in the later join."""
+    n = nodes.count()
+    size = min(FILTER_BITS_MOST, max(1 << 16, 1 << int(n * FILTER_BITS_EACH).bit_length()))
+    at = mapped(nodes.select("node"), [], ["node"], {"bit": "long"}, lambda x: [(mix(np.array(x, np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)])
+    words = at.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
+    wanted = np.zeros(size // 64, np.int64)
+    got = words.toPandas()  # FILTER_BITS_MOST / 64 rows at most
+    wanted[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted.view(np.uint64))
+    return mapped(texts, ["node"], ["node", "text"], {"hashes": "array<long>"}, lambda i, t: _sets(width, shared.value)(i, t)).where("hashes IS NOT NULL")
 
 
 def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -101,21 +132,48 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     # expected share of registers whose minima differ and yet agree in zeros and mantissa
     share = F.col("na") * F.col("nb") * 4.0 / ((F.col("na") + F.col("nb")) * (F.col("na") + F.col("nb")))
     chance = F.lit(0.1699) * share * (2.0**-MANTISSA) * 2
-    out = pairs.join(b, "b").join(a, "a").withColumn("c", F.pandas_udf(_compared, "struct<matches int, valid int>")("ra", "rb")).withColumn("chance", chance)
+    out = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").withColumn("c", F.pandas_udf(_compared, "struct<matches int, valid int>")("ra", "rb")).withColumn("chance", chance)
     est = F.greatest(F.lit(0.0), (F.col("c.matches") / F.col("c.valid") - F.col("chance")) / (1 - F.col("chance")))
-    return out.select(*pairs.columns, "na", "nb", est.alias("est"), (MARGIN * 0.5 / F.sqrt(F.col("c.valid"))).alias("slack"), (MARGIN * 0.36 / F.sqrt(F.col("c.valid"))).alias("near"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (a, b, na, nb) and both, the size of the intersection of the full sets."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    found = written(mapped(texts.join(nodes, "node", "left_semi"), ["node"], ["text"], {"hashes": "array<long>"}, _sets(width)), "sets")
-    b = found.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    a = found.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    out = pairs.join(b, "b").join(a, "a").select(*pairs.columns, F.size(F.array_intersect("ha", "hb")).alias("both"))
-    out = written(out.withColumn("linked", F.expr(f"100L * both >= {percent}L * (na + nb - both)")), "verified")
-    forget(found)
-    return out
+    return out.select(*pairs.columns, "na", "nb", (est + MARGIN * SPREAD / F.sqrt(F.col("c.valid"))).alias("at_most"))
+
+
+def _block_links(percent: int):
+    """Between the nodes of two sides (or of one with itself) of different components: links that join two of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["hashes"]]
+        sizes = np.array([len(x) for x in sets])
+        registers = np.array([sketch(x) for x in sets])
+        values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(inverse, kind="stable")
+        posted, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
+        mine = np.split(inverse, np.cumsum(sizes)[:-1])
+        comp, side = pdf["comp"].to_numpy().copy(), pdf["side"].to_numpy()
+        both_sides = len(set(side)) > 1
+        out = []
+        for i in range(len(sets)):
+            open_ = comp != comp[i]
+            open_ &= (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * percent)
+            open_ &= (side != side[i]) if both_sides else (np.arange(len(sets)) > i)
+            at = np.flatnonzero(open_)
+            if not len(at):
+                continue
+            some = (registers[at] != 0) | (registers[i] != 0)
+            chance = 0.1699 * 8 * 2.0**-MANTISSA * sizes[at] * sizes[i] / (sizes[at] + sizes[i]) ** 2.0
+            est = (((registers[at] == registers[i]) & some).sum(1) / some.sum(1) - chance) / (1 - chance)
+            at = at[est + MARGIN * SPREAD / np.sqrt(some.sum(1)) >= percent / 100]
+            if not len(at):
+                continue
+            both = np.bincount(np.concatenate([posted[starts[v] : starts[v + 1]] for v in mine[i]]), minlength=len(sets))[at]
+            for j in at[both * 100 >= percent * (sizes[at] + sizes[i] - both)]:
+                if comp[j] != comp[i]:
+                    out.append((pdf["node"][i], pdf["node"][j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame({"a": [x[0] for x in out], "b": [x[1] for x in out]}, dtype="int64")
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -128,51 +186,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = written(mapped(docs, ["doc_id"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")
-    some = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    keys = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    heads = written(some.join(keys.select(F.col("set_key").alias("k"), "node"), F.expr("set_key = k AND doc_id = node")).dropDuplicates(["set_key"]).select("node", "set_key", "n_shingles", "registers", "bands"), "heads")
+    head = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands")).alias("head")
+    heads = written(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(head).select("set_key", "head.*"), "heads")
     texts = docs.withColumnRenamed("doc_id", "node")
 
+    # every node of a bucket against its smallest
     in_band = heads.select("node", F.explode(F.array_distinct("bands")).alias("band"))
     leaders = in_band.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(in_band.join(leaders, "band"), "members")  # members of buckets of two or more
+    members = written(in_band.hint("merge").join(leaders, "band"), "members")  # of buckets of two or more
     stars = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    judged = written(_estimated(stars, heads), "stars")
-    bound = percent / 100.0
-    close = judged.where(F.col("est") + F.col("near") >= bound)
-    first = _verified(close.select("a", "b", "na", "nb"), texts, width, percent)
-    links = first.where("linked").select("a", "b")
+    close = written(_estimated(stars, heads).where(F.col("at_most") >= percent / 100.0).select("a", "b", "na", "nb"), "close")
+    nodes = members.select("node").distinct()
+    full = written(_full_sets(nodes, texts, width).join(nodes.hint("merge"), "node", "left_semi"), "full")
+    a, b = (full.select(F.col("node").alias(n), F.col("hashes").alias(f"h{n}")) for n in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    links = close.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * F.lit(100) >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     labels = written(components(links), "labels")
 
-    # what the leaders leave open: nodes of different components in one bucket
-    named = labels.select(F.col("node"), F.col("component").alias("comp"))
-    placed = members.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_bands = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    exact = first.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    far = judged.join(exact, ["a", "b"], "left").select(
-        F.col("a").alias("leader"), F.col("b").alias("node"),
-        F.coalesce("d", 1 - F.least(F.lit(1.0), F.col("est") + F.col("slack"))).alias("near_d"),
-        F.coalesce("d", 1 - F.greatest(F.lit(0.0), F.col("est") - F.col("slack"))).alias("far_d"),
-    )
-    rest = written(
-        placed.join(open_bands, "band").join(far, ["leader", "node"], "left")
-        .where("node != leader").join(heads.select("node", "n_shingles"), "node").select("band", "node", "comp", "near_d", "far_d", "n_shingles"), "rest")
-    reach = 1 - bound
-    x = rest.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("near_d").alias("la"), F.col("far_d").alias("fa"), F.col("n_shingles").alias("sa"))
-    y = rest.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("near_d").alias("lb"), F.col("far_d").alias("fb"), F.col("n_shingles").alias("sb"))
-    crossed = x.join(y, "band").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (F.col("la") - F.col("fb") <= reach) & (F.col("lb") - F.col("fa") <= reach)
-        & (F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent)
-    ).select("a", "b").distinct()
-    crossed = crossed.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    crossed = written(_estimated(crossed, heads).where(F.col("est") + F.col("near") >= bound).select("a", "b", "na", "nb"), "crossed")
-    second = _verified(crossed, texts, width, percent)
-    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second.where("linked").select("a", "b"))
-    labels2 = written(components(links), "labels")
-    forget(members, judged, first, labels, rest, crossed, second)
-
-    joined = keys.join(labels2, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_set"))
+    # what the smallest leaves open: nodes of different components in one bucket
+    placed = members.select("band", "node").join(labels.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    opened = counts.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("comps > 1")
+    opened = opened.select("band", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("r"))
+    spot = F.xxhash64(F.lit("block"), "node")
+    dealt = placed.join(opened.hint("merge"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(spot, F.when(F.col("is_main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    against_main = "transform(sequence(0, m - 1), i -> struct(0 as kind, i as i, own as j, 1 as side))"
+    against_rest = "transform(sequence(0, r - 1), i -> struct(1 as kind, least(i, own) as i, greatest(i, own) as j, if(own < i, 0, if(own > i, 1, 0)) as side))"
+    tasks = F.when(F.col("is_main"), F.expr("transform(sequence(0, r - 1), j -> struct(0 as kind, own as i, j as j, 0 as side))")).otherwise(F.expr(f"concat({against_main}, {against_rest})"))
+    dealt = dealt.select("band", "node", "comp", F.explode(tasks).alias("task")).select("band", "node", "comp", "task.*")
+    more = dealt.join(full.hint("merge"), "node").groupBy("band", "kind", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels2 = written(components(known.union(more)), "labels")
+    forget(members, close, full, labels)
+
+    joined = heads.select("set_key", "node").join(labels2, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_set"))
     return (
         sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
         .join(joined, "set_key", "left")
