@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, quality, sharding
+from . import langid, minhash, mixing, quality, sharding, sketches, tokens
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id, sharding.op7_consistent_sharding, mixing.op9_source_mix,
+            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id, sharding.op7_consistent_sharding,
+            tokens.op8_token_counts, mixing.op9_source_mix, sketches.op10_fingerprints,
         )
     }
 
