@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, quality, sharding, sketches, tokens
+from . import decontam, langid, minhash, mixing, quality, sharding, sketches, tokens
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id, sharding.op7_consistent_sharding,
+            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id,
+            decontam.op5_decontamination, sharding.op7_consistent_sharding,
             tokens.op8_token_counts, mixing.op9_source_mix, sketches.op10_fingerprints,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.OP1_SQL}
+    return {"op1_minhash_dedup": minhash.OP1_SQL, "op5_decontamination": decontam.OP5_SQL}
