@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, mixing, quality, sharding, sketches, tokens
+from . import decontam, html, langid, minhash, mixing, quality, sharding, sketches, tokens
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            minhash.op1_minhash_dedup, quality.op2_quality_classifier, langid.op4_language_id,
+            minhash.op1_minhash_dedup, quality.op2_quality_classifier, html.op3_html_extraction, langid.op4_language_id,
             decontam.op5_decontamination, sharding.op7_consistent_sharding,
             tokens.op8_token_counts, mixing.op9_source_mix, sketches.op10_fingerprints,
         )
@@ -17,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.OP1_SQL, "op5_decontamination": decontam.OP5_SQL}
+    return {"op1_minhash_dedup": minhash.OP1_SQL, "op3_html_extraction": html.OP3_SQL, "op5_decontamination": decontam.OP5_SQL}
