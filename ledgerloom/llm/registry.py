@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, langid, minhash, mixing, quality, sharding, sketches, tokens
+from . import decontam, html, langid, minhash, mixing, quality, sharding, sketches, tokens, urls
 
 
 def queries() -> dict:
@@ -10,7 +10,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             minhash.op1_minhash_dedup, quality.op2_quality_classifier, html.op3_html_extraction, langid.op4_language_id,
-            decontam.op5_decontamination, sharding.op7_consistent_sharding,
+            decontam.op5_decontamination, urls.op6_url_filter, sharding.op7_consistent_sharding,
             tokens.op8_token_counts, mixing.op9_source_mix, sketches.op10_fingerprints,
         )
     }
