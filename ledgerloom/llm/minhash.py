@@ -177,18 +177,18 @@ def _block_links(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are not read).
+    """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) for each row of docs (doc_id, text; other columns are not read).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `width`-word
     shingles; component_id is the smallest doc_id that links reach. A null or empty text has no
     shingle and no link. Every row is judged by its own text, also if a doc_id comes twice. Rows without
     doc_id link nothing and get the component of an equal set, else null. kept: doc_id equals component_id, nulls included.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(mapped(docs, ["doc_id"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")
     head = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands")).alias("head")
     heads = written(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(head).select("set_key", "head.*"), "heads")
-    texts = docs.withColumnRenamed("doc_id", "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
 
     # every node of a bucket against its smallest
     in_band = heads.select("node", F.explode(F.array_distinct("bands")).alias("band"))
@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = close.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * F.lit(100) >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     labels = written(components(links), "labels")
 
-    # what the smallest leaves open: nodes of different components in one bucket
-    placed = members.select("band", "node").join(labels.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # what the smallest leaves open: other nodes of different components in one bucket
+    placed = members.where("node != leader").select("band", "node").join(labels.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     opened = counts.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("comps > 1")
     opened = opened.select("band", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("r"))
@@ -222,16 +222,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     joined = heads.select("set_key", "node").join(labels2, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_set"))
     return (
-        sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
+        sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
         .join(joined, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "text_key", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
     )
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles and 85 percent, by contract, over the whole documents table."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
 
 
 #: Exact single-linkage groups by an inverted index of shingles; components by repeated minima.
