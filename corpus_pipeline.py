@@ -1,3 +1,67 @@
+"""A training corpus in five stages: each works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import decontam, langid, minhash, mixing, sharding
+from ledgerloom.llm.common import shared_dir, table, written
+from ledgerloom.llm.sampling import fold
+
+#: Documents whose language the model is less sure of than this go, as those without a letter do.
+LEAST_SURE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language; the model comes from the labelled rows of the training folds of documents."""
+    model = langid.fit(table(spark, sf_dir, "documents").where(fold(4) != 2))
+    found = langid.identified(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group (five-word shingles, 0.8): that with the smallest doc_id. Of rows alike in doc_id and text one stays."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = minhash.near_duplicates(docs).where("kept").select(key.alias("key"), F.coalesce("text_key", F.lit(0)).alias("text_key")).distinct()
+    keyed = docs.withColumn("__key", key).withColumn("__text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    found = keyed.join(kept.hint("merge"), (F.col("__key") == F.col("key")) & (F.col("__text_key") == F.col("text_key")), "left_semi")
+    return found.dropDuplicates(["__key", "__text_key"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("t")).distinct()
+    return docs.join(found.hint("merge"), F.xxhash64("text") == F.col("t"), "left_anti")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    chosen = mixing.mixed(docs, docs.columns).where("times > 0")
+    return chosen.select(*docs.columns, F.explode(F.expr("sequence(1, times)")).alias("__copy")).drop("__copy")
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each row."""
+    return sharding.placed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("sharding", sharded),
+]
+
+#: Learned models and seeded choices are no SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet in the shared folder and read again."""
+    shared_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
