@@ -45,9 +45,8 @@ def is_junk(phrase: Column) -> Column:
     return F.size(F.filter(F.split(squeezed(phrase), " "), lambda w: ~w.isin("", *lx.NO_METRIC))) == 0
 
 
-def fact_family(attribute: Column, is_percent: Column, evidence: Column) -> Column:
-    """The family of a fact: a percentage of GDP or GVA is a growth rate in a context of growth, else a share."""
+def fact_family(plain: Column, attribute: Column, is_percent: Column, evidence: Column) -> Column:
+    """The family of a fact, of its attribute's: a percentage of GDP or GVA is a growth rate in a context of growth, else a share."""
     suffix = F.when(evidence.rlike("(?iU)" + lx.GROWTH), " growth").otherwise(" share")
     nominal = attribute.rlike(r"(?iU)\bnominal\b") | F.left(evidence, F.lit(120)).rlike(r"(?iU)\bnominal\b")
-    named = lambda plain: F.when(is_percent & plain.isin("gdp", "gva"), F.concat(F.when(nominal, "nominal ").otherwise(""), plain, suffix)).otherwise(plain)
-    return let(family(attribute), named)
+    return F.when(is_percent & plain.isin("gdp", "gva"), F.concat(F.when(nominal, "nominal ").otherwise(""), plain, suffix)).otherwise(plain)
