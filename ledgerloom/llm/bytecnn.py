@@ -22,11 +22,12 @@ class ByteCnn:
     #: Windows that are convolved at once: their activations stay in the cache.
     BATCH = 64
 
-    def __init__(self, widths: dict[int, int], outputs: int, features: int, seed: int):
+    def __init__(self, widths: dict[int, int], outputs: int, features: int, seed: int, sees_padding: bool = False):
         rng = np.random.default_rng(seed)
         self.tables = [rng.normal(0, 1 / np.sqrt(w), (w, 256, f)).astype(np.float32) for w, f in widths.items()]
+        self.sees_padding = sees_padding  # else filters answer 0 to it
         for t in self.tables:
-            t[:, 0] = 0  # padding
+            t[:, 0] *= sees_padding
         self.bias = np.full(sum(widths.values()), -0.5, np.float32)
         self.dense = rng.normal(0, 0.1, (features, outputs)).astype(np.float32)
         self.dense_bias = np.zeros(outputs, np.float32)
@@ -59,7 +60,7 @@ class ByteCnn:
             for j in range(len(t)):
                 cell = x[rows, at[:, k : k + f] + j].astype(np.int64) * f + np.arange(f)
                 g[j] = np.bincount(cell.ravel(), grad[:, k : k + f].ravel(), 256 * f).reshape(256, f)
-            g[:, 0] = 0
+            g[:, 0] *= self.sees_padding
             out.append(g)
             k += f
         return out

@@ -1,7 +1,7 @@
 """Quality scores by a byte-level convolutional network.
 
-A document is cut into overlapping chunks that cover all of it. Filters over bytes are max-pooled
-in each chunk; the mean and the maximum over the chunks go into one logistic unit. The network
+A document is cut into overlapping chunks that cover all of it. Filters over bytes (and over the
+padding of the last chunk, by which short texts are known) are max-pooled in each chunk; the mean and the maximum over the chunks go into one logistic unit. The network
 is fitted in numpy on a bounded sample of labelled rows; the odds are set back to those of all
 labelled rows of the training folds.
 """
@@ -19,9 +19,9 @@ from .common import mapped, table
 from .sampling import fold, thinned, windowed
 
 CHUNK, STRIDE = 256, 192
-WIDTHS = {6: 16}
+WIDTHS = {3: 8, 6: 16}
 #: Bounds of the sample: documents of each label, chunks of each document.
-EACH, MOST_CHUNKS = 1500, 12
+EACH, MOST_CHUNKS = 2000, 12
 THRESHOLD = 0.3
 
 
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Quality:
     y = np.array(y, int)
     if len(set(y)) < 2:
         return Quality(None, 0.0)
-    net = ByteCnn(WIDTHS, 2, 2 * sum(WIDTHS.values()), seed=11)
+    net = ByteCnn(WIDTHS, 2, 2 * sum(WIDTHS.values()), seed=11, sees_padding=True)
     epochs = int(np.clip(20_000 // max(1, len(y)), 6, 40))
     trained(net, samples, y, _spread, epochs, batch=32, seed=12)
     return Quality(net, float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum())))
