@@ -9,15 +9,12 @@ from ledgerloom.llm import decontam, langid, minhash, mixing, sharding
 from ledgerloom.llm.common import shared_dir, table, written
 from ledgerloom.llm.sampling import fold
 
-#: Documents whose language the model is less sure of than this go, as those without a letter do.
-LEAST_SURE = 0.4
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; the model comes from the labelled rows of the training folds of documents."""
+    """Drops documents without a language (null texts and texts without a letter); the model comes from the labelled rows of the training folds of documents."""
     model = langid.fit(table(spark, sf_dir, "documents").where(fold(4) != 2))
     found = langid.identified(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
