@@ -1,0 +1,42 @@
+"""Every core query runs on the smallest tables and agrees with its SQL."""
+
+import pytest
+
+from ledgerloom.plans import queries as core
+
+WITHOUT_SQL = sorted(set(core.QUERIES) - set(core.ORACLE))
+
+
+@pytest.mark.parametrize("name", sorted(core.ORACLE))
+def test_agrees_with_sql(spark, small, duck, same_rows, name):
+    same_rows(core.QUERIES[name](spark, small), duck, core.ORACLE[name])
+
+
+@pytest.mark.parametrize("name", WITHOUT_SQL)
+def test_runs(spark, small, name):
+    assert core.QUERIES[name](spark, small).columns
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert set(core.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0
+
+
+def test_primary_entity_by_counting(spark, small):
+    """Against a plain count of names."""
+    import re
+    from collections import Counter
+
+    from ledgerloom import lexicon as lx
+
+    texts: dict = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        texts.setdefault(f"{r['source']}-{r['lang']}", []).append(r["text"])
+    stops = {*lx.NO_SUBJECT, *lx.NO_ENTITY}
+    expected = {}
+    for key, parts in texts.items():
+        count = Counter(t for t in re.findall(lx.PROPER_NOUN, "\n".join(parts)[:400_000]) if t not in stops and t.lower() not in lx.LEGAL_SUFFIXES)
+        expected[key] = count.most_common(1)[0][0] if count else key
+    assert {r["document_id"]: r["primary_entity"] for r in core.QUERIES["primary_entity"](spark, small).collect()} == expected
