@@ -52,16 +52,27 @@ def _blocks(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, o).bitwiseAND(F.lit((1 << n) - 1)).alias("value")) for i, (o, n) in enumerate(_block_bits())])
 
 
-def _filter(hashes: DataFrame) -> tuple[Column, int]:
-    """A literal bit array over the hashes (one bigint column), and its size in bits."""
-    n = hashes.count()
-    bits = min(FILTER_BITS_MOST, max(1 << 16, 1 << (n * FILTER_BITS_EACH).bit_length()))
-    spot = F.pmod(F.xxhash64(F.lit(1), "hash"), F.lit(bits))
-    words = hashes.select(spot.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()  # bits / 64 rows at most
+def _spots(h: Column, bits: int) -> list[Column]:
+    """Two places in a filter of 2^24 bits at most, from different bits of a hash."""
+    return [h.bitwiseAND(F.lit(bits - 1)).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)).cast("int")]
+
+
+def _filter(hashes: DataFrame):
+    """A test for hashes (one bigint column) by a literal bit array of bounded size; lets few others pass."""
+    bits = min(FILTER_BITS_MOST, max(1 << 16, 1 << (hashes.count() * FILTER_BITS_EACH).bit_length()))
+    spots = hashes.select(F.explode(F.array(*_spots(F.col("hash"), bits))).alias("b"))
+    words = spots.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).collect()  # bits / 64 rows at most
     values = [0] * (bits // 64)
     for r in words:
         values[r["w"]] = r["v"]
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), bits
+    table_ = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    bit = lambda b: F.call_function("getbit", F.get(table_, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+
+    def passes(h: Column) -> Column:
+        one, two = _spots(h, bits)
+        return bit(one) & bit(two)
+
+    return passes
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,8 +96,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     entries = written(items.select("item_id", "length", "width", F.posexplode("hashes").alias("q", "hash")), "entries")
     prints = items.select("item_id", "length", "hashes", simhash(F.col("hashes")).alias("print"))
 
-    bits, n_bits = _filter(entries.select("hash").distinct())
-    hit = lambda h: F.call_function("getbit", F.get(bits, F.shiftright(F.pmod(F.xxhash64(F.lit(1), h), F.lit(n_bits)), 6).cast("int")), F.pmod(F.xxhash64(F.lit(1), h), F.lit(n_bits)).bitwiseAND(F.lit(63)).cast("int")) == 1
+    hit = _filter(entries.select("hash").distinct())
     hashed = word_hashes(rows, "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.size("w").alias("n_words"), F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _hashes("w", k).alias("hashes")) for k in widths])).alias("s"))
     near = written(hashed.select("doc_id", "text_key", "n_words", "s.width", "s.hashes").where(F.exists("hashes", hit)).dropDuplicates(["doc_id", "text_key", "width"]), "near")
 
