@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.shared import shared_dir
+
 #: White space that separates words, by contract of the queries.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing but a reread."""
     spark = df.sparkSession
@@ -59,6 +52,21 @@ def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, st
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
 
 
+#: A key with more than one of HOT rows is dealt over SALTS tasks; there are HOT such keys at most.
+HOT, SALTS = 256, 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+    """left left-joined with right (one row a key). A key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt by a hash of `by`."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") * HOT > total).select(F.col(key), F.lit(True).alias("__hot")))  # HOT rows at most
+    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
+    a = left.join(hot, key, "left").withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return a.join(b.hint("merge"), [key, "__salt"], "left").drop("__salt")
+
+
 # ---------------------------------------------------------------- hashed words and shingles
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

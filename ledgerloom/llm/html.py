@@ -18,7 +18,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, written
+from .common import mapped, spread_join, table, written
 
 #: Pages of a host, and their share, that a valid class needs.
 LEAST_PAGES, LEAST_SHARE = 2, 0.05
@@ -184,10 +184,9 @@ def _text_key(text: str) -> int:
 
 
 def _tokens(htmls):
-    blocks, tokens = [], []
+    tokens = []
     for html in htmls:
         page = parsed(html)
-        blocks.append(page.blocks)
         held: dict[str, list[int]] = {p: [n, 0, 0] for p, n in page.paths.items()}
         texts: dict[tuple[str, int], int] = {}
         for path, text, links in page.blocks:
@@ -196,18 +195,18 @@ def _tokens(htmls):
             key = (path, _text_key(text))
             texts[key] = texts.get(key, 0) + 1
         tokens.append([(p, None, n, c, x) for p, (n, c, x) in held.items()] + [(p, t, n, 0, 0) for (p, t), n in texts.items()])
-    return [blocks, tokens]
+    return [tokens]
 
 
-def _extract(pages, classes, blocks):
+def _extract(pages, classes, htmls):
     known: dict = {}
     out = []
-    for n, c, page in zip(pages, classes, blocks, strict=True):
+    for n, c, html in zip(pages, classes, htmls, strict=True):
         key = id(c) if c is None else (n, len(c), tuple((x["pages"], x["tokens"][0]["path"], x["tokens"][0]["text"], len(x["tokens"])) for x in c))
         if key not in known:
             known[key] = Template(n or 0, c)
         template = known[key]
-        rows = [(b["path"], b["text"], b["links"]) for b in page]
+        rows = parsed(html).blocks
         body = [r for r in rows if is_article(r[0])]
         kept = [r[1] for r in body if template.keeps(r[0], _text_key(r[1]))] if body else []
         if not kept:
@@ -238,12 +237,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    made = {"blocks": "array<struct<path:string,text:string,links:int>>", "tokens": "array<struct<path:string,text:bigint,count:bigint,chars:bigint,links:bigint>>"}
-    read = written(mapped(rows, ["page_id", "url", "host"], ["html"], made, _tokens), "read")
-    tokens = read.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    made = {"tokens": "array<struct<path:string,text:bigint,count:bigint,chars:bigint,links:bigint>>"}
+    tokens = mapped(rows, ["host", "page_id", "url"], ["html"], made, _tokens)
+    tokens = tokens.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
     found = written(templates(tokens), "templates")
-    joined = read.select("page_id", "url", "host", "blocks").join(found.hint("merge"), "host", "left")
-    out = mapped(joined, ["page_id", "url"], ["pages", "classes", "blocks"], {"text": "string"}, _extract)
+    sizes = written(rows.groupBy("host").agg(F.count("*").alias("n")), "sizes")
+    joined = spread_join(rows, found, "host", "page_id", sizes)
+    out = mapped(joined, ["page_id", "url"], ["pages", "classes", "html"], {"text": "string"}, _extract)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
