@@ -13,29 +13,29 @@ from ledgerloom.llm.sampling import fold
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null texts and texts without a letter); the model comes from the labelled rows of the training folds of documents."""
     model = langid.fit(table(spark, sf_dir, "documents").where(fold(4) != 2))
-    found = langid.identified(docs, model, keep=docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identified(docs, model, keep=docs.columns, prefix="__")
+    return found.where(F.col("__lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group (five-word shingles, 0.8): that with the smallest doc_id. Of rows alike in doc_id and text one stays."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = minhash.near_duplicates(docs).where("kept").select(key.alias("key"), F.coalesce("text_key", F.lit(0)).alias("text_key")).distinct()
+    kept = minhash.near_duplicates(docs).where("kept").select(key.alias("__k"), F.coalesce("text_key", F.lit(0)).alias("__t")).distinct()
     keyed = docs.withColumn("__key", key).withColumn("__text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    found = keyed.join(kept.hint("merge"), (F.col("__key") == F.col("key")) & (F.col("__text_key") == F.col("text_key")), "left_semi")
+    found = keyed.join(kept.hint("merge"), (F.col("__key") == F.col("__k")) & (F.col("__text_key") == F.col("__t")), "left_semi")
     return found.dropDuplicates(["__key", "__text_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("t")).distinct()
-    return docs.join(found.hint("merge"), F.xxhash64("text") == F.col("t"), "left_anti")
+    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("__t")).distinct()
+    return docs.join(found.hint("merge"), F.xxhash64("text") == F.col("__t"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    chosen = mixing.mixed(docs, docs.columns).where("times > 0")
-    return chosen.select(*docs.columns, F.explode(F.expr("sequence(1, times)")).alias("__copy")).drop("__copy")
+    chosen = mixing.mixed(docs, docs.columns, prefix="__").where("__times > 0")
+    return chosen.select(*docs.columns, F.explode(F.expr("sequence(1, __times)")).alias("__copy")).drop("__copy")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
