@@ -75,12 +75,12 @@ def fit(rows: DataFrame, each: int = EACH) -> Languages:
     return Languages(net, names)
 
 
-def identified(docs: DataFrame, model: Languages, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns of `keep`, lang_pred and score of each row of docs; `und` and 0 if text is null or has no letter."""
+def identified(docs: DataFrame, model: Languages, keep: list[str] = ["doc_id"], prefix: str = "") -> DataFrame:  # noqa: B006
+    """The columns of `keep`, lang_pred and score (behind the prefix) of each row of docs; `und` and 0 if text is null or has no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
     docs = docs.select(*dict.fromkeys([*keep, "text"]), letter)
-    return mapped(docs, keep, ["text", "__letter"], {"lang_pred": "string", "score": "double"}, lambda texts, letters: shared.value.predict(texts, letters))
+    return mapped(docs, keep, ["text", "__letter"], {f"{prefix}lang_pred": "string", f"{prefix}score": "double"}, lambda texts, letters: shared.value.predict(texts, letters))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

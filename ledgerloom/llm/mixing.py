@@ -117,8 +117,8 @@ def _planned(goal: dict, size_of: dict):
     return run
 
 
-def mixed(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
-    """The columns of `keep`, size, source_size, target, times (copies that the mix takes) of each row of docs (doc_id, text, source).
+def mixed(docs: DataFrame, keep: list[str], seed: int = SEED, prefix: str = "") -> DataFrame:
+    """The columns of `keep` and, behind the prefix, size, source_size, target, times (copies that the mix takes) of each row of docs (doc_id, text, source).
 
     size counts words; a null text has none. A null source is one more source, the last. Sizes of
     0 are taken with the whole passes. Rows alike in all columns may swap places. No rows: no rows.
@@ -149,7 +149,7 @@ def mixed(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
     cuts = written(cuts, "cuts")
     found = same(rows, cuts, ["source", "size", "slice"])
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "id"))
-    return found.withColumn("times", F.col("passes") + (rank <= F.col("cut")).cast("int")).select(*[F.col(f"k_{n}").alias(n) for n in keep], "size", "source_size", "target", "times")
+    return found.withColumn("times", F.col("passes") + (rank <= F.col("cut")).cast("int")).select(*[F.col(f"k_{n}").alias(n) for n in keep], *[F.col(n).alias(f"{prefix}{n}") for n in ("size", "source_size", "target", "times")])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
