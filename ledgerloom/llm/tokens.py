@@ -12,13 +12,13 @@ import base64
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How such vocabularies split a text before they merge bytes (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths that one task of the suffix sums gets.
-SPAN = 4096
+SPAN = 256
 
 _encoders: dict = {}
 
@@ -51,7 +51,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     One row a distinct length. An empty table has no row. A limit between two lengths keeps what
     limit_total() says.
     """
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    h = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths").withColumn("span", F.floor(F.col("n_tokens") / SPAN))  # texts are encoded once
     spans = h.groupBy("span").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)  # one row for SPAN lengths
     spans = spans.select("span", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d_above"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t_above"))
