@@ -119,6 +119,14 @@ def primary_entity(spark, sf_dir):
     return fact_ops.primary_entities(fact_ops.full_texts(rows))
 
 
+@query()
+def corpus_facts(spark, sf_dir):
+    """All documents as pages, those of a source and language as one document: what of their noise reads as a fact, by family."""
+    name = F.concat_ws("-", "source", "lang")
+    rows = _table(spark, sf_dir, "documents").select(name.alias("document_id"), name.alias("document_name"), F.lit(1).cast("long").alias("ingest_seq"), F.col("doc_id").cast("int").alias("page"), "text", F.array().cast(fact_ops.BLOCKS_TYPE).alias("blocks"))
+    return fact_ops.extract_facts(rows).groupBy("document_name", F.col("canonical_attribute").alias("family"), "fact_type").agg(F.count("*").alias("facts"))
+
+
 # ---------------------------------------------------------------- expressions on literal phrases
 
 _VALUES = [("₹8,142 Cr", 8.142e10, "INR"), ("₹5 lakh", 5e5, "INR"), ("Rs. 12.5 crore", 1.25e8, "INR"), ("US$ 3 billion", 3e9, "USD"), ("(404)", -404.0, "count"), ("6.4 per cent", 6.4, "percent"), ("€ 1,250.50 thousand", 1250500.0, "EUR"), ("86,184", 86184.0, "count"), ("740 Mn", 7.4e8, "count"), ("12.7%", 12.7, "percent")]

@@ -6,6 +6,8 @@ so results can be held against numbers instead of text. Nations are called `Nati
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,12 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_order = of_nation.groupBy("nation", "fy").agg(
         F.sum("total").alias("orders"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("total"))).alias("final"),
         F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n"))
-    price, off, tax = (F.col(n).cast("decimal(12,2)") for n in ("l_extendedprice", "l_discount", "l_tax"))
-    net = price * (1 - off)
-    gross = (net * (1 + tax)).cast("decimal(28,6)")
+    # whole numbers inside an order, decimals between orders: both exact
+    whole = lambda n: F.round(F.col(n) * 100).cast("long")
+    net, exact = whole("l_extendedprice") * (100 - whole("l_discount")), lambda c, digits: (F.sum(F.col(c).cast("decimal(24,0)")) * F.lit(Decimal(1).scaleb(-digits))).cast(MONEY)
+    gross = net * (100 + whole("l_tax"))
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), net.alias("net"), gross.alias("gross")).groupBy("o_orderkey").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"))
-    by_line = of_nation.select("o_orderkey", "nation", "fy").join(lines, "o_orderkey").groupBy("nation", "fy").agg(F.sum("net").cast(MONEY).alias("net"), F.sum("gross").cast(MONEY).alias("lines")).withColumn("tax", F.col("lines") - F.col("net"))
+    by_line = of_nation.select("o_orderkey", "nation", "fy").join(lines, "o_orderkey").groupBy("nation", "fy").agg(exact("net", 4).alias("net"), exact("gross", 6).alias("lines")).withColumn("tax", F.col("lines") - F.col("net"))
     names = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.concat(F.lit("Nation"), F.chr(F.col("n_nationkey") + 97)).alias("entity"))
     return by_order.join(by_line, ["nation", "fy"], "left").join(names, "nation")
 

@@ -1,13 +1,27 @@
-"""Tables in the folder that driver and executors share."""
+"""What driver and executors share: a folder for tables, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies, wherever the session was started."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
