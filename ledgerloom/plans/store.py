@@ -15,6 +15,37 @@ def merged(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
     return old.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+def upserted_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Documents by id: a known one keeps what it was first stored with and takes over its state and counters."""
+    changing = ["status", "error", "primary_entity", "fact_count", "relationship_count", "processing_ms", "llm_calls"]
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, "document_id", "full")
+    is_new, is_known = F.col("n.status").isNotNull(), F.col("o.status").isNotNull()
+    pick = lambda c: F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in changing else F.when(is_known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+    return both.select("document_id", *[pick(c).alias(c) for c in old.columns if c != "document_id"])
+
+
+def documents_list(documents: DataFrame) -> DataFrame:
+    """The newest first."""
+    return documents.orderBy(F.desc("ingest_seq"), "document_id")
+
+
+def one(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The row of one id: none if it is unknown."""
+    return rows.where(F.col(key) == value)
+
+
+def facts_of_document(facts: DataFrame, document_id: str) -> DataFrame:
+    return one(facts, "document_id", document_id).orderBy("page", "seq")
+
+
+def amounts_shown(value: Column) -> Column:
+    """Large numbers in short: B, Cr and L from 1e9, 1e7 and 1e5 on."""
+    short = [(1e9, "B"), (1e7, "Cr"), (1e5, "L")]
+    out = F.coalesce(*[F.when(F.abs(value) >= least, F.concat(F.format_string("%.2f", value / least), F.lit(f" {name}"))) for least, name in short])
+    return F.coalesce(out, F.format_number(value, 2))
+
+
 def facts_list(facts: DataFrame, entity: str | None = None, attribute: str | None = None, fact_type: str | None = None, limit: int = 200) -> DataFrame:
     """Filtered by parts of names, the surest first."""
     has = lambda c, part: F.lower(c).contains(part.lower())

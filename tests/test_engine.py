@@ -145,6 +145,42 @@ def test_labelled(known):
     assert evaluate.accuracy(got).first()["accuracy"] == 0.5
 
 
+def test_answers(spark, known):
+    from ledgerloom.operators.augment import augmented
+
+    text = "Some page that says: net worth was ₹5 crore in FY2024, which is plenty of text."
+    rows = pages(spark, ("d", "n", 1, 1, text, []), ("d", "n", 1, 2, text, []), ("d", "n", 1, 3, "short", []))
+    good = '{"attribute": "net worth", "value": "₹5 crore", "period": "FY2024", "status": "actual", "evidence": "net worth was ₹5 crore", "entity": "the company"}'
+    answers = spark.createDataFrame([("d", 1, 'Sure: {"facts": [' + good + ', {"attribute": "x", "value": "7", "evidence": "made up"}]} done'), ("d", 2, "no json"), ("d", 3, '{"facts": [' + good + "]}")], "document_id string, page int, answer string")
+    got = augmented(rows, answers, spark.createDataFrame([("d", "Acme")], "document_id string, primary_entity string")).collect()
+    assert [(r["canonical_entity"], r["canonical_attribute"], r["normalized_value"], r["period_key"], r["status"], r["confidence"], r["page"]) for r in got] == [("Acme", "net worth", 5e7, "FY2024", "actual", 0.65, 1)]
+    assert {f.name for f in augmented(rows, answers, spark.createDataFrame([], "document_id string, primary_entity string")).schema} == {f.name for f in known.facts.schema}
+
+
+def test_loaded_files(spark):
+    from ledgerloom.sources import pdf
+
+    def loader(content: bytes):
+        if not content.startswith(b"%PDF-"):
+            raise ValueError("malformed")
+        return [(p, p.split("\n")) for p in content.decode().removeprefix("%PDF-").split("|")]
+
+    files = D.hashed(spark.createDataFrame([("a.pdf", bytearray(b"%PDF-one\ntwo and some more words|"), 1), ("b.pdf", bytearray(b"junk"), 2)], "name string, content binary, ingest_seq long"), "content")
+    rows = pdf.loaded(files, loader)
+    assert sorted((r["document_name"], r["page"] or 0, len(r["blocks"] or [])) for r in rows.collect()) == [("a.pdf", 1, 2), ("a.pdf", 2, 1), ("b.pdf", 0, 0)]
+    assert {r["document_name"]: (r["status"], r["error"], r["page_count"], r["scanned_pages"]) for r in pdf.document_states(rows).collect()} == {"a.pdf": ("processed", None, 2, 1), "b.pdf": ("failed", "malformed", 0, 0)}
+    assert pdf.block_spans("a b a", ["b", "a", "zz"]) == [{"block_no": 0, "text": "b", "char_start": 2, "char_end": 3}, {"block_no": 1, "text": "a", "char_start": 4, "char_end": 5}, {"block_no": 2, "text": "zz", "char_start": 0, "char_end": 2}]
+    assert pdf.document_states(pdf.loaded(files)).where("status = 'failed'").count() == 2
+
+
+def test_document_state(spark):
+    cols = "document_id string, name string, status string, fact_count int"
+    got = store.upserted_documents(spark.createDataFrame([("a", "first", "processing", 0), ("b", "b", "processed", 1)], cols), spark.createDataFrame([("a", "second", "processed", 3), ("c", "c", "failed", 0)], cols))
+    assert sorted(map(tuple, got.collect())) == [("a", "first", "processed", 3), ("b", "b", "processed", 1), ("c", "c", "failed", 0)]
+    shown = spark.createDataFrame([(2.5e9,), (81_420_000.0,), (-150_000.0,), (12.0,)], "v double").select(store.amounts_shown(F.col("v")).alias("s"))
+    assert [r["s"] for r in shown.collect()] == ["2.50 B", "8.14 Cr", "-1.50 L", "12.00"]
+
+
 def test_empty(spark):
     none = pipeline.build(pages(spark, ("d", "n", 1, 1, "", [])).limit(0))
     assert none.facts.count() == 0 and none.relationships.count() == 0
