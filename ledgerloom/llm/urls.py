@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, written
+from .common import mapped, spread_join, table, written
 
 #: Rules of the query: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -38,7 +38,7 @@ crack keygen warez torrent serial
 malware phishing scam virus
 miracle weightloss diet pills
 win prize winner claim free gift
-hot singles adult chat x
+hot singles adult chat
 ads track tracker tracking banner popup clicks""".splitlines()
 ALLOW_EXAMPLES = """news world report daily
 blog post article journal
@@ -145,7 +145,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     of_host = runs.join(words, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))  # labels of one host
     of_host = of_host.select("host", F.flatten("parts.words").alias("host_words"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    joined = rows.withColumn("rule", rule).withColumn("ruled", verdict).join(of_host.hint("merge"), "host", "left")
+    joined = spread_join(rows.withColumn("rule", rule).withColumn("ruled", verdict), written(of_host, "segments"), "host", "page_id", hosts)
     model = Bayes()
 
     def score(host_words, paths):
