@@ -181,6 +181,66 @@ def value_equivalence(spark, sf_dir):
     return rows.select("o_orderkey", F.col("a.value").alias("amount"), "fiscal_year", U.equivalent(F.col("a"), F.col("b"), 0.0).alias("same_by_rounding"))
 
 
+_LABELS = [("Revenue (₹ in million)", "million", "INR"), ("Cost (crore)", "crore", "none"), ("Active customers", "none", "INR"), ("Sales in US$ bn", "bn", "USD"), ("Team size(4)", "none", "none"), ("Loss (Rs. in lakhs)", "lakh", "INR")]
+_SCALES = [("Amounts are in ₹ Crores", "crore"), ("all figures in million", "million"), ("(₹ lakhs)", "lakh"), ("nothing of the kind", "none"), ("values: thousand", "thousand")]
+_SENTENCES = [("India's exports fell", "India"), ("Real GDP grew by 6 per cent", "Real GDP"), ("Acme Data Works reported a loss", "Acme Data Works"), ("we had a good year", "none"), ("Exports of goods rose", "none")]
+_NOTES = [("Team size(1)", "1"), ("Adjusted EBITDA(2)(3)", "2,3"), ("Plain", ""), ("Many (12)", "")]
+_HINTS = [("acme-annual-report-FY24.pdf", "acme"), ("India_Economic_Survey.pdf", "india"), ("q1.pdf", ""), ("big.data.co.txt", "big,data,txt")]
+_HALVES = [("8,142 Cr", 5e6, "count"), ("81,415.38 million", 5000.0, "count"), ("6.4 per cent", 0.05, "percentage"), ("₹5", 0.5, "monetary"), ("3.25%", 0.005, "percentage")]
+_COMPANIES = [("the Company", "Acme"), ("we", "Acme"), ("", "Acme"), ("Other Corp", "Other"), ("The Bank", "Acme")]
+
+
+def _literal_query(rows, columns: str, expressions):
+    """A query over literal phrases: its SQL lists the expected values."""
+    first, *rest = columns.split(", ")
+
+    def run(spark, sf_dir):
+        out = _phrases(spark, sf_dir, rows, first)
+        return out.select("r_regionkey", first, *[e(F.col(first)).alias(n) for n, e in zip(rest, expressions, strict=True)])
+
+    return run, f"SELECT r_regionkey, {columns} FROM {_literal(rows, columns)}, region"
+
+
+_none = lambda e: lambda c: F.coalesce(e(c), F.lit("none"))
+_halves = lambda c: U.half_width(U.parse_value(c))
+for _name, _rows, _columns, _made in (
+    ("label_units", _LABELS, "label, scale, currency", (_none(U.label_scale), _none(U.label_currency))), ("page_scales", _SCALES, "text, scale", (_none(U.page_scale),)),
+    ("sentence_entities", _SENTENCES, "sentence, entity", (_none(E.sentence_entity),)), ("footnotes", _NOTES, "label, markers", (lambda c: F.array_join(X.footnote_markers(c), ","),)),
+    ("file_name_hints", _HINTS, "name, hints", (lambda c: F.array_join(E.hint_tokens(c), ","),)), ("rounding_half_width", _HALVES, "raw, half, kind", (_halves, lambda c: U.fact_type(U.parse_value(c)))),
+    ("resolved_entities", _COMPANIES, "raw, entity", (lambda c: E.resolve_entity(c, F.lit("Acme Limited")),)),
+):
+    QUERIES[_name], ORACLE[_name] = _literal_query(_rows, _columns, _made)
+
+
+@query("""SELECT o_custkey AS key, last(o_orderkey ORDER BY o_orderkey) AS value, 'new' AS origin FROM orders GROUP BY o_custkey
+UNION ALL SELECT c_custkey, c_nationkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def merge_last_wins(spark, sf_dir):
+    """Customers overwritten by their orders: the last of one key stays."""
+    old = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value"), F.lit("old").alias("origin"), F.lit(0).cast("long").alias("seq"))
+    new = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.lit("new").alias("origin"), F.col("o_orderkey").alias("seq"))
+    return store.merged(old, new, "key", "seq").drop("seq")
+
+
+@query("""SELECT 'd' || c_custkey AS document_id, 'first' || c_nationkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 'processed' ELSE 'processing' END AS status, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 0 END AS fact_count FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'new', 'failed', 0 FROM supplier""")
+def documents_upsert(spark, sf_dir):
+    customer = _table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), "c_custkey").alias("document_id"), F.concat(F.lit("first"), "c_nationkey").alias("name"), "c_custkey", "c_nationkey")
+    old = customer.select("document_id", "name", F.lit("processing").alias("status"), F.lit(0).alias("fact_count"))
+    seen = customer.where("c_custkey % 3 = 0").select("document_id", F.lit("second").alias("name"), F.lit("processed").alias("status"), F.col("c_nationkey").alias("fact_count"))
+    fresh = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("document_id"), F.lit("new").alias("name"), F.lit("failed").alias("status"), F.lit(0).alias("fact_count"))
+    extra = {"error": F.lit(None).cast("string"), "primary_entity": F.lit(None).cast("string")}
+    return store.upserted_documents(old.withColumns(extra), seen.unionByName(fresh).withColumns(extra)).drop("error", "primary_entity")
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, l[i] AS t, CAST(i - 1 AS INT) AS block_no, CAST(coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) AS INT) AS char_start FROM l, unnest(range(1, len(l) + 1)) AS u(i))
+SELECT CAST(doc_id AS VARCHAR) AS document_id, block_no, char_start, CAST(char_start + length(t) AS INT) AS char_end FROM p WHERE t <> ''""")
+def block_offsets(spark, sf_dir):
+    """Lines of documents as blocks: each is found where it stands."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.col("text").alias("page_text"), F.posexplode(F.split("text", "\n")).alias("block_no", "text")).where("text != ''")
+    return D.block_offsets(rows).drop("page")
+
+
 @query()
 def token_set_similarity(spark, sf_dir):
     """Names of parts, each distinct pair of one last word once."""
@@ -289,7 +349,7 @@ def candidate_pairs_exact(spark, sf_dir):
     )
 
 
-@query()
+@query(FACTS_SQL + """SELECT 'lexical' AS via, count(*) AS pairs FROM stored a JOIN stored b ON a.entity = b.entity AND a.family = b.family AND a.fact_type = b.fact_type WHERE a.publisher = 'table' AND b.publisher <> 'deck'""")
 def candidate_pairs_lexical(spark, sf_dir):
     """Report facts whose phrases got one word more: subsets of words are alike, so families meet again."""
     facts = _knowledge(spark, sf_dir).facts
@@ -378,6 +438,30 @@ def consistency_checks(spark, sf_dir):
     return consistency.identity_checks(_knowledge(spark, sf_dir).facts).select("document_name", "entity", "period", "identity", "result_value", "ok")
 
 
+@query(FACTS_SQL + "SELECT document_name, entity, family, norm, period_key FROM stored WHERE publisher = 'ledger'")
+def model_answers(spark, sf_dir):
+    """The ledgers' own facts as answers of a model, each with one that its page does not bear out."""
+    from ..operators.augment import augmented
+
+    k, pages = _knowledge(spark, sf_dir), _pages(spark, sf_dir).where("publisher = 'ledger'").drop("publisher")
+    fact = F.struct(F.lit("the company").alias("entity"), "attribute", F.col("raw_value").alias("value"), F.col("period.label").alias("period"), "scope", "status", "evidence")
+    lie = F.struct(F.lit(None).cast("string").alias("entity"), "attribute", F.lit("₹ 7 crore").alias("value"), F.lit("FY2000").alias("period"), "scope", "status", F.lit("never said").alias("evidence"))
+    facts = k.facts.where("document_name LIKE 'ledger%'").groupBy("document_id", "page").agg(F.collect_list(fact).alias("a"), F.collect_list(lie).alias("b"))
+    answers = facts.select("document_id", "page", F.concat(F.lit("Here: "), F.to_json(F.struct(F.concat("a", "b").alias("facts"))), F.lit(" done")).alias("answer"))
+    entities_of = k.facts.select("document_id", F.col("canonical_entity").alias("primary_entity")).distinct()
+    return _fact_rows(augmented(pages, answers, entities_of)).select("document_name", "entity", "family", "norm", "period_key")
+
+
+@query(_PAIRS_SQL + "SELECT entity AS name, 'contextually_different' AS expected, max(relation) AS predicted FROM ruled WHERE document_a LIKE 'solo%' AND document_b LIKE 'ledger%' AND period_a = 'FY2000' AND period_b = 'FY2000' GROUP BY entity")
+def labelled_pairs(spark, sf_dir):
+    """What was found between two figures that are looked up by parts of names and values."""
+    k = _knowledge(spark, sf_dir)
+    value = lambda p: k.facts.where(F.col("document_name").startswith(p) & (F.col("period_key") == "FY2000")).select(F.col("canonical_entity").alias("entity"), F.col("raw_value").alias("v"))
+    cases = value("solo").withColumnRenamed("v", "value_a").join(value("ledger").withColumnRenamed("v", "value_b"), "entity")
+    cases = cases.select(F.col("entity").alias("name"), "entity", F.lit("revenue").alias("family"), F.lit("solo").alias("doc_a"), "value_a", F.lit("ledger").alias("doc_b"), "value_b", F.lit("contextually_different").alias("expected"))
+    return evaluate.labelled(cases, k.facts, k.relationships).select("name", "expected", "predicted")
+
+
 @query(_PAIRS_SQL + """, expected AS (SELECT *, CASE WHEN period_a = period_b AND sa = sb THEN 'contradicts' ELSE 'contextually_different' END AS expected FROM ruled WHERE document_a LIKE 'lines%' AND document_b LIKE 'ledger%')
 SELECT expected, count(*) FILTER (relation = 'corroborates') AS corroborates, count(*) FILTER (relation = 'contradicts') AS contradicts, count(*) FILTER (relation = 'contextually_different') AS contextually_different,
   count(*) FILTER (relation = 'uncertain') AS uncertain, count(*) FILTER (relation = 'related_not_comparable') AS related_not_comparable, CAST(0 AS BIGINT) AS none FROM expected GROUP BY expected""")

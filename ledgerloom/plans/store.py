@@ -89,6 +89,11 @@ def reconciliation(rels: DataFrame, relations: list[str], low: float, high: floa
     return rels.where(F.col("relation").isin(*relations) & F.col("confidence").between(low - 1e-9, high + 1e-9)).orderBy(place, F.desc("confidence"), "relationship_id")
 
 
+def checks_list(checks: DataFrame) -> DataFrame:
+    """Failures first."""
+    return checks.orderBy("ok", "entity", "document_id", "period")
+
+
 def entities(facts: DataFrame) -> DataFrame:
     return facts.groupBy(F.col("canonical_entity").alias("entity")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "entity")
 
