@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import is_scanned, printed_page, safe_name
+from .shared import written
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -77,5 +78,5 @@ def located(facts: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """ingest_seq by an order column; for a batch of documents, not for pages."""
-    return rows.withColumn("ingest_seq", F.row_number().over(Window.orderBy(order)).cast("long"))
+    """ingest_seq, a number that grows with an order column (with gaps), by a distributed sort; written, so that it stays what it is."""
+    return written(rows.orderBy(order).withColumn("ingest_seq", F.monotonically_increasing_id()), "numbered")

@@ -137,6 +137,17 @@ def test_block_offsets(spark):
     assert [(r["char_start"], r["char_end"]) for r in D.block_offsets(rows).orderBy("block_no").collect()] == [(2, 3), (4, 5), (0, 2)]
 
 
+def test_files_from_a_folder(spark, tmp_path):
+    from ledgerloom.sources import pdf
+
+    for name in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(b"%PDF-page of " + name.encode() + b" with some words")
+    files = D.numbered(D.hashed(D.checked_uploads(D.binary_files(spark, str(tmp_path))), "content").where("accepted"), "path")
+    assert [r["name"] for r in files.orderBy("ingest_seq").collect()] == ["a.pdf", "b.pdf"]
+    rows = pdf.loaded(files, lambda content: [(content.decode().removeprefix("%PDF-"), [])])
+    assert pipeline.build(rows.drop("error")).documents.count() == 2
+
+
 def test_labelled(known):
     cases = known.facts.sparkSession.createDataFrame([("r", "India", "revenue", "bulletin", "81,415.38", "deck", "8,142", "corroborates"), ("m", "India", "revenue", "none", "1", "deck", "8,142", "contradicts")],
                                                      "name string, entity string, family string, doc_a string, value_a string, doc_b string, value_b string, expected string")
