@@ -218,9 +218,9 @@ def _extract(pages, classes, htmls):
 def templates(tokens: DataFrame) -> DataFrame:
     """host, pages, classes: the valid equivalence classes of each host, of tokens (host, page, path, text, count, chars, links)."""
     seen = F.xxhash64("page", "count")
-    merged = tokens.groupBy("host", "path", "text").agg(
+    merged = written(tokens.groupBy("host", "path", "text").agg(
         F.count("*").alias("pages"), F.sum("count").alias("total"), F.sum(seen.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"),
-        F.sum(F.shiftrightunsigned(seen, 33)).alias("v2"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        F.sum(F.shiftrightunsigned(seen, 33)).alias("v2"), F.sum("chars").alias("chars"), F.sum("links").alias("links")).where((F.col("pages") >= LEAST_PAGES) | ((F.col("path") == "") & F.col("text").isNull())), "tokens")
     sizes = merged.where("path = '' AND text IS NULL").select("host", F.col("pages").alias("all"))
     valid = merged.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("all") * LEAST_SHARE)
     token = F.struct("path", "text", "chars", "links")
