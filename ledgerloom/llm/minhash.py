@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import forget, mapped, mix, shingle_sets, table, written
 from .graph import components
 
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Standard deviations that an estimate may be off before a pair is turned away unverified.
@@ -32,7 +32,7 @@ MARGIN = 6.0
 #: Of one register at an index of 0.85 or 0.8: sqrt(J (1 - J)) at most.
 SPREAD = 0.4
 #: Nodes of a side of one comparison task.
-BLOCK = 512
+BLOCK = 256
 
 _probe = mix(np.arange(REGISTERS * 64, dtype=np.uint64).reshape(64, REGISTERS) + np.uint64(7919)) % np.uint64(REGISTERS)
 _band_salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(104729))
