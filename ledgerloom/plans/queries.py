@@ -141,7 +141,7 @@ def _literal(rows, names: str) -> str:
 
 def _phrases(spark, sf_dir, rows, name: str) -> DataFrame:
     """The phrases, each as often as there are regions: literal inputs beside a table."""
-    return spark.createDataFrame([(r[0],) for r in rows], f"{name} string").crossJoin(F.broadcast(_table(spark, sf_dir, "region").select("r_regionkey")))  # a handful of rows
+    return _table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(r[0]) for r in rows])).alias(name))
 
 
 @query(f"SELECT r_regionkey, raw, amount, unit FROM {_literal(_VALUES, 'raw, amount, unit')}, region")

@@ -103,8 +103,9 @@ def stats(documents: DataFrame, facts: DataFrame, rels: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
     kinds = rels.groupBy("relation").agg(F.count("*").alias("n"))
     by_type = kinds.agg(F.sum("n").alias("relationships"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("relation", "n")))).alias("by_type"))
-    rows = n(documents, "documents").crossJoin(F.broadcast(n(facts, "facts"))).crossJoin(F.broadcast(by_type))  # one row each
-    return rows.withColumn("relationships", F.coalesce("relationships", F.lit(0)))
+    rows = n(documents, "documents").unionByName(n(facts, "facts"), True).unionByName(by_type, True)  # a row each
+    counts = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("documents", "facts", "relationships")]
+    return rows.agg(*counts, F.first("by_type", ignorenulls=True).alias("by_type"))
 
 
 def without_document(documents: DataFrame, facts: DataFrame, rels: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
