@@ -56,9 +56,10 @@ def histogram(lengths: DataFrame) -> DataFrame:
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)  # one row for SPAN lengths
     spans = spans.select("span", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d_above"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t_above"))
     here = Window.partitionBy("span").orderBy(F.desc("n_tokens"))
-    total = h.agg(F.sum("docs").alias("docs_all"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens_all"))
+    total = h.agg(F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens")).first()
+    docs_all, tokens_all = (F.lit(total[n] or 0).cast("long") for n in ("docs", "tokens"))
     out = h.join(spans, "span").withColumn("docs_from", F.sum("docs").over(here) + F.col("d_above")).withColumn("tokens_from", F.sum(F.col("docs") * F.col("n_tokens")).over(here) + F.col("t_above"))
-    out = out.crossJoin(F.broadcast(total))  # one row
+    out = out.withColumns({"docs_all": docs_all, "tokens_all": tokens_all})
     return out.select(
         "n_tokens", "docs", "docs_from", "tokens_from", "docs_all", "tokens_all",
         (F.col("tokens_all") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens")).alias("kept_at_limit"),
@@ -67,8 +68,9 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 def limit_total(suffix: DataFrame, limit: int) -> DataFrame:
     """Tokens that truncation to `limit` keeps: one row, kept."""
-    at = suffix.where(F.col("n_tokens") >= limit).agg(F.max("docs_from").alias("d"), F.max("tokens_from").alias("t"))
-    return suffix.agg(F.max("tokens_all").alias("a")).crossJoin(F.broadcast(at)).select((F.coalesce("a", F.lit(0)) - F.coalesce("t", F.lit(0)) + F.coalesce("d", F.lit(0)) * limit).alias("kept"))
+    long = F.col("n_tokens") >= limit
+    total, docs, rest = F.max("tokens_all"), F.max(F.when(long, F.col("docs_from"))), F.max(F.when(long, F.col("tokens_from")))
+    return suffix.agg((F.coalesce(total, F.lit(0)) - F.coalesce(rest, F.lit(0)) + F.coalesce(docs, F.lit(0)) * limit).alias("kept"))
 
 
 def quantile(suffix: DataFrame, q: float) -> DataFrame:
