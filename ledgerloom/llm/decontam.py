@@ -81,7 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters and digits, lower-cased; shingles have five words. An item of fewer
     words is one shingle of that length. Null and empty texts hold nothing and are no items. A
     document shorter than an item is one window. text_key is a hash of the text: rows of equal
-    doc_id and text are one document here, a null doc_id is kept as null.
+    doc_id and text are one document here, a null doc_id or item_id is kept as null. Without
+    documents or items there is no row. Other columns are not read.
     """
     word_hashes = lambda df, text: df.withColumn("w", F.transform(_words(text), lambda x: F.xxhash64(x)))
     items = word_hashes(benchmark.select("item_id", "text"), "text").withColumn("length", F.size("w")).where("length > 0").drop("text")

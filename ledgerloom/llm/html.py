@@ -37,7 +37,8 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "share sharing social breadcrumb breadcrumbs menu nav navbar navigation sidebar aside rail widget widgets related recommended recommendations trending popular comment comments disqus reply replies respond discussion reviews "
-    "footer pagination pager login search skip toolbar copyright legal disclaimer complementary contentinfo hidden".split()
+    "footer pagination pager login search skip toolbar copyright legal disclaimer complementary contentinfo hidden "
+    "adbox adslot adunit adsense adbanner topnav subnav submenu dropdown responses paywall warning".split()
 )
 OUTER_MARKS = {"header", "masthead", "topbar", "banner", "tags", "meta"}
 
@@ -233,7 +234,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. A null url, or one without host, counts as the host ''.
     Repeated rows are pages of their own. Text inside of an article or main element is preferred;
-    of pages without such, all slots count that are not dropped.
+    of pages without such, all slots count that are not dropped. Markup that never closes is closed
+    at the end. No rows give no rows. Other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))

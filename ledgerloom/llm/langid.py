@@ -76,7 +76,11 @@ def fit(rows: DataFrame, each: int = EACH) -> Languages:
 
 
 def identified(docs: DataFrame, model: Languages, keep: list[str] = ["doc_id"], prefix: str = "") -> DataFrame:  # noqa: B006
-    """The columns of `keep`, lang_pred and score (behind the prefix) of each row of docs; `und` and 0 if text is null or has no letter."""
+    """The columns of `keep`, lang_pred and score (behind the prefix) of each row of docs; `und` and 0 if text is null or has no letter.
+
+    Other columns are not read. A model without languages says `und`, one of a single language says
+    that. Equal texts get equal answers, repeated rows stay, no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
     docs = docs.select(*dict.fromkeys([*keep, "text"]), letter)

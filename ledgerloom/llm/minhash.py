@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `width`-word
     shingles; component_id is the smallest doc_id that links reach. A null or empty text has no
     shingle and no link. Every row is judged by its own text, also if a doc_id comes twice. Rows without
-    doc_id link nothing and get the component of an equal set, else null. kept: doc_id equals component_id, nulls included.
+    doc_id link nothing and get the component of an equal set, else null. No rows give no rows. kept: doc_id equals component_id, nulls included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")

@@ -59,7 +59,11 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Quality:
-    """labels: doc_id, quality (0 or 1; a document marked twice counts with its lowest mark; nulls are left out)."""
+    """A model from docs (doc_id, text) and labels (doc_id, quality: 0 or 1).
+
+    A document marked twice counts with its lowest mark; null marks and ids are left out. Without
+    labels every score is 0.5; with labels of one kind only it is 0.02 or 0.98.
+    """
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some, counts = thinned(marks, "quality", each)
     if len(counts) < 2:
@@ -77,7 +81,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Quality:
 
 
 def scored(docs: DataFrame, model: Quality) -> DataFrame:
-    """doc_id and score (0 to 1) of each row of docs (doc_id, text); null text counts as empty."""
+    """doc_id and score (0 to 1) of each row of docs (doc_id, text; other columns are not read).
+
+    A null text counts as empty; an empty text is one chunk of padding. Equal texts score alike, repeated rows stay, no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], ["text"], {"score": "double"}, lambda texts: [shared.value.scores(texts)])

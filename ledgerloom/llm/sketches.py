@@ -109,7 +109,8 @@ def fingerprinted(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """For each row of docs (doc_id, text) its fingerprint, that of its edited text, and their likeness to each other and to the next document.
 
     A null text is empty; an empty text has the fingerprint `0:` and is like empty texts only. Rows
-    of one doc_id follow each other by text. A single row is followed by itself.
+    of one doc_id follow each other by text, rows without one come last. A single row is followed by
+    itself; no rows give no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stretched(docs).repartition("stretch").sortWithinPartitions("stretch", "guest", F.col("doc_id").isNull(), "doc_id", "text")

@@ -34,7 +34,11 @@ def encoder(name: str, raw: bytes):
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns of `keep` and n_tokens of each row of docs (text). Null and empty texts have 0; special tokens' strings are ordinary text."""
+    """The columns of `keep` and n_tokens of each row of docs (text).
+
+    Null and empty texts have 0; special tokens' strings are ordinary text. Repeated rows count as
+    often as they come; no rows give no rows. Other columns are not read.
+    """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size, read once by the driver
 

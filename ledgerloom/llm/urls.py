@@ -135,7 +135,8 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words, score for each row of pages (page_id, url, html).
 
     A null url, or one without ://, has empty host and path; no rule fits an empty path. Without a
-    word that the examples know the verdict is allow. Repeated rows are judged alike. score: log odds of block.
+    word that the examples know the verdict is allow. Repeated rows are judged alike, null html adds
+    no words, no rows give no rows. Other columns are not read. score: log odds of block.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
