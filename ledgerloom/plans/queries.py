@@ -280,7 +280,7 @@ shaped AS (
   UNION ALL SELECT 1, 'counts', 1000, nation, entity, fy, 'team size', 'count', format('{:,}', customers), '', '', CAST(customers AS DOUBLE), 'count', 0.5, NULL, 0.7, 'unknown', 'FY' || fy FROM g
   UNION ALL SELECT 1, 'counts', 2000, nation, entity, fy, 'cpi inflation', 'count', format('{:.1f}', rate), '', '', CAST(format('{:.1f}', rate) AS DOUBLE), 'count', 0.05, NULL, 0.7, 'unknown', 'FY' || fy FROM g),
 facts AS (
-  SELECT publisher || '-' || lower(entity) || '.txt' AS document_name, pub * 100 + nation AS doc, publisher, entity, fy, family, fact_type, sign || number || tail AS raw_value, norm, unit, half, scope, confidence, status, period_key,
+  SELECT publisher || '-' || lower(entity) || '.txt' AS document_name, pub * 100 + nation AS doc, publisher, entity, fy, family, fact_type, sign || number || tail AS raw_value, norm, unit, half, scope, CAST(confidence AS DOUBLE) AS confidence, status, period_key,
     concat_ws('|', pub * 100 + nation, anchor, family, number) AS id, anchor * 10000 + fy AS seq FROM shaped),
 stored AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 """
