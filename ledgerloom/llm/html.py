@@ -199,14 +199,13 @@ def _tokens(htmls):
     return [tokens]
 
 
-def _extract(pages, classes, htmls):
+def _extract(hosts, pages, classes, htmls):
     known: dict = {}
     out = []
-    for n, c, html in zip(pages, classes, htmls, strict=True):
-        key = id(c) if c is None else (n, len(c), tuple((x["pages"], x["tokens"][0]["path"], x["tokens"][0]["text"], len(x["tokens"])) for x in c))
-        if key not in known:
-            known[key] = Template(n or 0, c)
-        template = known[key]
+    for host, n, c, html in zip(hosts, pages, classes, htmls, strict=True):
+        if host not in known:
+            known[host] = Template(n or 0, c)
+        template = known[host]
         rows = parsed(html).blocks
         body = [r for r in rows if is_article(r[0])]
         kept = [r[1] for r in body if template.keeps(r[0], _text_key(r[1]))] if body else []
@@ -245,7 +244,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     found = written(templates(tokens), "templates")
     sizes = written(rows.groupBy("host").agg(F.count("*").alias("n")), "sizes")
     joined = spread_join(rows, found, "host", "page_id", sizes)
-    out = mapped(joined, ["page_id", "url"], ["pages", "classes", "html"], {"text": "string"}, _extract)
+    out = mapped(joined, ["page_id", "url"], ["host", "pages", "classes", "html"], {"text": "string"}, _extract)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

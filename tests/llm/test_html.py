@@ -36,6 +36,17 @@ def test_pages_without_article(extract):
     assert all(t == f"Long own text number {i}.\nMore of it, {i}." for i, (t, _) in got.items())
 
 
+def test_hosts_of_one_layout_keep_their_own_templates(spark, extract):
+    page = "<div class='content'><p>Own text {i} of {h}.</p></div><div class='x7'>Printed by {h}</div>"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # both hosts come in one batch
+    try:
+        got = extract([(10 * k + i, f"https://{h}.example/{i}", page.format(i=i, h=h)) for k, h in enumerate(("eins", "zwei")) for i in range(6)])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(t == f"Own text {i % 10} of {('eins', 'zwei')[i // 10]}." for i, (t, _) in got.items()) and len(got) == 12
+
+
 def test_odd_pages(extract):
     got = extract([(1, None, None), (2, "no host", ""), (3, "https://a/", "plain words"), (4, "https://a/", "<p>unclosed <b>bold"), (5, "https://a/", "<script>x</script><!-- c -->"), (6, "https://a/", "<article>" + "<div>" * 500 + "deep" + "</article>"),
                    (6, "https://a/", "<article>" + "<p>long " * 5000), (7, "https://b/", "&#x41;&eacute;&zzzz; &amp")])
