@@ -8,6 +8,8 @@ in any order, so a host of any size is aggregated before the shuffle. Classes th
 share are valid; they nest by their paths into the host's template. What lies between template
 tokens are slots. A slot is dropped for what its template path says (menus, forms, adverts and
 the like), for being mostly links, or for holding one text on most pages; the rest is extracted.
+Inside an article the template decides: a slot that holds one and the same text wherever the host
+has it goes, whatever its name.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ MARKS = set(
     "adbox adslot adunit adsense adbanner topnav subnav submenu dropdown responses paywall warning".split()
 )
 OUTER_MARKS = {"header", "masthead", "topbar", "banner", "tags", "meta"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Page(HTMLParser):
@@ -92,7 +95,9 @@ class _Page(HTMLParser):
                 if name in BOUNDS.get(tag, ()) or tag not in HOLDS:
                     break
         values = dict(attrs)
-        marks = sorted({*(values.get("class") or "").split(), *(values.get("id") or "").split(), *(values.get("role") or "").split(), *(["hidden"] if "hidden" in values else [])})
+        names = {*(values.get("class") or "").split(), *(values.get("role") or "").split(), *(["hidden"] if "hidden" in values else [])}
+        plain = lambda m: re.sub("[./#]", "-", m)
+        marks = [plain(m) for m in sorted(names)] + [f"#{plain(m)}" for m in sorted({*(values.get("id") or "").split()})]
         path = f"{self.path()}/{tag}" + "".join(f".{m}" for m in marks)
         self.paths[path] = self.paths.get(path, 0) + 1
         if tag not in VOID:
@@ -139,16 +144,27 @@ def is_article(path: str) -> bool:
     return any(name in ("article", "main") or "main" in marks and name not in ("html", "body") for name, marks in map(_marks, path.split("/")))
 
 
+def _inner(path: str) -> int:
+    """How many steps of a path lead to its outermost article or main element; 0 if it has none."""
+    return next((i for i, step in enumerate(path.split("/")) if step.split(".")[0] in ("article", "main")), -1) + 1
+
+
 def dropped(path: str) -> bool:
-    """Whether a template path says that its slot is no article."""
-    inside = False
-    for name, marks in map(_marks, path.split("/")):
+    """Whether a template path says that its slot is no article. Inside an article or main element only the element's own name says so."""
+    steps = path.split("/")
+    inner = _inner(path) or len(steps)
+    for name, marks in map(_marks, steps[:inner]):
         if name in DROPPED or marks & MARKS and name not in ("html", "body", "article", "main"):
             return True
-        inside |= name in ("article", "main")
-        if not inside and (name == "header" or marks & OUTER_MARKS and name not in ("html", "body")):
+        if name not in ("article", "main") and (name == "header" or marks & OUTER_MARKS and name not in ("html", "body")):
             return True
-    return False
+    return any(step.split(".")[0] in DROPPED for step in steps[inner:])
+
+
+def suspicion(step: str) -> int:
+    """Whether the words of the classes, roles and ids of a step inside an article say that it is none."""
+    name, marks = _marks(step)
+    return 3 if marks & MARKS and name not in ("article", "main") else 0
 
 
 class Template:
@@ -156,12 +172,33 @@ class Template:
 
     def __init__(self, pages: int, classes):
         self.slots, self.texts, self.decided = {}, set(), {}
+        self.repeated: set[str] = set()  # paths on most pages
+        self.fixed: set[str] = set()  # of these, inside an article: those whose slot never holds a second text
+        sole: dict[str, int] = {}  # characters of the most common text of a slot
+        common = 0  # characters inside articles that are in texts of most pages
         for c in classes or []:
+            often = c["pages"] >= TEXT_PAGES and c["pages"] >= TEXT_SHARE * pages
             for t in c["tokens"]:
                 if t["text"] is None:
                     self.slots[t["path"]] = (t["chars"], t["links"])
-                elif c["pages"] >= TEXT_PAGES and c["pages"] >= TEXT_SHARE * pages:
+                    if often:
+                        self.repeated.add(t["path"])
+                elif often:
                     self.texts.add((t["path"], t["text"]))
+                    if is_article(t["path"]):
+                        sole[t["path"]] = max(sole.get(t["path"], 0), t["chars"])
+                        common += t["chars"]
+        inside = {p: chars for p, (chars, _) in self.slots.items() if chars and is_article(p)}
+        varying = {p: chars - sole.get(p, 0) for p, chars in inside.items()}
+        # where nothing varies, as on a host of copies, nothing tells a template from an article
+        if sum(inside.values()) > common:
+            self.fixed = {p for p, rest in varying.items() if not rest and p in self.repeated}
+        self.open = {q for p, rest in varying.items() if p not in self.fixed for q in self._around(p)}
+
+    @staticmethod
+    def _around(path: str):
+        steps = path.split("/")
+        return ["/".join(steps[:i]) for i in range(len(steps), 0, -1)]
 
     def slot(self, path: str) -> str:
         """The deepest template path around a block; a path that is in no class is its own."""
@@ -170,11 +207,28 @@ class Template:
             at = at.rpartition("/")[0]
         return at or path
 
+    def inner_drop(self, path: str) -> bool:
+        """Whether the template drops a block inside an article."""
+        steps = path.split("/")
+        first = next(i for i in range(1, len(steps) + 1) if is_article(steps[i - 1]))
+        for i in range(first, len(steps) + 1):
+            level = suspicion(steps[i - 1])
+            if level:
+                return True
+        if path not in self.fixed:
+            return False
+        # a fixed heading goes only with all that it heads
+        around = path.rpartition("/")[0]
+        return steps[-1].split(".")[0] not in HEADINGS or around.count("/") >= first and around not in self.open
+
     def keeps(self, path: str, text_key: int) -> bool:
         if path not in self.decided:
-            chars, links = self.slots.get(self.slot(path), (0, 0))
-            menu = not is_article(path) and chars > 0 and links > LINK_SHARE * chars
-            self.decided[path] = not (dropped(path) or menu)
+            if is_article(path):
+                self.decided[path] = not (dropped(path) or self.inner_drop(path))
+            else:
+                chars, links = self.slots.get(self.slot(path), (0, 0))
+                menu = chars > 0 and links > LINK_SHARE * chars
+                self.decided[path] = not (dropped(path) or menu)
         return self.decided[path] and (is_article(path) or (path, text_key) not in self.texts)
 
 
@@ -190,12 +244,14 @@ def _tokens(htmls):
         page = parsed(html)
         held: dict[str, list[int]] = {p: [n, 0, 0] for p, n in page.paths.items()}
         texts: dict[tuple[str, int], int] = {}
+        lengths: dict[tuple[str, int], int] = {}
         for path, text, links in page.blocks:
             held[path][1] += len(text)
             held[path][2] += links
             key = (path, _text_key(text))
             texts[key] = texts.get(key, 0) + 1
-        tokens.append([(p, None, n, c, x) for p, (n, c, x) in held.items()] + [(p, t, n, 0, 0) for (p, t), n in texts.items()])
+            lengths[key] = len(text)
+        tokens.append([(p, None, n, c, x) for p, (n, c, x) in held.items()] + [(p, t, n, lengths[p, t] * n, 0) for (p, t), n in texts.items()])
     return [tokens]
 
 

@@ -30,6 +30,14 @@ def test_repeated_article_text_stays(extract):
     assert all(t == f"The same words on every page.\nOwn {i}" for i, (t, _) in got.items())
 
 
+def test_template_decides_inside_articles(extract):
+    body = "<article><h1>Title {i}</h1><p>Own {i}</p><div class='x9'><h4>Stay close</h4><p>This line is on every page.</p></div><div class='k2'><h2>Abstract</h2><p>Sum of {i}</p></div><p class='z'>Tell others</p></article>"
+    got = extract([(i, f"https://four.example/{i}", SITE.format(i=i, body=body.format(i=i))) for i in range(8)])
+    assert all(t == f"Title {i}\nOwn {i}\nAbstract\nSum of {i}" for i, (t, _) in got.items())
+    copies = extract([(i, f"https://five.example/{i}", SITE.format(i=1, body=body.format(i=1))) for i in range(8)])  # nothing varies: no template
+    assert all(t == "Title 1\nOwn 1\nStay close\nThis line is on every page.\nAbstract\nSum of 1\nTell others" for t, _ in copies.values())
+
+
 def test_pages_without_article(extract):
     body = "<div class='content'><p>Long own text number {i}.</p><p>More of it, {i}.</p></div><div class='x7'>Printed on each page</div><div class='links'><a href='/1'>alpha</a> <a href='/2'>beta {i}</a></div>"
     got = extract([(i, "https://three.example/", SITE.format(i=i, body=body.format(i=i))) for i in range(8)])
