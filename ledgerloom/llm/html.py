@@ -9,7 +9,7 @@ share are valid; they nest by their paths into the host's template. What lies be
 tokens are slots. A slot is dropped for what its template path says (menus, forms, adverts and
 the like), for being mostly links, or for holding one text on most pages; the rest is extracted.
 Inside an article the template decides: a slot that holds one and the same text wherever the host
-has it goes, whatever its name.
+has it goes, whatever its name; names and ids are only a reason to drop where the slot bears them out.
 """
 
 from __future__ import annotations
@@ -43,6 +43,10 @@ MARKS = set(
     "adbox adslot adunit adsense adbanner topnav subnav submenu dropdown responses paywall warning".split()
 )
 OUTER_MARKS = {"header", "masthead", "topbar", "banner", "tags", "meta"}
+#: Marks that as a whole class may also name a part of an article.
+TOPICS = set("reviews discussion legal search warning alert notice notices responses popular trending".split())
+#: Marks that as one word of a longer class may also name a part of an article.
+WEAK = TOPICS | set("share sharing social copyright rail related recommended recommendations respond reply replies comment".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -162,9 +166,21 @@ def dropped(path: str) -> bool:
 
 
 def suspicion(step: str) -> int:
-    """Whether the words of the classes, roles and ids of a step inside an article say that it is none."""
-    name, marks = _marks(step)
-    return 3 if marks & MARKS and name not in ("article", "main") else 0
+    """What the classes, roles and ids of a step inside an article say: 3 no article, 2 none if the template repeats the slot, 1 none if the slot's texts are fixed or links, 0 nothing."""
+    tag, *marks = step.split(".")
+    most = 0
+    for m in marks:
+        of_id = m.startswith("#")
+        if of_id and tag in HEADINGS or tag in ("article", "main"):
+            continue
+        whole, words = re.sub(r"[^a-z]+", "", m.lower()), _marks(f"x.{m}")[1]
+        if whole in MARKS - TOPICS:
+            most = 3
+        elif words & MARKS - WEAK and not of_id:
+            most = max(most, 2)
+        elif words & MARKS:
+            most = max(most, 1)
+    return most
 
 
 class Template:
@@ -207,14 +223,23 @@ class Template:
             at = at.rpartition("/")[0]
         return at or path
 
+    def _under(self, path: str) -> tuple[int, int]:
+        """Characters of the slots at and below a path, and of those in links."""
+        found = [v for p, v in self.slots.items() if p == path or p.startswith(f"{path}/")]
+        return sum(v[0] for v in found), sum(v[1] for v in found)
+
     def inner_drop(self, path: str) -> bool:
         """Whether the template drops a block inside an article."""
         steps = path.split("/")
         first = next(i for i in range(1, len(steps) + 1) if is_article(steps[i - 1]))
         for i in range(first, len(steps) + 1):
-            level = suspicion(steps[i - 1])
-            if level:
+            at, level = "/".join(steps[:i]), suspicion(steps[i - 1])
+            if level == 3 or level == 2 and at in self.repeated:
                 return True
+            if level and at in self.repeated:
+                chars, links = self._under(at)
+                if chars and at not in self.open or links > LINK_SHARE * chars:
+                    return True
         if path not in self.fixed:
             return False
         # a fixed heading goes only with all that it heads

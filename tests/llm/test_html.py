@@ -38,6 +38,14 @@ def test_template_decides_inside_articles(extract):
     assert all(t == "Title 1\nOwn 1\nStay close\nThis line is on every page.\nAbstract\nSum of 1\nTell others" for t, _ in copies.values())
 
 
+def test_names_of_parts_of_articles_stay(extract):
+    body = ("<article><h1>T {i}</h1><h2 id='related-work'>Related work</h2><p>a {i}</p><h2 id='Legal_status'>Legal status</h2><section id='discussion'><p>b {i}</p></section><h3 id='search-results'>Search results</h3>"
+            "<div class='share-price'>{i} euro</div><section class='reviews'><p>c {i}</p></section><div class='post-comments'><p>First! {i}</p></div><div class='share-bar'><a href='/s{i}'>Share {i}</a></div></article>")
+    expected = "T {i}\nRelated work\na {i}\nLegal status\nb {i}\nSearch results\n{i} euro\nc {i}"
+    got = extract([(i, f"https://six.example/{i}", SITE.format(i=i, body=body.format(i=i))) for i in range(8)])
+    assert all(t == expected.format(i=i) for i, (t, _) in got.items())
+
+
 def test_pages_without_article(extract):
     body = "<div class='content'><p>Long own text number {i}.</p><p>More of it, {i}.</p></div><div class='x7'>Printed on each page</div><div class='links'><a href='/1'>alpha</a> <a href='/2'>beta {i}</a></div>"
     got = extract([(i, "https://three.example/", SITE.format(i=i, body=body.format(i=i))) for i in range(8)])
