@@ -11,5 +11,5 @@ class EngineConfig:
     lexical_threshold: float = 93.0
     definition_threshold: float = 75.0
     max_upload_mb: int = 50
-    primary_pages: int = 60
+    primary_pages: int | None = 60  # None: all
     entity_sample: int = 400_000

@@ -27,8 +27,8 @@ def full_texts(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
 
 def _counted(texts: DataFrame, found, keep) -> DataFrame:
     """(document_id, name, n, first) of the names that an array expression finds."""
-    each = texts.select("document_id", F.posexplode(found).alias("at", "name")).where(keep(F.col("name")))
-    return each.groupBy("document_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    each = texts.select("document_id", "page", F.posexplode(found).alias("at", "name")).where(keep(F.col("name")))
+    return each.groupBy("document_id", "name").agg(F.count("*").alias("n"), F.min(F.struct("page", "at")).alias("first"))
 
 
 def _best(rows: DataFrame, *order, name: str) -> DataFrame:
@@ -37,14 +37,19 @@ def _best(rows: DataFrame, *order, name: str) -> DataFrame:
 
 
 def primary_entities(texts: DataFrame) -> DataFrame:
-    """(document_id, primary_entity): a word of the file name that the text bears out, else the company named most, else the most frequent name."""
+    """(document_id, primary_entity): a word of the file name that the text bears out, else the company named most, else the most frequent name.
+
+    texts: document_id, document_name, text; with a column page, a document may have many rows, which are read one by one and whole.
+    """
+    texts = texts if "page" in texts.columns else texts.withColumn("page", F.lit(0))
+    documents = texts.groupBy("document_id").agg(F.first("document_name").alias("document_name"))
     stops = sorted({*lx.NO_SUBJECT, *lx.NO_ENTITY})
     ok = lambda c: ~c.isin(*stops) & ~F.lower(c).isin(*lx.LEGAL_SUFFIXES)
     names = _counted(texts, F.regexp_extract_all("text", F.lit("(?U)" + lx.PROPER_NOUN), F.lit(1)), ok)
     last = lambda c: F.try_element_at(F.filter(F.split(X.squeezed(c), " "), lambda w: ~w.isin(*stops) & (F.lower(w) != "of")), F.lit(-1))
     heads = _counted(texts, F.transform(F.regexp_extract_all("text", F.lit("(?U)" + lx.LEGAL_NAME), F.lit(1)), last), lambda c: c.isNotNull())
 
-    hints = texts.select("document_id", F.posexplode(E.hint_tokens(F.col("document_name"))).alias("at", "hint"))
+    hints = documents.select("document_id", F.posexplode(E.hint_tokens(F.col("document_name"))).alias("at", "hint"))
     by_head = heads.select("document_id", F.lower("name").alias("hint"), F.lit(True).alias("is_head")).distinct()
     by_name = names.where("n >= 5").select("document_id", F.lower("name").alias("hint"), F.col("name").alias("as_written"))
     hinted = hints.join(by_head, ["document_id", "hint"], "left").join(by_name, ["document_id", "hint"], "left").where("is_head OR as_written IS NOT NULL")
@@ -54,15 +59,16 @@ def primary_entities(texts: DataFrame) -> DataFrame:
     company = _best(both.withColumn("name", E.display_entity(F.col("name"))), F.desc("freq"), "first", name="by_company")
     common = _best(names, F.desc("n"), "first", name="by_count")
     head = _best(heads.withColumn("name", E.display_entity(F.col("name"))), F.desc("n"), "first", name="by_head")
-    out = texts.select("document_id", "document_name")
+    out = documents
     for part in (hinted, company, common, head):
         out = out.join(part, "document_id", "left")
     return out.select("document_id", F.coalesce("by_hint", "by_company", "by_count", "by_head", F.nullif("document_name", F.lit("")), F.lit("Unknown")).alias("primary_entity"))
 
 
 def primary_periods(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(document_id, primary_period): the fiscal year that the first pages name most; of equals, the first."""
-    named = pages.where(F.col("page") <= config.primary_pages).select("document_id", "page", F.posexplode(P.document_years(F.coalesce("text", F.lit("")))).alias("at", "year"))
+    """(document_id, primary_period): the fiscal year that the first pages (all, if config.primary_pages is None) name most; of equals, the first."""
+    first = pages if config.primary_pages is None else pages.where(F.col("page") <= config.primary_pages)
+    named = first.select("document_id", "page", F.posexplode(P.document_years(F.coalesce("text", F.lit("")))).alias("at", "year"))
     years = named.where("year IS NOT NULL").groupBy("document_id", F.col("year").alias("name")).agg(F.count("*").alias("n"), F.min(F.struct("page", "at")).alias("first"))
     return _best(years, F.desc("n"), "first", name="year").select("document_id", P.fiscal_year_period(F.col("year")).alias("primary_period"))
 

@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import attributes as A
 from ..functions import entities as E
 from ..functions import periods as P
@@ -114,9 +115,9 @@ def numeric_tokens(spark, sf_dir):
 
 @query()
 def primary_entity(spark, sf_dir):
-    """Documents of a source taken as the pages of one document."""
+    """Documents of a source taken as the pages of one document, all of which are read."""
     rows = _table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("document_id"), F.concat_ws("-", "source", "lang").alias("document_name"), F.col("doc_id").alias("page"), "text")
-    return fact_ops.primary_entities(fact_ops.full_texts(rows))
+    return fact_ops.primary_entities(rows)
 
 
 @query()
@@ -124,7 +125,8 @@ def corpus_facts(spark, sf_dir):
     """All documents as pages, those of a source and language as one document: what of their noise reads as a fact, by family."""
     name = F.concat_ws("-", "source", "lang")
     rows = _table(spark, sf_dir, "documents").select(name.alias("document_id"), name.alias("document_name"), F.lit(1).cast("long").alias("ingest_seq"), F.col("doc_id").cast("int").alias("page"), "text", F.array().cast(fact_ops.BLOCKS_TYPE).alias("blocks"))
-    return fact_ops.extract_facts(rows).groupBy("document_name", F.col("canonical_attribute").alias("family"), "fact_type").agg(F.count("*").alias("facts"))
+    facts = fact_ops.deduplicated(fact_ops.extracted(rows, EngineConfig(primary_pages=None), fact_ops.primary_entities(rows)))
+    return facts.groupBy("document_name", F.col("canonical_attribute").alias("family"), "fact_type").agg(F.count("*").alias("facts"))
 
 
 # ---------------------------------------------------------------- expressions on literal phrases

@@ -40,3 +40,16 @@ def test_primary_entity_by_counting(spark, small):
         count = Counter(t for t in re.findall(lx.PROPER_NOUN, "\n".join(parts)[:400_000]) if t not in stops and t.lower() not in lx.LEGAL_SUFFIXES)
         expected[key] = count.most_common(1)[0][0] if count else key
     assert {r["document_id"]: r["primary_entity"] for r in core.QUERIES["primary_entity"](spark, small).collect()} == expected
+
+
+def test_names_and_years_of_all_rows(spark, tmp_path):
+    """Also behind the first 400000 characters of a source, and of doc_ids over 60."""
+    from ledgerloom.config import EngineConfig
+    from ledgerloom.operators import facts
+
+    rows = [(1, "Alpha " + "x " * 250_000), (2, None), (100, "Zebra Zebra in fiscal 2023"), (101, "Zebra in FY23")]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in core.QUERIES["primary_entity"](spark, str(tmp_path)).collect()] == [("web-en", "Zebra")]
+    pages = spark.createDataFrame([("web-en", i, t) for i, t in rows], "document_id string, page int, text string")
+    assert facts.primary_periods(pages, EngineConfig(primary_pages=None)).count() == 1
+    assert facts.primary_periods(pages).count() == 0
