@@ -4,7 +4,8 @@ Each distinct shingle set gets one sketch of REGISTERS buckets from a single has
 register keeps the number of leading zeros of the smallest hash of its bucket and the MANTISSA
 bits that follow them. Empty registers borrow from others for banding only. Bands of compressed
 registers propose pairs, the collision-corrected estimate of the Jaccard index turns away those
-that are far off, and the full sets decide the rest.
+that are far off, and the full sets decide the rest. Sets of few shingles are also proposed by what is left
+of them without any DELETED shingles or fewer, which finds all links between such sets.
 
 Copies: equal sets are one node. Within a band's bucket every node is first held against the
 bucket's smallest node only. Buckets that are then of one component need nothing more. In the
@@ -35,6 +36,10 @@ SPREAD = 0.4
 BLOCK = 256
 
 _probe = mix(np.arange(REGISTERS * 64, dtype=np.uint64).reshape(64, REGISTERS) + np.uint64(7919)) % np.uint64(REGISTERS)
+#: For registers that no probe fills: the filled register of the smallest value stands in.
+_stand_in = mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64).reshape(REGISTERS, REGISTERS) + np.uint64(1299709))
+#: Shingles that a set may lack of a linked one, for it to count as small.
+DELETED = 2
 _band_salt = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(104729))
 
 
@@ -68,21 +73,37 @@ def bands(registers: np.ndarray) -> np.ndarray:
         got = registers[row[empty].astype(np.int64)].astype(np.uint64)
         filled[empty] = got
         empty = empty[got == 0]
-    if len(empty):  # very few registers are set: the first one stands in
-        filled[empty] = registers[np.flatnonzero(registers)[0]]
+    if len(empty):  # very few registers are set: each empty one has its own order of them
+        some = np.flatnonzero(registers)
+        filled[empty] = registers[some[_stand_in[np.ix_(empty, some)].argmin(1)]]
     key = _band_salt.copy()
     for column in filled.reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key
 
 
-def _sketched(width: int):
+def cores(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a small set and of what is left without as many shingles as a link leaves out at most. Linked small sets have the key of their intersection in common; larger sets have none."""
+    lacking = len(hashes) * (100 - percent) // 100
+    if not len(hashes) or lacking > DELETED:
+        return np.empty(0, np.uint64)
+    folded = mix(hashes)
+    sums = [folded.sum(dtype=np.uint64, keepdims=True)]
+    if lacking >= 1:
+        sums.append(sums[0] - folded)
+    if lacking >= 2:
+        i, j = np.triu_indices(len(hashes), 1)
+        sums.append(sums[0] - folded[i] - folded[j])
+    return mix(np.concatenate(sums) + np.uint64(15485863))
+
+
+def _sketched(width: int, percent: int):
     def run(texts):
         out = []
         for hashes in shingle_sets(texts, width):
             registers, folded = sketch(hashes), mix(hashes)
             key = f"{int(folded.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(folded)):016x}"
-            out.append((len(hashes), key, registers.tobytes() if len(hashes) else None, bands(registers).view(np.int64)))
+            out.append((len(hashes), key, registers.tobytes() if len(hashes) else None, np.concatenate([bands(registers), cores(hashes, percent)]).view(np.int64)))
         return list(zip(*out, strict=True)) or [[]] * 4
 
     return run
@@ -185,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id link nothing and get the component of an equal set, else null. No rows give no rows. kept: doc_id equals component_id, nulls included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width)), "sketched")
+    sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width, percent)), "sketched")
     head = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands")).alias("head")
     heads = written(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(head).select("set_key", "head.*"), "heads")
     texts = docs.select(F.col("doc_id").alias("node"), "text")

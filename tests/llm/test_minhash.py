@@ -70,6 +70,27 @@ def test_blocks_of_any_size_find_the_same(docs, corpus, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(corpus, 3, 85)
 
 
+def test_links_of_few_shingles(docs):
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(8)] for _ in range(400)]
+    rows = [(2 * i + k, " ".join(w + ["more"] * k)) for i, w in enumerate(texts) for k in (0, 1)]  # 4 and 5 shingles, 0.8
+    got = minhash.near_duplicates(docs(rows), 5, 80).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 800
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_small_sets_share_a_core(percent):
+    rng = np.random.default_rng(3)
+    for n in range(1, 20):
+        for m in range(n, 20):
+            both = next((i for i in range(n, 0, -1) if 100 * i >= percent * (n + m - i)), 0)
+            while both and 100 * both >= percent * (n + m - both):
+                x = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+                a, b = minhash.cores(x[:n], percent), minhash.cores(x[n - both :], percent)
+                assert not len(a) or not len(b) or set(a) & set(b)
+                both -= 1
+
+
 def test_odd_rows(docs, odd):
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(odd), 3, 85).collect()))
     assert len(got) == len(odd)
