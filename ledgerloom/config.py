@@ -13,3 +13,4 @@ class EngineConfig:
     max_upload_mb: int = 50
     primary_pages: int | None = 60  # None: all
     entity_sample: int = 400_000
+    all_periods: bool = True  # else pairs of two known, different periods are left to period_contrasts()

@@ -108,6 +108,17 @@ def parse_period(text: Column) -> Column:
     return let(let(let(squeezed(F.coalesce(text, F.lit(""))), found), ended), strongest)
 
 
+def column_period(c: Column) -> Column:
+    """The period of a table's column, of a struct (kind, raw, year, quarter, day); null for none."""
+    year, day = c["year"].cast("string"), F.date_format(c["day"], "yyyy-MM-dd")
+    label = (
+        F.when(c["kind"] == "quarter", F.concat(F.lit("Q"), c["quarter"].cast("string"), F.lit(" FY"), year)).when(c["kind"] == "fiscal_year", F.concat(F.lit("FY"), year))
+        .when(c["kind"] == "calendar_year", F.concat(F.lit("CY"), F.year(c["day"]).cast("string"))).when(c["kind"] == "range", F.concat(F.lit("period ended "), day)).otherwise(F.concat(F.lit("as of "), day))
+    )
+    out = F.struct(c["kind"].alias("kind"), c["raw"].alias("raw"), label.alias("label"), c["year"].alias("fy_end_year"), c["quarter"].alias("quarter"), F.lit(None).cast("date").alias("start_date"), c["day"].alias("end_date"))
+    return F.when(c.isNotNull(), out)
+
+
 def period_key(p: Column) -> Column:
     """Equal for periods that may be compared."""
     return let(p, _key)

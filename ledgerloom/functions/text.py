@@ -75,14 +75,3 @@ def printed_page(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
-
-
-def is_metric(c: Column) -> Column:
-    """At least three characters and letters, twelve words at most."""
-    letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    return (F.length(c) >= 3) & (letters >= 3) & (F.size(F.split(squeezed(c), " ")) <= 12)
-
-
-def is_label(c: Column) -> Column:
-    letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    return F.length(c).between(2, 120) & (letters >= 2)

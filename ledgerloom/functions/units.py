@@ -86,10 +86,10 @@ def equivalence_note(a: Column, b: Column, tolerance: float = 0.005) -> Column:
     """Why two values count as equal or not."""
     diff, rel, width = difference(a, b), relative_difference(a, b), F.greatest(half_width(a), half_width(b))
     return (
-        F.when(a["normalized_unit"] != b["normalized_unit"], F.concat(F.lit("different units ("), a["normalized_unit"], F.lit(" vs "), b["normalized_unit"], F.lit(")")))
-        .when(diff <= width, F.concat(F.lit("within rounding tolerance (Δ="), _short(diff), F.lit(" ≤ "), _short(width), F.lit(")")))
-        .when(rel <= tolerance, F.format_string(f"within relative tolerance (%.3f%% ≤ {tolerance * 100:.3f}%%)", rel * 100))
-        .otherwise(F.concat(F.format_string("values differ by %.2f%% (Δ=", rel * 100), _short(diff), F.lit(")")))
+        F.when(a["normalized_unit"] != b["normalized_unit"], F.format_string(lx.NOTE_UNITS, a["normalized_unit"], b["normalized_unit"]))
+        .when(diff <= width, F.format_string(lx.NOTE_ROUNDING, _short(diff), _short(width)))
+        .when(rel <= tolerance, F.format_string(lx.NOTE_RELATIVE, rel * 100, F.lit(tolerance * 100)))
+        .when(diff.isNotNull(), F.format_string(lx.NOTE_DIFFER, rel * 100, _short(diff)))
     )
 
 

@@ -57,6 +57,10 @@ HEADER_WORDS = (
     r"as\s+of\s+the\s+end|standalone|consolidated"
 )
 
+FISCAL_HEADER = r"fiscal|year\s+ended\s+march\s+31"
+MONTHS_HEADER = r"months?\s+ended|period\s+ended"
+CUE_REACH = 30
+
 # --- Fixed values: cues of status and scope, in the order in which they are tried.
 STATUS_CUES = [
     ("estimate", ["estimated", "estimate", "advance estimate", "provisional", "first advance", "second advance", "projected to", "is expected to"]),
@@ -73,10 +77,10 @@ LINKING_VERBS = (
     r"decreased to|declined to|moderated to|estimated to grow by|estimated to be|estimated at|is estimated|is projected at|"
     r"projected at|projected to|expected to grow by|expected to be|registered a|recorded|grow by)\b"
 )
-LEADING_WORDS = (
-    r"^(?:and|but|the|our|your|its|a|an|as|on|in|for|during|of|to|with|however|moreover|further|additionally|meanwhile|"
-    r"accordingly|thus|therefore|while|although|though|based on|according to|note that)\b\s*"
-)
+LEADING_WORDS = [
+    "and", "but", "the", "our", "your", "its", "a", "an", "as", "on", "in", "for", "during", "of", "to", "with", "however", "moreover",
+    "further", "additionally", "meanwhile", "accordingly", "thus", "therefore", "while", "although", "though", "based on", "according to", "note that",
+]
 SENTENCE_BREAK = r"(?<=[.;])\s+(?=[A-Z(₹\"])"
 TILE_NOISE = r"\bYoY\b|\bQoQ\b|\(\d\)|[:•]|\bvs\.?\b"
 POSSESSIVE = r"^\s*([A-Z][a-zA-Z]+)(?:'s|’s)\b"
@@ -91,19 +95,31 @@ GENERIC_NAMES = [
     "the company", "the group", "the bank", "the corporation", "the firm", "the issuer", "we", "our company",
     "the organisation", "the organization", "us", "it",
 ]
-NO_SUBJECT = """The This In As For During Note Table Chart Source Figure March December June September January April May July August October
-November February Fiscal Total Revenue India's Our Its Annual Report Quarter Financial Year Company Limited Reserve Board""".split()
-NO_ENTITY = """Source Chart Table Figure Note Notes Data Growth Inflation Food Prices Sector Economic Survey Bank Government Report Annual Fund
-Staff Board Committee Gross Domestic Product Fiscal Policy Market Global Real Total Capital Current Account Services Trade Exports Imports
-Fixed Rate Rates Index Consumer Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec January February April June July August September October
-November December Private Public Reserve Mudran Corporation Company Institute Association Authority Ministry Department""".split()
-NO_HINT = """annual report excerpt prospectus presentation earnings survey economic consultation article iv fy fy24 fy25 q1 q2 q3 q4 final draft
-the and for of pdf reserve bank fund international monetary limited ltd""".split()
+NO_SUBJECT = [
+    "The", "This", "In", "As", "For", "During", "Note", "Table", "Chart", "Source", "Figure", "March", "December", "June", "September",
+    "January", "April", "May", "July", "August", "October", "November", "February", "Fiscal", "Total", "Revenue", "India's", "Our", "Its",
+    "Annual", "Report", "Quarter", "Financial", "Year", "Company", "Limited", "Reserve", "Board",
+]
+NO_ENTITY = [
+    "Source", "Chart", "Table", "Figure", "Note", "Notes", "Data", "Growth", "Inflation", "Food", "Prices", "Sector", "Economic", "Survey",
+    "Bank", "Government", "Report", "Annual", "Fund", "Staff", "Board", "Committee", "Gross", "Domestic", "Product", "Fiscal", "Policy",
+    "Market", "Global", "Real", "Total", "Capital", "Current", "Account", "Services", "Trade", "Exports", "Imports", "Fixed", "Rate",
+    "Rates", "Index", "Consumer", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec", "January",
+    "February", "April", "June", "July", "August", "September", "October", "November", "December", "Private", "Public", "Reserve", "Mudran",
+    "Corporation", "Company", "Institute", "Association", "Authority", "Ministry", "Department",
+]
+NO_HINT = [
+    "annual", "report", "excerpt", "prospectus", "presentation", "earnings", "survey", "economic", "consultation", "article", "iv", "fy",
+    "fy24", "fy25", "q1", "q2", "q3", "q4", "final", "draft", "the", "and", "for", "of", "pdf", "reserve", "bank", "fund", "international",
+    "monetary", "limited", "ltd",
+]
 
 # --- Fixed values: attributes. Heads in the order in which they are tried.
 PERIOD_WORDS = r"\bfy\s*\d{2,4}\b|\bq[1-4]\b|\b(?:19|20)\d{2}\b|\bfiscal\b|\bquarter\b|\byear\b"
 SCOPE_WORDS = ["consolidated", "standalone", "stand-alone", "combined"]
-FILLER_WORDS = "the of for a an our your in on at total restated real nominal gross net overall".split()
+FILLER_WORDS = [
+    "the", "of", "for", "a", "an", "our", "your", "in", "on", "at", "total", "restated", "real", "nominal", "gross", "net", "overall",
+]
 FAMILY_HEADS = [
     (r"gross\s+domestic\s+product|gdp", "gdp"),
     (r"gross\s+value\s+added|gva", "gva"),
@@ -141,8 +157,20 @@ TOTAL_REVENUE = [
 MONETARY_FAMILIES = ["revenue", "ebitda", "adjusted ebitda", "total income", "other income", "net worth", "profit after tax", "net loss", "fiscal deficit", "current account deficit"]
 COUNT_FAMILIES = ["team size", "headcount", "workforce", "employees", "partner agents", "active customers", "shipments", "tonnage"]
 PERCENT_FAMILIES = ["gdp growth", "gva growth", "cpi inflation", "wpi inflation", "food inflation", "core inflation", "ebitda margin"]
-NO_METRIC = """and or others other the of for to with in on at as by a an is are was were it this that these those which such per cent percent
-total further however moreover also thus therefore from less add plus minus includes including net gross sub note remarks particulars""".split()
+NO_METRIC = [
+    "and", "or", "others", "other", "the", "of", "for", "to", "with", "in", "on", "at", "as", "by", "a", "an", "is", "are", "was", "were",
+    "it", "this", "that", "these", "those", "which", "such", "per", "cent", "percent", "total", "further", "however", "moreover", "also",
+    "thus", "therefore", "from", "less", "add", "plus", "minus", "includes", "including", "net", "gross", "sub", "note", "remarks",
+    "particulars",
+]
 
 # --- Fixed values: accounting identities, a result and its components.
 IDENTITIES = [("total income", ["revenue", "other income"])]
+
+# --- Fixed values: how notes on two values and differences of context are written.
+NOTE_UNITS = "different units (%s vs %s)"
+NOTE_ROUNDING = "within rounding tolerance (Δ=%s ≤ %s)"
+NOTE_RELATIVE = "within relative tolerance (%.3f%% ≤ %.3f%%)"
+NOTE_DIFFER = "values differ by %.2f%% (Δ=%s)"
+DIFFERENT_VALUES = "different {what} (%s vs %s)"
+DIFFERENT_DEFINITIONS = "different metric definitions"

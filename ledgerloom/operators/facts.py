@@ -19,10 +19,12 @@ from . import scan
 BLOCKS_TYPE = "array<struct<block_no:int,text:string,char_start:int,char_end:int>>"
 
 
-def full_texts(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(document_id, document_name, text): the pages of each document in order, up to the sample that names are read from."""
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    return pages.groupBy("document_id").agg(F.first("document_name").alias("document_name"), F.left(whole, F.lit(config.entity_sample)).alias("text"))
+def sampled_pages(pages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(document_id, document_name, page, text): what lies within the first config.entity_sample characters of each document, page by page. Only lengths are summed up, no document is put together."""
+    length = F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).alias("length")
+    before = F.sum("length").over(Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    room = pages.groupBy("document_id", "page").agg(length).withColumn("room", F.lit(config.entity_sample) - F.coalesce(before, F.lit(0))).where("room > 0").select("document_id", "page", "room")
+    return pages.select("document_id", "document_name", "page", "text").join(room, ["document_id", "page"]).withColumn("text", F.left("text", F.col("room").cast("int"))).drop("room")
 
 
 def _counted(texts: DataFrame, found, keep) -> DataFrame:
@@ -39,9 +41,8 @@ def _best(rows: DataFrame, *order, name: str) -> DataFrame:
 def primary_entities(texts: DataFrame) -> DataFrame:
     """(document_id, primary_entity): a word of the file name that the text bears out, else the company named most, else the most frequent name.
 
-    texts: document_id, document_name, text; with a column page, a document may have many rows, which are read one by one and whole.
+    texts: document_id, document_name, page, text. Pages are read one by one and whole, so a name that two pages share counts for neither.
     """
-    texts = texts if "page" in texts.columns else texts.withColumn("page", F.lit(0))
     documents = texts.groupBy("document_id").agg(F.first("document_name").alias("document_name"))
     stops = sorted({*lx.NO_SUBJECT, *lx.NO_ENTITY})
     ok = lambda c: ~c.isin(*stops) & ~F.lower(c).isin(*lx.LEGAL_SUFFIXES)
@@ -78,13 +79,13 @@ def extracted(pages: DataFrame, config: EngineConfig = EngineConfig(), entities:
     readable = pages.where(~X.is_scanned(F.col("text")))
     scanned = readable.select("document_id", "document_name", "ingest_seq", "page", "text", "blocks", X.printed_page(F.col("text")).alias("printed_page"), U.page_scale(F.col("text")).alias("page_scale"))
     found = scan.candidates(scanned)
-    entities = primary_entities(full_texts(pages, config)) if entities is None else entities
+    entities = primary_entities(sampled_pages(pages, config)) if entities is None else entities
     found = found.join(entities, "document_id", "left").join(primary_periods(pages, config), "document_id", "left")
 
     c, table = F.col, F.col("strategy") == scan.TABLE
     # what the pieces say, in written tables: filters on parsed structs would otherwise pull whole parsers into themselves
     found = found.withColumns({
-        "stated": P.parse_period(c("period_text")), "plain_family": A.family(c("attribute")), "norm_attr": A.normalize_attribute(c("attribute")),
+        "stated": F.coalesce(P.column_period(c("column")), P.parse_period(c("period_text"))), "plain_family": A.family(c("attribute")), "norm_attr": A.normalize_attribute(c("attribute")),
         "label_scale": F.when(table, U.label_scale(c("raw_label"))), "label_currency": F.when(table, U.label_currency(c("raw_label"))),
         "raw_entity": F.when(c("strategy") == scan.NARRATIVE, E.sentence_entity(c("evidence"))),
     })

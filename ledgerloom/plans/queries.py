@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +18,27 @@ from ..functions.similarity import similarity
 from ..operators import candidates, consistency, facts as fact_ops
 from ..sources import documents as D
 from ..sources.reports import figures, report_pages
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_dir, table, written
 from . import evaluate, pipeline, store
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_known: dict = {}
 
 
-_known: dict = {}
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the report corpus is made of: folder, and lengths and times of its tables."""
+    out = [spark.sparkContext.applicationId, sf_dir, shared_dir(spark)]
+    for name in ("orders", "lineitem", "customer", "nation"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.getFileStatus(path)
+        out += [found.getModificationTime(), fs.getContentSummary(path).getLength()]
+    return tuple(out)
 
 
 def _knowledge(spark: SparkSession, sf_dir: str) -> pipeline.Knowledge:
-    """Facts and relationships of the report corpus, written once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, shared_dir(spark))
+    """Facts and relationships of the report corpus, written once a session and state of its tables."""
+    key = _state(spark, sf_dir)
     if key not in _known:
         pages = written(report_pages(spark, sf_dir), "pages")
         made = pipeline.build(pages)
@@ -41,7 +48,7 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> pipeline.Knowledge:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _knowledge(spark, sf_dir)
-    return _known[(spark.sparkContext.applicationId, sf_dir, shared_dir(spark))][0]
+    return _known[_state(spark, sf_dir)][0]
 
 
 # ---------------------------------------------------------------- documents and text
@@ -63,7 +70,7 @@ def query(sql: str | None = None):
 @query("""SELECT doc_id, sha256(text) AS sha256, left(sha256(text), 16) AS document_id,
   row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_first FROM documents""")
 def doc_hash_dedup(spark, sf_dir):
-    rows = D.hashed(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    rows = D.hashed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     first = D.new_documents(rows, None, "doc_id").select(F.col("doc_id").alias("id"), F.lit(True).alias("first"))
     return rows.join(first, rows["doc_id"] == first["id"], "left").select("doc_id", "sha256", "document_id", F.coalesce("first", F.lit(False)).alias("is_first"))
 
@@ -73,21 +80,21 @@ p AS (SELECT *, '^(?i)(?:page\s+)?(\d{1,4})(?:\s+of\s+\d{1,4})?$' AS r FROM l)
 SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 20 AS is_scanned,
   coalesce(nullif(regexp_extract(e[-1], '^(?i:page\s+)?(\d{1,4})(?i:\s+of\s+\d{1,4})?$', 1), ''), nullif(regexp_extract(e[1], '^(?i:page\s+)?(\d{1,4})(?i:\s+of\s+\d{1,4})?$', 1), '')) AS printed_page FROM p""")
 def page_flags(spark, sf_dir):
-    return D.page_flags(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "is_scanned", "printed_page")
+    return D.page_flags(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "is_scanned", "printed_page")
 
 
 @query(r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '(?i)</?(p|div|li|ul|h1|nav|article|footer|title|head|body|html)( [^>]*)?>', chr(1), 'g') AS t FROM pages),
 b AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(t, '<[^>]*>', ' ', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS a FROM f)
 SELECT page_id, CAST(u.i - 1 AS INT) AS block_no, a[u.i] AS text FROM b, unnest(range(1, len(a) + 1)) AS u(i)""")
 def html_blocks(spark, sf_dir):
-    return D.html_blocks(_table(spark, sf_dir, "pages"))
+    return D.html_blocks(table(spark, sf_dir, "pages"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\n[ \t]*\n', chr(2), 'g'), '\s*\n\s*', ' ', 'g'), chr(2))) AS p FROM documents),
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(p, '([.;])\s+([A-Z(₹"])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM p)
 SELECT d.doc_id, CAST(count(s.s) FILTER (trim(regexp_replace(s.s, '^\s+|\s+$', '', 'g')) <> '') AS INT) AS sentences FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""")
 def sentence_split_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
 
 def _cue_case(column: str, cues) -> str:
@@ -103,30 +110,46 @@ def _cue_sql() -> str:
 
 @query(_cue_sql())
 def status_scope_cues(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.status(F.col("text")).alias("status"), X.scope(F.col("text")).alias("scope"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.status(F.col("text")).alias("status"), X.scope(F.col("text")).alias("scope"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS t FROM documents)
 SELECT t AS token, count(*) AS n FROM t WHERE regexp_full_match(t, '[₹$€£]?\s*\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?\s*[%+]?') AND NOT regexp_full_match(t, '\([0-9]\)') GROUP BY t""")
 def numeric_tokens(spark, sf_dir):
-    tokens = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("token"))
+    tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("token"))
     return tokens.where(X.is_numeric_cell(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query()
+def _names_sql() -> str:
+    """The name that is written most, of equals the first; a word of the document's own name comes before if it is written five times."""
+    from .. import lexicon as lx
+
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+    return rf"""WITH t AS (SELECT source || '-' || lang AS document_id, doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+') AS w FROM documents),
+    n AS (SELECT document_id, w[i] AS name, count(*) AS n, min(doc_id * 1000000 + i) AS first FROM t, unnest(range(1, len(w) + 1)) AS u(i)
+      WHERE regexp_full_match(w[i], '[A-Z][a-z]{{2,}}') AND w[i] NOT IN ({quoted({*lx.NO_SUBJECT, *lx.NO_ENTITY})}) AND lower(w[i]) NOT IN ({quoted(lx.LEGAL_SUFFIXES)}) GROUP BY ALL),
+    best AS (SELECT document_id, arg_min(name, row(-n, first)) AS common, arg_min(name, first) FILTER (n >= 5 AND length(name) >= 3 AND list_contains(string_split_regex(document_id, '[^A-Za-z]+'), lower(name))) AS hinted FROM n GROUP BY document_id)
+    SELECT DISTINCT t.document_id, coalesce(hinted, common, t.document_id) AS primary_entity FROM t LEFT JOIN best USING (document_id)"""
+
+
+@query(_names_sql())
 def primary_entity(spark, sf_dir):
     """Documents of a source taken as the pages of one document, all of which are read."""
-    rows = _table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("document_id"), F.concat_ws("-", "source", "lang").alias("document_name"), F.col("doc_id").alias("page"), "text")
-    return fact_ops.primary_entities(rows)
+    name = F.concat_ws("-", "source", "lang")
+    return fact_ops.primary_entities(table(spark, sf_dir, "documents").select(name.alias("document_id"), name.alias("document_name"), F.col("doc_id").alias("page"), "text"))
 
 
-@query()
+@query("""SELECT source, 'net worth' AS family, 'INR' AS unit, count(*) AS facts, CAST(sum(doc_id % 9000 + 1000) * 100000 AS DOUBLE) AS total, count(*) FILTER (doc_id % 2 = 0) AS consolidated FROM documents GROUP BY source""")
 def corpus_facts(spark, sf_dir):
-    """All documents as pages, those of a source and language as one document: what of their noise reads as a fact, by family."""
-    name = F.concat_ws("-", "source", "lang")
-    rows = _table(spark, sf_dir, "documents").select(name.alias("document_id"), name.alias("document_name"), F.lit(1).cast("long").alias("ingest_seq"), F.col("doc_id").cast("int").alias("page"), "text", F.array().cast(fact_ops.BLOCKS_TYPE).alias("blocks"))
-    facts = fact_ops.deduplicated(fact_ops.extracted(rows, EngineConfig(primary_pages=None), fact_ops.primary_entities(rows)))
-    return facts.groupBy("document_name", F.col("canonical_attribute").alias("family"), "fact_type").agg(F.count("*").alias("facts"))
+    """Each document as a report of one page that also states a figure made from its id: of all its noise only that figure is a fact."""
+    amount = F.format_number((F.col("doc_id") % 9000 + 1000) / 100, 2)
+    stated = F.concat(F.when(F.col("doc_id") % 2 == 0, "Consolidated net worth").otherwise("Net worth"), F.lit(" stood at ₹ "), amount, F.lit(" crore in FY2021."))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit("-"), "doc_id").alias("document_name"), F.col("doc_id").alias("ingest_seq"), F.lit(1).alias("page"),
+        F.concat_ws("\n\n", "text", stated).alias("text"), F.array().cast(fact_ops.BLOCKS_TYPE).alias("blocks"))
+    facts = fact_ops.extract_facts(rows).withColumn("source", F.substring_index("document_name", "-", 1))
+    return facts.groupBy("source", F.col("canonical_attribute").alias("family"), F.col("normalized_unit").alias("unit")).agg(
+        F.count("*").alias("facts"), F.round(F.sum(F.round("normalized_value", 0))).alias("total"), F.count_if(F.col("scope") == "consolidated").alias("consolidated"))
 
 
 # ---------------------------------------------------------------- expressions on literal phrases
@@ -143,7 +166,7 @@ def _literal(rows, names: str) -> str:
 
 def _phrases(spark, sf_dir, rows, name: str) -> DataFrame:
     """The phrases, each as often as there are regions: literal inputs beside a table."""
-    return _table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(r[0]) for r in rows])).alias(name))
+    return table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(r[0]) for r in rows])).alias(name))
 
 
 @query(f"SELECT r_regionkey, raw, amount, unit FROM {_literal(_VALUES, 'raw, amount, unit')}, region")
@@ -167,7 +190,7 @@ def attribute_family(spark, sf_dir):
 def entity_names(spark, sf_dir):
     """Names with a legal suffix put behind them come back without it."""
     suffix = F.element_at(F.array(*map(F.lit, (" Limited", " Ltd.", " Inc", " Group Holdings"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("The "), "c_name", suffix).alias("name"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("The "), "c_name", suffix).alias("name"))
     return rows.select("c_custkey", E.normalize_entity(F.col("name")).alias("key"), F.regexp_replace(E.display_entity(F.col("name")), "^The ", "").alias("shown"))
 
 
@@ -178,7 +201,7 @@ def value_equivalence(spark, sf_dir):
     """Order totals written out and rounded to lakh: the same by rounding; their dates as periods."""
     amount = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     lakh = F.format_number(F.round(F.col("o_totalprice").cast("decimal(18,2)") / 100_000, 0), 0)
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("₹ "), amount).alias("a"), F.concat(F.lit("₹"), lakh, F.lit(" lakh")).alias("b"), F.concat(F.lit("year ended "), F.date_format("o_orderdate", "MMMM d, yyyy")).alias("p"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("₹ "), amount).alias("a"), F.concat(F.lit("₹"), lakh, F.lit(" lakh")).alias("b"), F.concat(F.lit("year ended "), F.date_format("o_orderdate", "MMMM d, yyyy")).alias("p"))
     rows = rows.select("o_orderkey", U.parse_value(F.col("a")).alias("a"), U.parse_value(F.col("b")).alias("b"), P.period_key(P.parse_period(F.col("p"))).alias("fiscal_year"))
     return rows.select("o_orderkey", F.col("a.value").alias("amount"), "fiscal_year", U.equivalent(F.col("a"), F.col("b"), 0.0).alias("same_by_rounding"))
 
@@ -203,33 +226,45 @@ def _literal_query(rows, columns: str, expressions):
     return run, f"SELECT r_regionkey, {columns} FROM {_literal(rows, columns)}, region"
 
 
+_METRICS = [("and others of the", "junk"), ("Total", "junk"), ("net worth", "metric"), ("", "junk"), ("remarks", "junk"), ("revenue from other", "metric")]
 _none = lambda e: lambda c: F.coalesce(e(c), F.lit("none"))
 _halves = lambda c: U.half_width(U.parse_value(c))
 for _name, _rows, _columns, _made in (
     ("label_units", _LABELS, "label, scale, currency", (_none(U.label_scale), _none(U.label_currency))), ("page_scales", _SCALES, "text, scale", (_none(U.page_scale),)),
     ("sentence_entities", _SENTENCES, "sentence, entity", (_none(E.sentence_entity),)), ("footnotes", _NOTES, "label, markers", (lambda c: F.array_join(X.footnote_markers(c), ","),)),
     ("file_name_hints", _HINTS, "name, hints", (lambda c: F.array_join(E.hint_tokens(c), ","),)), ("rounding_half_width", _HALVES, "raw, half, kind", (_halves, lambda c: U.fact_type(U.parse_value(c)))),
+    ("junk_metrics", _METRICS, "phrase, kind", (lambda c: F.when(A.is_junk(F.lower(c)), "junk").otherwise("metric"),)),
     ("resolved_entities", _COMPANIES, "raw, entity", (lambda c: E.resolve_entity(c, F.lit("Acme Limited")),)),
 ):
     QUERIES[_name], ORACLE[_name] = _literal_query(_rows, _columns, _made)
 
 
+_SHOWN = "(o_orderkey % 5000) * CASE o_orderkey % 4 WHEN 0 THEN 1e7 WHEN 1 THEN 1e5 WHEN 2 THEN -1e3 ELSE 1 END"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, CAST({_SHOWN} AS DOUBLE) AS v FROM orders)
+SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN format('{{:.2f}} B', v / 1e9) WHEN abs(v) >= 1e7 THEN format('{{:.2f}} Cr', v / 1e7) WHEN abs(v) >= 1e5 THEN format('{{:.2f}} L', v / 1e5) ELSE format('{{:,.2f}}', v) END AS shown FROM v""")
+def amounts_shown(spark, sf_dir):
+    """Amounts of all sizes and signs in short."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", store.amounts_shown(F.expr(_SHOWN).cast("double")).alias("shown"))
+
+
 @query("""SELECT o_custkey AS key, last(o_orderkey ORDER BY o_orderkey) AS value, 'new' AS origin FROM orders GROUP BY o_custkey
 UNION ALL SELECT c_custkey, c_nationkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def merge_last_wins(spark, sf_dir):
     """Customers overwritten by their orders: the last of one key stays."""
-    old = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value"), F.lit("old").alias("origin"), F.lit(0).cast("long").alias("seq"))
-    new = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.lit("new").alias("origin"), F.col("o_orderkey").alias("seq"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("value"), F.lit("old").alias("origin"), F.lit(0).cast("long").alias("seq"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.lit("new").alias("origin"), F.col("o_orderkey").alias("seq"))
     return store.merged(old, new, "key", "seq").drop("seq")
 
 
 @query("""SELECT 'd' || c_custkey AS document_id, 'first' || c_nationkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 'processed' ELSE 'processing' END AS status, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 0 END AS fact_count FROM customer
 UNION ALL SELECT 's' || s_suppkey, 'new', 'failed', 0 FROM supplier""")
 def documents_upsert(spark, sf_dir):
-    customer = _table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), "c_custkey").alias("document_id"), F.concat(F.lit("first"), "c_nationkey").alias("name"), "c_custkey", "c_nationkey")
+    customer = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), "c_custkey").alias("document_id"), F.concat(F.lit("first"), "c_nationkey").alias("name"), "c_custkey", "c_nationkey")
     old = customer.select("document_id", "name", F.lit("processing").alias("status"), F.lit(0).alias("fact_count"))
     seen = customer.where("c_custkey % 3 = 0").select("document_id", F.lit("second").alias("name"), F.lit("processed").alias("status"), F.col("c_nationkey").alias("fact_count"))
-    fresh = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("document_id"), F.lit("new").alias("name"), F.lit("failed").alias("status"), F.lit(0).alias("fact_count"))
+    fresh = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("document_id"), F.lit("new").alias("name"), F.lit("failed").alias("status"), F.lit(0).alias("fact_count"))
     extra = {"error": F.lit(None).cast("string"), "primary_entity": F.lit(None).cast("string")}
     return store.upserted_documents(old.withColumns(extra), seen.unionByName(fresh).withColumns(extra)).drop("error", "primary_entity")
 
@@ -239,16 +274,19 @@ p AS (SELECT doc_id, l[i] AS t, CAST(i - 1 AS INT) AS block_no, CAST(coalesce(li
 SELECT CAST(doc_id AS VARCHAR) AS document_id, block_no, char_start, CAST(char_start + length(t) AS INT) AS char_end FROM p WHERE t <> ''""")
 def block_offsets(spark, sf_dir):
     """Lines of documents as blocks: each is found where it stands."""
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.col("text").alias("page_text"), F.posexplode(F.split("text", "\n")).alias("block_no", "text")).where("text != ''")
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("int").alias("block_no"), x.alias("text")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "text", F.filter(line, lambda b: b["text"] != "").alias("blocks"))
     return D.block_offsets(rows).drop("page")
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, length(p_name) AS s, length(p_type) AS x, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN length(p_type) - 1 ELSE length(CAST(p_partkey AS VARCHAR)) END AS y,
+    CASE WHEN p_partkey % 3 = 1 THEN length(p_type) - 1 ELSE 0 END AS common FROM part)
+SELECT p_partkey, CASE WHEN y = 0 THEN 100 ELSE round(100 * greatest(1 - (x + y - 2 * common) / (2 * (s + 1) + x + y), 1 - (1 + x) / (s + s + 1 + x), 1 - (1 + y) / (s + s + 1 + y)), 6) END AS score FROM p""")
 def token_set_similarity(spark, sf_dir):
-    """Names of parts, each distinct pair of one last word once."""
-    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.substring_index("p_name", " ", -1).alias("last")).distinct()
-    pairs = names.join(names.select(F.col("a").alias("b"), "last"), "last").where("a < b").select("a", "b")
-    return pairs.withColumn("score", similarity(F.col("a"), F.col("b")))
+    """Each part's name and type against its name turned around, alone, with its type cut short or with a number."""
+    other = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.expr("left(p_type, length(p_type) - 1)")).otherwise(F.col("p_partkey").cast("string"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.concat_ws(" ", F.reverse(F.split("p_name", " ")), other).alias("b"))
+    return p.select("p_partkey", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 # ---------------------------------------------------------------- the report corpus
@@ -351,6 +389,20 @@ def candidate_pairs_exact(spark, sf_dir):
     )
 
 
+@query(FACTS_SQL + """SELECT a.entity, a.family, a.period_key AS period_a, b.period_key AS period_b, count(*) AS pairs FROM stored a JOIN stored b ON a.entity = b.entity AND a.family = b.family AND a.doc <> b.doc AND a.period_key < b.period_key
+WHERE a.period_key <> 'unknown' AND b.period_key <> 'unknown' GROUP BY ALL""")
+def period_contrasts(spark, sf_dir):
+    """How many pairs of different periods there are, without making them."""
+    return candidates.period_contrasts(_knowledge(spark, sf_dir).facts)
+
+
+@query(_PAIRS_SQL.replace("FROM facts a JOIN stored b", "FROM stored a JOIN stored b") + "SELECT relation, count(*) AS n FROM ruled WHERE NOT known OR period_a = period_b GROUP BY relation")
+def relationships_of_one_period(spark, sf_dir):
+    """What facts of one period, or of an unstated one, are to each other."""
+    facts = _knowledge(spark, sf_dir).facts
+    return pipeline.relate(facts, facts, EngineConfig(all_periods=False)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
 @query(FACTS_SQL + """SELECT 'lexical' AS via, count(*) AS pairs FROM stored a JOIN stored b ON a.entity = b.entity AND a.family = b.family AND a.fact_type = b.fact_type WHERE a.publisher = 'table' AND b.publisher <> 'deck'""")
 def candidate_pairs_lexical(spark, sf_dir):
     """Report facts whose phrases got one word more: subsets of words are alike, so families meet again."""
@@ -488,12 +540,124 @@ def evidence_spans(spark, sf_dir):
     return spans.groupBy("document_name").agg(F.count("*").alias("n"), F.count_if(F.col("at") > 0).alias("found"))
 
 
+# ---------------------------------------------------------------- lists in their order
+
+
+@query(FACTS_SQL + "SELECT document_name, row_number() OVER (ORDER BY doc DESC) AS place FROM (SELECT DISTINCT document_name, doc FROM facts)")
+def documents_in_order(spark, sf_dir):
+    return store.placed(store.documents_list(_knowledge(spark, sf_dir).documents)).select("document_name", "place")
+
+
+@query(FACTS_SQL + "SELECT family, raw_value, period_key, row_number() OVER (ORDER BY seq) AS place FROM stored WHERE document_name = 'table-nationc.txt'")
+def facts_of_one_document(spark, sf_dir):
+    k = _knowledge(spark, sf_dir)
+    found = store.one(k.documents, "document_name", "table-nationc.txt").first()
+    rows = store.facts_of_document(k.facts, found["document_id"] if found else "")
+    return store.placed(rows).select(F.col("canonical_attribute").alias("family"), "raw_value", "period_key", "place")
+
+
+@query(FACTS_SQL + "SELECT document_name, family, raw_value FROM stored WHERE publisher = 'counts' AND period_key = 'FY1999'")
+def facts_by_id(spark, sf_dir):
+    """Facts whose ids are asked for, some of them twice."""
+    facts = _knowledge(spark, sf_dir).facts
+    ids = facts.where("document_name LIKE 'counts%' AND period_key = 'FY1999'").select("fact_id")
+    return store.these(facts, "fact_id", ids.union(ids)).select("document_name", F.col("canonical_attribute").alias("family"), "raw_value")
+
+
+@query(FACTS_SQL + """, t AS (SELECT document_name, entity, period_key, max(norm) FILTER (family = 'total income') AS r, max(norm) FILTER (family = 'revenue') AS a, max(norm) FILTER (family = 'other income') AS b FROM stored WHERE publisher = 'table' GROUP BY ALL),
+c AS (SELECT entity, period_key AS period, abs(r - (a + b)) / greatest(abs(r), 1e-9) <= 0.01 AS ok FROM t WHERE r IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL)
+SELECT entity, period, ok AND period <> 'FY1997' AS ok, row_number() OVER (ORDER BY ok AND period <> 'FY1997', entity, period) AS place FROM c""")
+def checks_in_order(spark, sf_dir):
+    """Checks, failures first: other income of one year is taken for ten times what it was."""
+    wrong = (F.col("canonical_attribute") == "other income") & (F.col("period_key") == "FY1997")
+    facts = _knowledge(spark, sf_dir).facts.withColumn("normalized_value", F.when(wrong, F.col("normalized_value") * 10 + 1e9).otherwise(F.col("normalized_value")))
+    return store.placed(store.checks_list(consistency.identity_checks(facts))).select("entity", "period", "ok", "place")
+
+
+@query(_PAIRS_SQL + """, sums AS (SELECT relation, confidence, count(*) AS n, CASE relation WHEN 'contradicts' THEN 1 WHEN 'corroborates' THEN 2 WHEN 'contextually_different' THEN 3 WHEN 'uncertain' THEN 4 ELSE 5 END AS o FROM ruled GROUP BY ALL)
+SELECT relation, confidence, n, CAST(sum(n) OVER (ORDER BY o, confidence DESC) - n + 1 AS BIGINT) AS first_place FROM sums""")
+def reconciliation_in_order(spark, sf_dir):
+    """Where each relation and confidence begins in the view of all."""
+    rows = store.reconciliation(_knowledge(spark, sf_dir).relationships, store.RELATION_ORDER, 0.0, 1.0)
+    return store.placed(rows).groupBy("relation", "confidence").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first_place"))
+
+
+@query(FACTS_SQL + """, f AS (SELECT * FROM (SELECT * FROM stored WHERE family LIKE '%cpi%' ORDER BY confidence DESC, doc, seq LIMIT 300) WHERE contains(lower(entity), 'nationb') AND fact_type = 'percentage')
+SELECT document_name, raw_value, row_number() OVER (ORDER BY confidence DESC, doc, seq) AS place FROM f""")
+def facts_view(spark, sf_dir):
+    """A search, then an entity and a type: a report of 300 at most."""
+    rows = store.facts_view(_knowledge(spark, sf_dir).facts, "cpi", "NationB", "percentage")
+    return store.placed(rows).select("document_name", "raw_value", "place")
+
+
+# ---------------------------------------------------------------- rules and gates that the reports do not reach
+
+_BIG = "₹ 9,99,999 crore"
+#: What a ledger's fact is changed to, and what it then is to the unchanged one.
+_VARIANTS = [
+    ("unreadable", {"raw_value": "n/a"}, "R2", "uncertain", 0.3, ""), ("unsure", {"raw_value": _BIG, "confidence": 0.5}, "R7", "uncertain", 0.4, ""),
+    ("vintage", {"raw_value": _BIG, "status": "estimate"}, "R8", "contradicts", 0.709, "different reporting basis (estimate vs actual)"),
+    ("meaning", {"raw_value": _BIG, "definition": "alpha beta"}, "R6", "contextually_different", 0.99, "different metric definitions"),
+    ("one meaning", {"raw_value": _BIG, "definition": "delta gamma"}, "R8", "contradicts", 0.834, ""),
+    ("other scope", {"raw_value": _BIG, "scope": "standalone"}, "R6", "contextually_different", 0.99, "different scope (standalone vs consolidated)"),
+    ("other unit", {"normalized_unit": "percent"}, "R1", "related_not_comparable", 0.4, ""), ("no period", {"raw_value": _BIG, "kind": "unknown"}, "R3b", "uncertain", 0.35, ""),
+    ("the same", {}, "R5", "corroborates", 0.906, ""),
+]
+
+
+@query(FACTS_SQL + f"SELECT variant, rule, relation, v.confidence, differences, entity, count(*) AS n FROM stored, {_literal([(n, r, x, c, d) for n, _, r, x, c, d in _VARIANTS], 'variant, rule, relation, confidence, differences')} WHERE publisher = 'ledger' GROUP BY ALL")
+def rule_variants(spark, sf_dir):
+    """Each ledger fact against changed copies of itself."""
+    from functools import reduce
+
+    from ..operators import classify
+
+    facts = _knowledge(spark, sf_dir).facts.where("document_name LIKE 'ledger%'").withColumn("definition", F.lit("gamma delta"))
+
+    def changed(name: str, changes: dict) -> DataFrame:
+        kind = changes.pop("kind", None)
+        out = facts.withColumns({"definition": F.lit(None).cast("string")} | {c: F.lit(v) for c, v in changes.items()} | {"fact_id": F.concat("fact_id", F.lit("/" + name))})
+        return out.withColumn("period", F.col("period").withField("kind", F.lit(kind))) if kind else out
+
+    copies = written(reduce(DataFrame.unionByName, [changed(n, dict(c)) for n, c, *_ in _VARIANTS]), "variants")
+    pairs = copies.select(F.col("fact_id").alias("a_id"), F.col("seq").alias("a_seq"), F.substring_index("fact_id", "/", 1).alias("b_id"))
+    rows = classify.classified(classify.paired(pairs, copies, facts)).join(facts.select(F.col("fact_id").alias("fact_b_id"), F.col("canonical_entity").alias("entity")), "fact_b_id")
+    return rows.groupBy(F.substring_index("fact_a_id", "/", -1).alias("variant"), "rule", "relation", "confidence", F.array_join("context_differences", "; ").alias("differences"), "entity").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH n AS (SELECT n_nationkey AS k, 'Nation' || chr(97 + n_nationkey) AS entity FROM nation),
+rows AS (
+  SELECT entity, 'net worth' AS family, 'FY' || (2019 + i % 2) AS period_key, CAST((k + 1 + i) * 1e6 AS DOUBLE) AS norm, 'INR' AS unit, CASE WHEN i < 2 THEN 'standalone' ELSE 'consolidated' END AS scope, CAST(0.7 AS DOUBLE) AS confidence, NULL AS definition, 'unknown' AS status FROM n, range(4) AS r(i)
+  UNION ALL SELECT entity, 'team size', 'FY' || (2019 + i % 2), CAST(k + 11 + i AS DOUBLE), 'count', NULL, 0.42, 'Permanent staff of the firm', 'unknown' FROM n, range(4) AS r(i)
+  UNION ALL SELECT entity, 'other income', 'FY2020', CAST((k + 1) * 1e7 + 5e6 AS DOUBLE), 'INR', NULL, 0.6, NULL, 'actual' FROM n
+  UNION ALL SELECT entity, 'total income', 'FY2020', CAST((k + 7) * 1e7 AS DOUBLE), 'INR', 'consolidated', 0.55, NULL, 'unknown' FROM n
+  UNION ALL SELECT entity, 'gdp growth', 'FY2020', k % 10 + 0.5, 'percent', NULL, 0.78, NULL, 'unknown' FROM n
+  UNION ALL SELECT entity, 'gva share', 'FY2020', k % 10 + 0.5, 'percent', NULL, 0.78, NULL, 'unknown' FROM n)
+SELECT * FROM rows""")
+def edge_reports(spark, sf_dir):
+    """Column scopes, notes, short headings, inferred periods, growth and share, and percentages that are no fact."""
+    k, s = F.col("n_nationkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = s("Nation", F.chr(k + 97))
+    cells = lambda first, n, tail: [(k + first + i).cast("string") if not tail else s((k + first + i).cast("string"), tail) for i in range(n)]
+    rate = s((k % 10).cast("string"), ".5 per cent")
+    text = F.concat_ws(
+        "\n\n", F.concat_ws(" ", F.lit("Notes about"), *[name] * 6), F.lit("In FY2019 and FY2019 but also FY2020 much went on."), F.lit("(1) Permanent staff of the firm"),
+        s("Other income stood at ₹ ", (k + 1).cast("string"), ".50 crore."), F.lit("Nominal GDP growth was 36.5 per cent in FY2019."), s("GDP was ", rate, " in FY2020 as output rose."),
+        s("GVA was ", rate, " in FY2020."), F.lit("Net worth was 12.5 per cent in FY2020."))
+    said = [s("₹", (k + 7).cast("string"), " crore\nTotal income YoY"), F.lit("Standalone Consolidated\nFY2019\nFY2020\nFY2019\nFY2020"),
+            F.concat_ws("\n", F.lit("Net worth (₹ in million)"), *cells(1, 4, ".00")), F.concat_ws("\n", F.lit("Team size(1)"), *cells(10, 5, ""))]
+    blocks = F.array(*[F.struct(F.lit(i).alias("block_no"), t.alias("text"), F.lit(i * 1000).alias("char_start"), F.lit(i * 1000).alias("char_end")) for i, t in enumerate(said, 1)]).cast(fact_ops.BLOCKS_TYPE)
+    pages = table(spark, sf_dir, "nation").select(s("edge", k.cast("string")).alias("document_id"), s("edges-", F.lower(name), ".txt").alias("document_name"), k.cast("long").alias("ingest_seq"), F.lit(1).alias("page"), text.alias("text"), blocks.alias("blocks"))
+    facts = fact_ops.extract_facts(pages)
+    return facts.select(F.col("canonical_entity").alias("entity"), F.col("canonical_attribute").alias("family"), "period_key", F.col("normalized_value").alias("norm"), F.col("normalized_unit").alias("unit"), "scope", "confidence", "definition", "status")
+
+
 @query("""SELECT c_custkey AS file_no, CASE WHEN c_custkey % 4 = 0 THEN 'not a pdf name' WHEN c_custkey % 4 = 1 THEN 'not a pdf' END AS reject_reason, c_custkey % 4 > 1 AS accepted,
   replace(c_name, '#', '_') || CASE WHEN c_custkey % 4 = 0 THEN '.txt' ELSE '.pdf' END AS safe_name FROM customer""")
 def upload_checks(spark, sf_dir):
     kind = F.col("c_custkey") % 4
     content = F.when(kind == 1, F.lit("plain text")).otherwise(F.concat(F.lit("%PDF-1.7 "), "c_name")).cast("binary")
-    files = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_no"), F.concat("c_name", F.when(kind == 0, ".txt").otherwise(".pdf")).alias("name"), content.alias("content"))
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_no"), F.concat("c_name", F.when(kind == 0, ".txt").otherwise(".pdf")).alias("name"), content.alias("content"))
     return D.checked_uploads(files).select("file_no", "reject_reason", "accepted", "safe_name")
 
 
@@ -502,7 +666,7 @@ def incremental_equals_batch(spark, sf_dir):
     """The report corpus in three micro-batches of a stream."""
     from ..streaming.incremental import KnowledgeStore, ingest_stream
 
-    base = f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     pages = _pages(spark, sf_dir).drop("publisher")
     for i, (low, high) in enumerate(((0, 300), (300, 600), (600, 10_000))):
         part = pages.where(F.col("ingest_seq").between(low, high - 1))

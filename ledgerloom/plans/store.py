@@ -35,6 +35,18 @@ def one(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(key) == value)
 
 
+def these(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of many ids (the column `key` of a table); an id that comes twice is looked up once."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def by_content(documents: DataFrame, content: bytes) -> DataFrame:
+    """The documents (document_id, ...) that these bytes are."""
+    import hashlib
+
+    return one(documents, "document_id", hashlib.sha256(content).hexdigest()[:16])
+
+
 def facts_of_document(facts: DataFrame, document_id: str) -> DataFrame:
     return one(facts, "document_id", document_id).orderBy("page", "seq")
 
@@ -64,6 +76,27 @@ def search(facts: DataFrame, text: str, limit: int = 100) -> DataFrame:
     return facts.where(like("attribute") | like("canonical_entity") | like("canonical_attribute")).orderBy(F.desc("confidence"), "ingest_seq", "seq").limit(min(limit, 1000))
 
 
+def facts_view(facts: DataFrame, text: str = "", entity: str = "", fact_type: str = "", limit: int = 400) -> DataFrame:
+    """What is looked for, or the list where nothing is; of these, those that fit the entity and the type; the surest first."""
+    rows = search(facts, text, 300) if text else facts_list(facts, entity or None, None, fact_type or None, limit)
+    if text and entity:
+        rows = rows.where(F.lower("canonical_entity").contains(entity.lower()))
+    if text and fact_type:
+        rows = rows.where(F.col("fact_type") == fact_type)
+    return rows.orderBy(F.desc("confidence"), "ingest_seq", "seq").limit(limit)
+
+
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Numbers the rows of a short ordered list from 1."""
+    at = F.row_number().over(Window.orderBy("_at"))
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn(name, at).drop("_at")
+
+
+def health(documents: DataFrame, facts: DataFrame, rels: DataFrame) -> DataFrame:
+    """One row: ok, and the counts of all three."""
+    return stats(documents, facts, rels).select(F.lit("ok").alias("status"), "documents", "facts", "relationships")
+
+
 def relationships_list(rels: DataFrame, relation: str | None = None, min_confidence: float = 0.0, limit: int = 500) -> DataFrame:
     rows = rels.where(F.col("confidence") >= min_confidence)
     if relation:
@@ -117,8 +150,8 @@ def without_document(documents: DataFrame, facts: DataFrame, rels: DataFrame, go
 
 
 def per_document(documents: DataFrame, facts: DataFrame, rels: DataFrame) -> DataFrame:
-    """Counters of each document: its facts and the relationships that it brought."""
-    n_facts = facts.groupBy("document_id").agg(F.count("*").alias("fact_count"))
+    """Counters of each document: its facts, those of them that a model gave, and the relationships that it brought."""
+    n_facts = facts.groupBy("document_id").agg(F.count("*").alias("fact_count"), F.count_if(F.col("method") == "llm_assisted").alias("model_facts"))
     brought = rels.join(facts.select(F.col("fact_id").alias("fact_a_id"), "document_id"), "fact_a_id").groupBy("document_id").agg(F.count("*").alias("relationship_count"))
     out = documents.join(n_facts, "document_id", "left").join(brought, "document_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fact_count", "relationship_count")})
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fact_count", "model_facts", "relationship_count")})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import EngineConfig
 from ..functions.text import is_scanned, printed_page, safe_name
+from .pdf import block_spans
 from .shared import written
 
 
@@ -52,20 +56,22 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(parts).alias("block_no", "text"))
 
 
-def block_offsets(blocks: DataFrame) -> DataFrame:
-    """Adds char_start and char_end of blocks (document_id, page, block_no, text, page_text): found behind the block before, else anywhere, else at 0."""
+def block_offsets(pages: DataFrame) -> DataFrame:
+    """(document_id, page, block_no, char_start, char_end) of the blocks of pages (document_id, page, text, blocks: block_no and text): found behind the block before, else anywhere, else at 0. A page is one row and stays where it is."""
+    keep = ["document_id", "page"]
+    schema = T.StructType([*(pages.schema[n] for n in keep), T.StructField("spans", T._parse_datatype_string("array<struct<block_no:int,char_start:int,char_end:int>>"))])
+    kind = to_arrow_type(schema["spans"].dataType)
 
-    def run(pdf):
-        pdf = pdf.sort_values("block_no")
-        at, starts = 0, []
-        for text, page in zip(pdf["text"], pdf["page_text"], strict=True):
-            found = page.find(text, at)
-            found = page.find(text) if found < 0 else found
-            starts.append(max(found, 0))
-            at = starts[-1] + len(text)
-        return pdf.assign(char_start=starts, char_end=[s + len(t) for s, t in zip(starts, pdf["text"], strict=True)])[["document_id", "page", "block_no", "char_start", "char_end"]]
+    def spans(text, blocks):
+        blocks = sorted(blocks or [], key=lambda b: b["block_no"])
+        return [b | {"block_no": n["block_no"]} for b, n in zip(block_spans(text or "", [b["text"] for b in blocks]), blocks, strict=True)]
 
-    return blocks.groupBy("document_id", "page").applyInPandas(run, "document_id string, page int, block_no int, char_start int, char_end int")
+    def run(batches):
+        for b in batches:
+            found = [spans(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("blocks").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array([[{k: s[k] for k in ("block_no", "char_start", "char_end")} for s in page] for page in found], kind)], names=schema.names)
+
+    return pages.select(*keep, "text", "blocks").mapInArrow(run, schema).select(*keep, F.explode("spans").alias("s")).select(*keep, "s.*")
 
 
 def located(facts: DataFrame, pages: DataFrame) -> DataFrame:

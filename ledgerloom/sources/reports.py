@@ -12,18 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.facts import BLOCKS_TYPE
+from .shared import table
 
 MONEY = "decimal(18,2)"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nation, entity, fy, orders, final, net, tax, lines, customers, n): amounts of each nation and Indian fiscal year, exact decimals."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY).alias("total"), (F.year("o_orderdate") + (F.month("o_orderdate") >= 4).cast("int")).alias("fy"))
-    of_nation = orders.join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY).alias("total"), (F.year("o_orderdate") + (F.month("o_orderdate") >= 4).cast("int")).alias("fy"))
+    of_nation = orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
     by_order = of_nation.groupBy("nation", "fy").agg(
         F.sum("total").alias("orders"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("total"))).alias("final"),
         F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("n"))
@@ -31,9 +28,9 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lambda n: F.round(F.col(n) * 100).cast("long")
     net, exact = whole("l_extendedprice") * (100 - whole("l_discount")), lambda c, digits: (F.sum(F.col(c).cast("decimal(24,0)")) * F.lit(Decimal(1).scaleb(-digits))).cast(MONEY)
     gross = net * (100 + whole("l_tax"))
-    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), net.alias("net"), gross.alias("gross")).groupBy("o_orderkey").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), net.alias("net"), gross.alias("gross")).groupBy("o_orderkey").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"))
     by_line = of_nation.select("o_orderkey", "nation", "fy").join(lines, "o_orderkey").groupBy("nation", "fy").agg(exact("net", 4).alias("net"), exact("gross", 6).alias("lines")).withColumn("tax", F.col("lines") - F.col("net"))
-    names = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.concat(F.lit("Nation"), F.chr(F.col("n_nationkey") + 97)).alias("entity"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.concat(F.lit("Nation"), F.chr(F.col("n_nationkey") + 97)).alias("entity"))
     return by_order.join(by_line, ["nation", "fy"], "left").join(names, "nation")
 
 

@@ -1,5 +1,8 @@
 """Pages to facts to relationships."""
 
+import hashlib
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,18 +28,45 @@ def test_narrative_pieces():
 def test_table_pieces():
     blocks = [{"block_no": i, "text": t, "char_start": 0, "char_end": 0} for i, t in enumerate(["FY2023\nFY2024", "Total income (₹ in million)\n100.00\n120.00", "Team size(1)\n5\n6\n7", "Lone\n5"])]
     got = list(scan.tables("(1) Permanent staff only", blocks))
-    assert [(g["attribute"], g["raw_value"], g["period_text"], g["column_confidence"]) for g in got] == [
+    assert [(g["attribute"], g["raw_value"], g["column"] and g["column"]["raw"], g["column_confidence"]) for g in got] == [
         ("Total income (₹ in million)", "100.00", "FY2023", 1.0), ("Total income (₹ in million)", "120.00", "FY2024", 1.0),
         ("Team size", "5", None, 0.6), ("Team size", "6", "FY2023", 0.6), ("Team size", "7", "FY2024", 0.6)]
     assert got[2]["definition"] == "Permanent staff only"
 
 
 def test_headers():
-    assert scan.header_periods("Q4 FY24 Q3 FY24 FY2023") == ["Q4 FY24", "Q3 FY24", "FY2023"]
-    assert scan.header_periods("nine months ended December 31, 2021 fiscal 2020") == ["nine months ended December 31, 2021", "year ended March 31, 2020"]
+    kinds = lambda text: [(c.kind, c.year, c.quarter, c.day) for c in scan.header_columns(text)]
+    assert kinds("Q4 FY24 Q3 FY24 FY2023") == [("quarter", 2024, 4, None), ("quarter", 2024, 3, None), ("fiscal_year", 2023, None, None)]
+    assert kinds("nine months ended December 31, 2021 fiscal 2020") == [("range", 2022, None, date(2021, 12, 31)), ("fiscal_year", 2020, None, date(2020, 3, 31))]
+    assert kinds("Year ended March 31, 2024 and, on another day, as at June 30, 2024") == [("fiscal_year", 2024, None, date(2024, 3, 31)), ("as_of", 2025, None, date(2024, 6, 30))]
+    assert kinds("FY ended December 31, 2023") == [("as_of", 2024, None, date(2023, 12, 31))] and kinds("half ended June 30, 2023")[0][0] == "range"
+    assert kinds("FY1999-00 FY24/2025 2019") == [("fiscal_year", 2000, None, None), ("fiscal_year", 2025, None, None), ("calendar_year", None, None, date(2019, 12, 31))]
+    assert kinds("FY123") == [] and kinds("February 31, 1850") == [] and kinds("February 31, 1950")[0][0] == "calendar_year" and kinds("February 28, 1850")[0][0] == "as_of"
     assert scan.column_scopes("Standalone Consolidated", 4) == ["standalone"] * 2 + ["consolidated"] * 2
     assert scan.column_scopes("Consolidated", 2) == ["consolidated"] * 2 and scan.column_scopes("", 1) == [None]
-    assert not scan.names_period("FY123") and not scan.names_period("February 31, 1850") and scan.names_period("February 28, 1850")
+
+
+def test_column_periods_are_those_of_their_text(spark):
+    """A typed column agrees with what the same span means in running text."""
+    from ledgerloom.functions import periods as P
+
+    texts = ["Q4 FY24", "FY2023-24", "FY1999-00", "March 31, 2024", "June 30, 2024", "2019", "FY 07", "February 31, 1950"]
+    rows = spark.createDataFrame([(t, tuple(scan.header_columns(t)[0])) for t in texts], "text string, c struct<kind:string,raw:string,year:int,quarter:int,day:date>")
+    got = rows.select("text", P.column_period(F.col("c")).alias("a"), P.parse_period(F.col("text")).alias("b")).collect()
+    same = ("kind", "label", "fy_end_year", "quarter", "end_date")
+    assert [[r["a"][n] for n in same] for r in got] == [[r["b"][n] for n in same] for r in got]
+
+
+def test_names_of_metrics():
+    assert scan.metric_name(" ,: And the total revenue ;") == "total revenue"
+    assert scan.metric_name("In the meanwhile our net worth,") == "net worth" and scan.metric_name("the of") is None
+    assert scan.metric_name(" ".join(f"word{i}" for i in range(20))) == " ".join(f"word{i}" for i in range(8, 20))
+
+
+def test_a_new_heading_starts_a_new_table():
+    block = lambda i, t: {"block_no": i, "text": t, "char_start": i, "char_end": i}
+    got = list(scan.tables("", [block(0, "As at\nMarch 31,"), block(1, "2023\n2024"), block(2, "2025\nNet worth\n1\n2\n3"), block(3, "Standalone\nFY2020\nFY2021"), block(4, "Net worth\n4\n5"), block(5, "Other income\n6\n7")]))
+    assert [(g["raw_value"], g["column"]["year"] or g["column"]["day"].year, g["scope"]) for g in got if g["column"]] == [("1", 2023, None), ("2", 2024, None), ("3", 2025, None), ("4", 2020, "standalone"), ("5", 2021, "standalone"), ("6", 2020, "standalone"), ("7", 2021, "standalone")]
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +100,7 @@ def test_relationships(known):
     kinds = {(r["relation"], r["confidence"]) for r in rows}
     assert ("corroborates", 0.894) in kinds and any(r["relation"] == "contradicts" for r in rows)
     five = next(r for r in rows if r["rule"] == "R5")
-    assert five["context_differences"] == ["different units (cr vs million)", "different scope (unspecified vs consolidated)"] and "reconciled across" in five["explanation"]
+    assert five["context_differences"] == ["different units (cr vs million)", "different scope (unspecified vs consolidated)"] and "written in different units" in five["explanation"]
 
 
 def test_store(spark, known):
@@ -133,8 +163,8 @@ def test_uploads_and_hashes(spark):
 
 
 def test_block_offsets(spark):
-    rows = spark.createDataFrame([("d", 1, 0, "b", "a b a"), ("d", 1, 1, "a", "a b a"), ("d", 1, 2, "zz", "a b a")], "document_id string, page int, block_no int, text string, page_text string")
-    assert [(r["char_start"], r["char_end"]) for r in D.block_offsets(rows).orderBy("block_no").collect()] == [(2, 3), (4, 5), (0, 2)]
+    rows = spark.createDataFrame([("d", 1, "a b a", [(2, "zz"), (0, "b"), (1, "a")]), ("d", 2, None, [(0, "x")]), ("e", 1, "x", None), ("f", 1, "", [])], "document_id string, page int, text string, blocks array<struct<block_no:int,text:string>>")
+    assert sorted(map(tuple, D.block_offsets(rows).collect())) == [("d", 1, 0, 2, 3), ("d", 1, 1, 4, 5), ("d", 1, 2, 0, 2), ("d", 2, 0, 0, 1)]
 
 
 def test_files_from_a_folder(spark, tmp_path):
@@ -148,6 +178,26 @@ def test_files_from_a_folder(spark, tmp_path):
     assert pipeline.build(rows.drop("error")).documents.count() == 2
 
 
+def test_a_folder_of_files(spark, tmp_path):
+    """Path to knowledge in one call; what fails or comes twice is told."""
+
+    def loader(content: bytes):
+        if b"broken" in content:
+            raise ValueError("malformed")
+        return [(content.decode().removeprefix("%PDF-"), [])]
+
+    said = b"%PDF-Acme Acme Acme Acme Acme Acme.\n\nNet worth stood at 5 crore in FY2024."
+    for name, content in (("a.pdf", said), ("b.pdf", b"%PDF-broken"), ("c.pdf", said), ("d.txt", said), ("e.pdf", b"no pdf"), ("f.pdf", b"%PDF-known already, long enough")):
+        (tmp_path / name).write_bytes(content)
+    known = spark.createDataFrame([(hashlib.sha256(b"%PDF-known already, long enough").hexdigest(),)], "sha256 string")
+    report, knowledge = pipeline.ingested(spark, str(tmp_path), loader, known)
+    assert {r["name"]: (r["status"], r["error"], r["page_count"]) for r in report.collect()} == {
+        "a.pdf": ("processed", None, 1), "b.pdf": ("failed", "malformed", 0), "c.pdf": ("duplicate", None, None), "d.txt": ("rejected", "not a pdf name", None),
+        "e.pdf": ("rejected", "not a pdf", None), "f.pdf": ("duplicate", None, None)}
+    assert [r["canonical_attribute"] for r in knowledge.facts.collect()] == ["net worth"]
+    assert store.by_content(knowledge.documents, said).count() == 1 and store.by_content(knowledge.documents, b"x").count() == 0
+
+
 def test_labelled(known):
     cases = known.facts.sparkSession.createDataFrame([("r", "India", "revenue", "bulletin", "81,415.38", "deck", "8,142", "corroborates"), ("m", "India", "revenue", "none", "1", "deck", "8,142", "contradicts")],
                                                      "name string, entity string, family string, doc_a string, value_a string, doc_b string, value_b string, expected string")
