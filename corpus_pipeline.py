@@ -10,6 +10,10 @@ from ledgerloom.llm.common import shared_dir, table, written
 from ledgerloom.llm.sampling import fold
 
 
+#: Begins the names of columns that stages add for themselves.
+OWN = "__pipeline_"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null texts and texts without a letter); the model comes from the labelled rows of the training folds of documents."""
     model = langid.fit(table(spark, sf_dir, "documents").where(fold(4) != 2))
@@ -18,12 +22,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group (five-word shingles, 0.8): that with the smallest doc_id. Of rows alike in doc_id and text one stays."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = minhash.near_duplicates(docs).where("kept").select(key.alias("__k"), F.coalesce("text_key", F.lit(0)).alias("__t")).distinct()
-    keyed = docs.withColumn("__key", key).withColumn("__text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    found = keyed.join(kept.hint("merge"), (F.col("__key") == F.col("__k")) & (F.col("__text_key") == F.col("__t")), "left_semi")
-    return found.dropDuplicates(["__key", "__text_key"]).select(*docs.columns)
+    """Keeps one row of each group (five-word shingles, 0.8): that with the smallest doc_id, of rows of one doc_id that with the smallest hash of its text. Of rows alike in doc_id and text one stays; texts without shingles are no group."""
+    found = minhash.near_duplicates(docs).select("component", "doc_id", "text_key")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_key")
+    kept = first.union(found.where("component IS NULL").select("doc_id", "text_key")).distinct().select(F.xxhash64("doc_id", "text_key").alias(f"{OWN}row"), F.col("doc_id").alias(f"{OWN}doc"), F.col("text_key").alias(f"{OWN}text"))
+    named = docs.withColumns({f"{OWN}key": F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), f"{OWN}text_key": F.xxhash64("text")})
+    same = (F.col(f"{OWN}key") == F.col(f"{OWN}row")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}doc")) & (F.col(f"{OWN}text_key") == F.col(f"{OWN}text"))
+    alone = named.join(kept.hint("merge"), same, "left_semi")
+    return alone.dropDuplicates([f"{OWN}key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

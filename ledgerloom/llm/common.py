@@ -2,51 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import shared_dir
+from ..sources.shared import forget, scratch, shared_dir, table, written
+
+__all__ = ["WORD", "forget", "mapped", "mix", "row_salt", "scratch", "shared_dir", "shingle_sets", "shingles", "spread_join", "table", "word_hashes", "written"]
 
 #: White space that separates words, by contract of the queries.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing but a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ledgerloom_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes written() tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._ledgerloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, str], make) -> DataFrame:
-    """The columns of `keep` as they are and, beside them, those of `made` (name: type), which make() gets from the input columns, lists of Python values, a batch at a time."""
+def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, str], make, per_task: bool = False) -> DataFrame:
+    """The columns of `keep` as they are and, beside them, those of `made` (name: type), which make() gets from the input columns, lists of Python values, a batch at a time. per_task: make() gives that function, anew for each task."""
     schema = T.StructType([*(df.schema[n] for n in keep), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in made.items())])
     types = [to_arrow_type(schema[n].dataType) for n in made]
 
     def run(batches):
+        one = make() if per_task else make
         for b in batches:
-            new = make(*(b.column(n).to_pylist() for n in inputs))
+            new = one(*(b.column(n).to_pylist() for n in inputs))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *(pa.array(x, k) for x, k in zip(new, types, strict=True))], names=[*keep, *made])
 
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
@@ -56,12 +35,17 @@ def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, st
 HOT, SALTS = 256, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
-    """left left-joined with right (one row a key). A key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt by a hash of `by`."""
+def row_salt() -> Column:
+    """Deals the rows of a written table, those too that are alike in all columns; the same again if a task is repeated."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """left (a scan) left-joined with right (one row a key). A key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt over SALTS tasks."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(sizes.where(F.col("n") * HOT > total).select(F.col(key), F.lit(True).alias("__hot")))  # HOT rows at most
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
-    a = left.join(hot, key, "left").withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    a = left.withColumn("__row", row_salt()).join(hot, key, "left").withColumn("__salt", F.when(is_hot, F.col("__row")).otherwise(0)).drop("__hot", "__row")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
     return a.join(b.hint("merge"), [key, "__salt"], "left").drop("__salt")

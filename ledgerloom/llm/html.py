@@ -324,7 +324,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     tokens = tokens.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
     found = written(templates(tokens), "templates")
     sizes = written(rows.groupBy("host").agg(F.count("*").alias("n")), "sizes")
-    joined = spread_join(rows, found, "host", "page_id", sizes)
+    joined = spread_join(rows, found, "host", sizes)
     out = mapped(joined, ["page_id", "url"], ["host", "pages", "classes", "html"], {"text": "string"}, _extract)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

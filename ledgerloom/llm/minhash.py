@@ -7,12 +7,15 @@ registers propose pairs, the collision-corrected estimate of the Jaccard index t
 that are far off, and the full sets decide the rest. Sets of few shingles are also proposed by what is left
 of them without any DELETED shingles or fewer, which finds all links between such sets.
 
-Copies: equal sets are one node. Within a band's bucket every node is first held against the
-bucket's smallest node only. Buckets that are then of one component need nothing more. In the
-others the largest component and the rest are dealt out in blocks of BLOCK nodes; a task holds
-one block against another, and gives back one link at most for each pair of components that it
-joins. So no link between different components is lost, no group is expanded into all its
-pairs, and no task gets more than two blocks.
+A node is a shingle set, whatever documents it comes from; doc_ids are put to sets at the end.
+Within a band's bucket every node is first held against the bucket's smallest node only. Buckets
+that are then of one component need nothing more. In the others the largest component and the
+rest are dealt out in blocks of BLOCK nodes; a task holds one block against another, and gives
+back one link at most for each pair of components that it joins. So no link between different
+components is lost, no group is expanded into all its pairs, and no task gets more than two blocks.
+A node of an open bucket of n nodes outside the largest component is copied n / BLOCK times.
+Two sets in the bucket of a core are linked if both leave out few enough shingles, so the one that
+leaves out least is linked with all that are linked with any: such buckets are never open.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, mapped, mix, shingle_sets, table, written
+from .common import forget, mapped, mix, shingle_sets, spread_join, table, written
 from .graph import components
 
 BANDS, ROWS = 40, 6
@@ -82,42 +85,63 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return key
 
 
-def cores(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a small set and of what is left without as many shingles as a link leaves out at most. Linked small sets have the key of their intersection in common; larger sets have none."""
-    lacking = len(hashes) * (100 - percent) // 100
-    if not len(hashes) or lacking > DELETED:
-        return np.empty(0, np.uint64)
+def lacking(n: int, percent: int) -> int:
+    """How many shingles a set of n may have that a linked one has not."""
+    return n * (100 - percent) // 100
+
+
+def cores(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a small set and of what is left without as many shingles as a link leaves out at most, and how many each leaves out. Linked small sets have the key of their intersection in common; larger sets have none."""
+    most = lacking(len(hashes), percent)
+    if not len(hashes) or most > DELETED:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     folded = mix(hashes)
     sums = [folded.sum(dtype=np.uint64, keepdims=True)]
-    if lacking >= 1:
+    if most >= 1:
         sums.append(sums[0] - folded)
-    if lacking >= 2:
+    if most >= 2:
         i, j = np.triu_indices(len(hashes), 1)
         sums.append(sums[0] - folded[i] - folded[j])
-    return mix(np.concatenate(sums) + np.uint64(15485863))
+    return mix(np.concatenate(sums) + np.uint64(15485863)), np.repeat(np.arange(len(sums)), [len(x) for x in sums])
+
+
+def keys(hashes: np.ndarray, registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(key, left_out) of all buckets of a set: its cores, and its bands (left_out: -1) unless all that it may link with have cores, too."""
+    core, left_out = cores(hashes, percent)
+    band = np.empty(0, np.uint64) if len(hashes) and lacking(len(hashes) * 100 // percent, percent) <= DELETED else bands(registers)
+    return list(zip(np.concatenate([band, core]).view(np.int64).tolist(), [-1] * len(band) + left_out.tolist(), strict=True))
+
+
+def _set_key(hashes: np.ndarray) -> str:
+    folded = mix(hashes)
+    return f"{int(folded.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(folded)):016x}"
 
 
 def _sketched(width: int, percent: int):
     def run(texts):
         out = []
         for hashes in shingle_sets(texts, width):
-            registers, folded = sketch(hashes), mix(hashes)
-            key = f"{int(folded.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(folded)):016x}"
-            out.append((len(hashes), key, registers.tobytes() if len(hashes) else None, np.concatenate([bands(registers), cores(hashes, percent)]).view(np.int64)))
+            registers = sketch(hashes)
+            some = len(hashes) > 0
+            out.append((len(hashes), _set_key(hashes) if some else None, registers.tobytes() if some else None, keys(hashes, registers, percent)))
         return list(zip(*out, strict=True)) or [[]] * 4
 
     return run
 
 
-def _sets(width: int, wanted: np.ndarray):
-    """Full sets of the nodes whose bit is set; of others, null."""
+def _sets(width: int, wanted: np.ndarray, given: set):
+    """(set_key, hashes) of the rows whose bit is set; of others, and of rows that `given` has, nulls."""
     bits = np.uint64(len(wanted) * 64 - 1)
 
-    def run(nodes, texts):
-        h = mix(np.array([x if x is not None else -1 for x in nodes], np.int64).view(np.uint64)) & bits
-        hit = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-        found = shingle_sets([t for t, x in zip(texts, hit, strict=True) if x], width)
-        return [[next(found).view(np.int64) if x else None for x in hit]]
+    def run(rows, texts):
+        h = mix(np.array(rows, np.int64).view(np.uint64)) & bits
+        hit = ((wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+        for i in np.flatnonzero(hit):
+            hit[i] = rows[i] not in given
+            given.add(rows[i])
+        found = list(shingle_sets([t for t, x in zip(texts, hit, strict=True) if x], width))
+        at = iter(found)
+        return list(zip(*[(_set_key(s), s.view(np.int64)) if x and len(s := next(at)) else (None, None) for x in hit], strict=True)) or [[]] * 2
 
     return run
 
@@ -127,16 +151,22 @@ FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 
 
 def _full_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the nodes. Their texts are picked by a broadcast filter of bounded size, so texts are never shuffled; what it lets pass wrongly goes in the later join."""
+    """(node, hashes) of nodes (node, set_key, row: the row that stands for the set). Texts (row, text) are picked by a broadcast filter of bounded size, so they are never shuffled; what it lets pass wrongly goes in the join. Of rows alike a task gives one."""
     n = nodes.count()
     size = min(FILTER_BITS_MOST, max(1 << 16, 1 << int(n * FILTER_BITS_EACH).bit_length()))
-    at = mapped(nodes.select("node"), [], ["node"], {"bit": "long"}, lambda x: [(mix(np.array(x, np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)])
+    at = mapped(nodes.select("row"), [], ["row"], {"bit": "long"}, lambda x: [(mix(np.array(x, np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)])
     words = at.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
     wanted = np.zeros(size // 64, np.int64)
     got = words.toPandas()  # FILTER_BITS_MOST / 64 rows at most
     wanted[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
     shared = nodes.sparkSession.sparkContext.broadcast(wanted.view(np.uint64))
-    return mapped(texts, ["node"], ["node", "text"], {"hashes": "array<long>"}, lambda i, t: _sets(width, shared.value)(i, t)).where("hashes IS NOT NULL")
+
+    def task():
+        given: set = set()  # of one task
+        return lambda rows, t: _sets(width, shared.value, given)(rows, t)
+
+    found = mapped(texts, [], ["row", "text"], {"set_key": "string", "hashes": "array<long>"}, task, per_task=True).where("set_key IS NOT NULL")
+    return nodes.select("node", "set_key").join(found.groupBy("set_key").agg(F.first("hashes").alias("hashes")).hint("merge"), "set_key").select("node", "hashes")
 
 
 def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -198,39 +228,46 @@ def _block_links(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) for each row of docs (doc_id, text; other columns are not read).
-
-    Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `width`-word
-    shingles; component_id is the smallest doc_id that links reach. A null or empty text has no
-    shingle and no link. Every row is judged by its own text, also if a doc_id comes twice. Rows without
-    doc_id link nothing and get the component of an equal set, else null. No rows give no rows. kept: doc_id equals component_id, nulls included.
+    """doc_id, n_shingles, component_id, kept, text_key (a hash of the text) and component (a number) for each row of docs (doc_id, text; other columns are not read).
+
+    Two rows are linked if 100 * |A & B| >= percent * |A | B| over their sets of `width`-word
+    shingles; component_id is the smallest doc_id that links reach. Every row is judged by its own
+    text: rows of one doc_id are linked by their texts only. Rows without doc_id link like others;
+    component_id is null where links reach no doc_id. A null or empty text has no shingle, no link and
+    no component, its component_id is its doc_id. Repeated rows stay. No rows give no rows. kept:
+    doc_id equals component_id, nulls included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], {"n_shingles": "long", "set_key": "string", "registers": "binary", "bands": "array<long>"}, _sketched(width, percent)), "sketched")
-    head = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands")).alias("head")
-    heads = written(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(head).select("set_key", "head.*"), "heads")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-
-    # every node of a bucket against its smallest
-    in_band = heads.select("node", F.explode(F.array_distinct("bands")).alias("band"))
-    leaders = in_band.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(in_band.hint("merge").join(leaders, "band"), "members")  # of buckets of two or more
-    stars = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    made = {"n_shingles": "long", "set_key": "string", "registers": "binary", "keys": "array<struct<key:bigint,left_out:int>>"}
+    sketched = written(mapped(docs, ["doc_id", "text_key"], ["text"], made, _sketched(width, percent)), "sketched")
+    row = F.xxhash64("doc_id", "text_key")
+    first = F.min(F.struct(row.alias("row"), "n_shingles", "registers", "keys")).alias("first")
+    heads = sketched.where("set_key IS NOT NULL").groupBy("set_key").agg(first, F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    heads = written(heads.select(F.monotonically_increasing_id().alias("node"), "set_key", "doc_id", "n", "first.*"), "heads")  # written, so numbers stay
+
+    # every node of a bucket against the one that leaves out least, or the smallest
+    placed = heads.select("node", "n_shingles", F.explode(F.array_distinct("keys")).alias("k")).select("node", "n_shingles", "k.*")
+    leaders = placed.groupBy("key").agg(F.min(F.struct("left_out", "node")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", F.col("l.node").alias("leader"), F.col("l.left_out").alias("least"))
+    members = written(placed.hint("merge").join(leaders, "key"), "members")  # of buckets of two or more
+    core = F.col("n_shingles") - F.col("left_out")
+    linked = (F.col("left_out") < 0) | (core * 100 >= percent * (core + F.col("least") + F.col("left_out")))
+    stars = members.where("node != leader").where(linked).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     close = written(_estimated(stars, heads).where(F.col("at_most") >= percent / 100.0).select("a", "b", "na", "nb"), "close")
-    nodes = members.select("node").distinct()
-    full = written(_full_sets(nodes, texts, width).join(nodes.hint("merge"), "node", "left_semi"), "full")
+    in_bands = members.where("left_out < 0").select("node").distinct()
+    needed = in_bands.union(close.select("a")).union(close.select("b")).distinct()
+    full = written(_full_sets(heads.select("node", "set_key", "row").join(needed.hint("merge"), "node", "left_semi"), docs.select(row.alias("row"), "text"), width), "full")
     a, b = (full.select(F.col("node").alias(n), F.col("hashes").alias(f"h{n}")) for n in "ab")
     both = F.size(F.array_intersect("ha", "hb"))
     links = close.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(both * F.lit(100) >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     labels = written(components(links), "labels")
 
-    # what the smallest leaves open: other nodes of different components in one bucket
-    placed = members.where("node != leader").select("band", "node").join(labels.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    counts = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    # what the smallest leaves open: other nodes of different components in one band's bucket
+    rest = members.where("left_out < 0 AND node != leader").select(F.col("key").alias("band"), "node").join(labels.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = rest.groupBy("band", "comp").agg(F.count("*").alias("n"))
     opened = counts.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("comps > 1")
     opened = opened.select("band", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("r"))
     spot = F.xxhash64(F.lit("block"), "node")
-    dealt = placed.join(opened.hint("merge"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    dealt = rest.join(opened.hint("merge"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
     dealt = dealt.withColumn("own", F.pmod(spot, F.when(F.col("is_main"), F.col("m")).otherwise(F.col("r"))).cast("int"))
     against_main = "transform(sequence(0, m - 1), i -> struct(0 as kind, i as i, own as j, 1 as side))"
     against_rest = "transform(sequence(0, r - 1), i -> struct(1 as kind, least(i, own) as i, greatest(i, own) as j, if(own < i, 0, if(own > i, 1, 0)) as side))"
@@ -241,18 +278,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels2 = written(components(known.union(more)), "labels")
     forget(members, close, full, labels)
 
-    joined = heads.select("set_key", "node").join(labels2, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_set"))
-    return (
-        sketched.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-        .join(joined, "set_key", "left")
-        .select("doc_id", "text_key", "n_shingles", F.coalesce("of_set", "doc_id").alias("component_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
-    )
+    # documents of sets of components; a set and a component may hold any share of the rows
+    of_set = written(heads.select("node", "set_key", "doc_id", "n").join(labels2, "node", "left").select("set_key", "n", "doc_id", F.coalesce("component", "node").alias("component")), "of_set")
+    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = spread_join(of_set.select("set_key", "component"), least, "component", of_set.groupBy("component").agg(F.count("*").alias("n"))).select("set_key", "component", "component_id")
+    rows = sketched.select("doc_id", "text_key", "n_shingles", "set_key")
+    found = spread_join(rows.where("set_key IS NOT NULL"), named, "set_key", of_set.select("set_key", "n")).drop("set_key")
+    empty = rows.where("set_key IS NULL").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "component")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles and 85 percent, by contract, over the whole documents table."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key", "component")
 
 
 #: Exact single-linkage groups by an inverted index of shingles; components by repeated minima.

@@ -146,7 +146,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     of_host = runs.join(words, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))  # labels of one host
     of_host = of_host.select("host", F.flatten("parts.words").alias("host_words"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    joined = spread_join(rows.withColumn("rule", rule).withColumn("ruled", verdict), written(of_host, "segments"), "host", "page_id", hosts)
+    joined = spread_join(rows.withColumn("rule", rule).withColumn("ruled", verdict), written(of_host, "segments"), "host", hosts)
     model = Bayes()
 
     def score(host_words, paths):

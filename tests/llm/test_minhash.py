@@ -32,8 +32,8 @@ def brute(rows, width, percent):
     groups: dict = {}
     for i, (doc_id, _) in enumerate(rows):
         groups.setdefault(find(i), []).append(doc_id)
-    least = {k: min(v) for k, v in groups.items()}
-    return {(doc_id, len(s), least[find(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets, strict=True))}
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in groups.items()}
+    return {(doc_id, len(s), least[find(i)] if s else doc_id) for i, ((doc_id, _), s) in enumerate(zip(rows, sets, strict=True))}
 
 
 def edited(rng, words, n):
@@ -86,11 +86,50 @@ def test_linked_small_sets_share_a_core(percent):
             both = next((i for i in range(n, 0, -1) if 100 * i >= percent * (n + m - i)), 0)
             while both and 100 * both >= percent * (n + m - both):
                 x = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
-                a, b = minhash.cores(x[:n], percent), minhash.cores(x[n - both :], percent)
+                (a, x_a), (b, x_b) = minhash.cores(x[:n], percent), minhash.cores(x[n - both :], percent)
                 assert not len(a) or not len(b) or set(a) & set(b)
+                # what they share is the core that leaves out just what the other has not
+                shared = [(i, j) for i, k in zip(x_a, a, strict=True) for j, q in zip(x_b, b, strict=True) if k == q]
+                assert not len(a) or not len(b) or (n - both, m - both) in shared
                 both -= 1
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_doc_ids_that_come_twice_or_not_at_all(docs, corpus, width, percent):
+    """Rows are judged by their texts, whatever their ids."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(150)]), t) for _, t in corpus] + [(7, None), (None, ""), (7, corpus[0][1]), (7, corpus[0][1])]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(rows), width, percent).collect()]
+    assert set(got) == brute(rows, width, percent) and len(got) == len(rows)
+
+
+def test_one_id_with_two_texts(docs):
+    words = [f"w{i}" for i in range(120)]
+    a, c = " ".join(words), " ".join(words[:60] + ["new"] + words[61:])
+    b = " ".join(f"v{i}" for i in range(90))
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs([(1, a), (1, b), (2, b + " " + c), (3, b)]), 3, 85).collect()}
+    assert got == {(1, 118, 1), (1, 88, 1), (2, 208, 2), (3, 88, 1)}
+
+
+def test_many_rows_of_two_ids_take_seconds(docs):
+    import time
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(k, edited(rng, base, 1)) for k in (1, 2) for _ in range(1000)]
+    began = time.time()
+    got = minhash.near_duplicates(docs(rows), 3, 85).collect()
+    assert len(got) == 2000 and time.time() - began < 60
+    assert all(r["component_id"] == 1 for r in got)
+
+
+def test_short_texts_of_one_pattern(docs):
+    """Thousands of short texts that share all but one shingle are no bucket to be held against each other."""
+    rows = [(i, f"your order was shipped this morning at number {i}") for i in range(3000)] + [(5000, "your order was shipped this morning at number 77")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(rows), 3, 85).collect()}
+    assert got[5000] == 77 and all(got[i] == i for i in range(3000))
+
+
 def test_odd_rows(docs, odd):
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(odd), 3, 85).collect()))
     assert len(got) == len(odd)
