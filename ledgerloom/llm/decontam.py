@@ -1,27 +1,37 @@
 """Benchmark passages in documents, by DataFrame functions only.
 
 1. A filter of bounded size over the benchmark's hashed five-word shingles tells, inside the
-   scan, which documents share any; only those keep their shingle arrays.
-2. A document's shingle at place p that is an item's at place q proposes the window of the item's
-   size that starts at p - q. A window that proposes nothing shares nothing with any item.
-3. Windows and items get 64-bit SimHash fingerprints. A multi-index over BLOCKS blocks of bits
-   finds all items of the window's size within RADIUS: of RADIUS + 1 blocks one must agree.
+   scan, which texts share any; only those keep their shingle arrays, one for each distinct text.
+2. A window of an item's size that is 0.8 alike shares 4/9 of both sizes' sum with the item. All
+   windows with so many shingles of items of that size, wherever they start, are taken; which
+   item they may be like is not asked yet.
+3. Distinct windows and items get 64-bit SimHash fingerprints. A multi-index finds all items of
+   the window's size within RADIUS: of BLOCKS blocks of 16 bits one differs in RADIUS / BLOCKS bits
+   at most, so items are entered under all values up to ITEM_FLIPS bits off, and windows look up
+   all values up to the rest. Of several ways to find a pair one counts.
 4. The exact weighted similarity (shingles with their multiplicities) verifies what was found.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, spread_join, table, written
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8 two fingerprints differ by 9.6 bits on average, with a deviation of 2.9.
+#: At a similarity of 0.8 two fingerprints differ by 9.7 bits on average, with a deviation of 2.9.
 RADIUS = 19
-BLOCKS = RADIUS + 1
-FILTER_BITS_EACH, FILTER_BITS_MOST = 512, 1 << 24
+BLOCKS, BITS = 4, 16
+#: Bits that one block of a pair within RADIUS differs in at most, and how many of them the item's entries cover.
+FLIPS, ITEM_FLIPS = RADIUS // BLOCKS, 3
+#: Bits of the filter: so many a shingle of the benchmark, up to a fixed size.
+FILTER_BITS_EACH, FILTER_BITS_MOST, PROBES = 64, 1 << 26, 4
+#: Places of texts are dealt by so many salts, as one shingle may be in any share of them.
+SALTS = 16
 
 
 def _words(text: str) -> Column:
@@ -34,13 +44,6 @@ def _hashes(words: str, width: int) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _block_bits() -> list[tuple[int, int]]:
-    """(offset, bits) of the blocks of a fingerprint."""
-    wide = 64 % BLOCKS
-    sizes = [64 // BLOCKS + (i < wide) for i in range(BLOCKS)]
-    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
-
-
 def simhash(hashes: Column) -> Column:
     """Bit b is set if it is set in more than half of the hashes, counted with repeats."""
     ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.call_function("getbit", h, b).cast("int"))
@@ -48,20 +51,51 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
-def _blocks(fingerprint: Column) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, o).bitwiseAND(F.lit((1 << n) - 1)).alias("value")) for i, (o, n) in enumerate(_block_bits())])
+def _masks(flips: int) -> list[int]:
+    """All values of a block with so many bits set at most."""
+    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(BITS), n)]
+
+
+def _block(fingerprint: Column, i: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def _spots(h: Column, bits: int) -> list[Column]:
-    """Two places in a filter of 2^24 bits at most, from different bits of a hash."""
-    return [h.bitwiseAND(F.lit(bits - 1)).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)).cast("int")]
+def _entries(fingerprint: Column, flips: int) -> Column:
+    """An array of (block, value, flipped) under which a fingerprint is entered or looked up."""
+    masks = F.array(*[F.lit(m) for m in _masks(flips)])
+
+    def of(i: int) -> Column:
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("block"), _block(fingerprint, i).bitwiseXOR(m).alias("value"), m.alias("flipped")))
+
+    return F.flatten(F.array(*[of(i) for i in range(BLOCKS)]))
+
+
+def within(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """windows (length, print, ...) and items (length, item_print, ...) of one length whose fingerprints differ in RADIUS bits at most, each pair once."""
+    look = windows.withColumn("e", F.explode(_entries(F.col("print"), FLIPS - ITEM_FLIPS)))
+    index = items.withColumn("x", F.explode(_entries(F.col("item_print"), ITEM_FLIPS)))
+    names = [c for c in items.columns if c != "length"]
+    index = index.select(F.col("length").alias("of"), F.col("x.block").alias("block"), F.col("x.value").alias("value"), *names)
+    found = look.join(index, (F.col("length") == F.col("of")) & (F.col("e.block") == F.col("block")) & (F.col("e.value") == F.col("value")))
+    differ = F.col("print").bitwiseXOR(F.col("item_print"))
+    found = found.where(F.bit_count(differ) <= RADIUS)
+    # a pair counts in its first block that is near enough, there without a flip of the window's or, if the item's do not reach, with that of the lowest bits
+    first = F.coalesce(*[F.when(F.bit_count(_block(differ, i)) <= FLIPS, F.lit(i)) for i in range(BLOCKS)])
+    d = F.coalesce(*[F.when(F.col("block") == i, _block(differ, i)) for i in range(BLOCKS)])
+    lowest = d.bitwiseAND(-d)
+    flipped = F.when(F.bit_count(d) <= ITEM_FLIPS, F.lit(0)).otherwise(lowest)
+    return found.where((F.col("block") == first) & (F.col("e.flipped") == flipped)).drop("e", "of", "block", "value")
 
 
 def _filter(hashes: DataFrame):
-    """A test for hashes (one bigint column) by a literal bit array of bounded size; lets few others pass."""
+    """A test for hashes (one bigint column) by a literal bit array of bounded size: PROBES places of a hash must be set. Beyond FILTER_BITS_MOST / 16 hashes it lets more and more others pass, which the join after it takes out."""
     bits = min(FILTER_BITS_MOST, max(1 << 16, 1 << (hashes.count() * FILTER_BITS_EACH).bit_length()))
-    spots = hashes.select(F.explode(F.array(*_spots(F.col("hash"), bits))).alias("b"))
-    words = spots.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).collect()  # bits / 64 rows at most
+
+    def spots(h: Column) -> list[Column]:
+        step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+        return [(h + step * i).bitwiseAND(F.lit(bits - 1)).cast("int") for i in range(PROBES)]
+
+    words = hashes.select(F.explode(F.array(*spots(F.col("hash")))).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).collect()  # bits / 64 rows at most
     values = [0] * (bits // 64)
     for r in words:
         values[r["w"]] = r["v"]
@@ -69,12 +103,29 @@ def _filter(hashes: DataFrame):
     bit = lambda b: F.call_function("getbit", F.get(table_, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
 
     def passes(h: Column) -> Column:
-        one, two = _spots(h, bits)
-        return bit(one) & bit(two)
+        out = F.lit(True)
+        for b in spots(h):
+            out = out & bit(b)
+        return out
 
     return passes
 
 
+def _starts(places: str, length: str, width: str, n_words: str) -> Column:
+    """Where windows begin that hold enough of the sorted places: for each place as a window's first one, the starts behind the place before that still reach the last one needed."""
+    whole = F.col(n_words) - F.col(width) + 1
+    mine = F.least(F.col(length) - F.col(width) + 1, whole)
+    need = F.floor((4 * (mine + F.col(length) - F.col(width) + 1) + 8) / 9).cast("int")  # 0.8 / 1.8 of both sizes
+
+    def of(i: Column) -> Column:
+        p = F.col(places)
+        low = F.greatest(F.when(i > 0, F.get(p, i - 1) + 1).otherwise(0), F.get(p, i + need - 1) - mine + 1)
+        high = F.least(F.get(p, i), whole - mine)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), of))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, similarity, start_word for each document and item with a window of the item's size that is alike enough; the best window, then the first.
 
@@ -82,7 +133,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words is one shingle of that length. Null and empty texts hold nothing and are no items. A
     document shorter than an item is one window. text_key is a hash of the text: rows of equal
     doc_id and text are one document here, a null doc_id or item_id is kept as null. Without
-    documents or items there is no row. Other columns are not read.
+    documents or items there is no row. Other columns are not read. Texts that come often are looked
+    at once, and so are passages that are in many texts.
     """
     word_hashes = lambda df, text: df.withColumn("w", F.transform(_words(text), lambda x: F.xxhash64(x)))
     items = word_hashes(benchmark.select("item_id", "text"), "text").withColumn("length", F.size("w")).where("length > 0").drop("text")
@@ -93,39 +145,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return docs.sparkSession.createDataFrame([], kind)
     by_width = lambda df: F.coalesce(*[F.when(df["width"] == k, _hashes("w", k)) for k in widths])
-    items = items.withColumn("hashes", by_width(items)).drop("w")
-    entries = written(items.select("item_id", "length", "width", F.posexplode("hashes").alias("q", "hash")), "entries")
-    prints = items.select("item_id", "length", "hashes", simhash(F.col("hashes")).alias("print"))
+    items = written(items.withColumn("hashes", by_width(items)).drop("w"), "items")
+    known = written(items.select("width", "length", F.explode("hashes").alias("hash")).distinct(), "known")
+    prints = items.select("item_id", "length", F.col("hashes").alias("item_hashes"), simhash(F.col("hashes")).alias("item_print"))
 
-    hit = _filter(entries.select("hash").distinct())
+    hit = _filter(known.select("hash").distinct())
     hashed = word_hashes(rows, "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.size("w").alias("n_words"), F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _hashes("w", k).alias("hashes")) for k in widths])).alias("s"))
-    near = written(hashed.select("doc_id", "text_key", "n_words", "s.width", "s.hashes").where(F.exists("hashes", hit)).dropDuplicates(["doc_id", "text_key", "width"]), "near")
-
-    places = near.select("doc_id", "text_key", "n_words", "width", F.posexplode("hashes").alias("p", "hash")).where(hit(F.col("hash")))
-    starts = places.join(entries.select("hash", "width", "length", "q"), ["hash", "width"])
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n_words") - F.col("length")))
-    starts = starts.select("doc_id", "text_key", "width", "length", start.alias("start")).distinct().groupBy("doc_id", "text_key", "width").agg(F.collect_list(F.struct("length", "start")).alias("at"))  # as many as the document has shingles of items
-    starts = starts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("width").alias("k"), "at")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")) & (F.col("width") == F.col("k"))
-    windows = near.join(starts.hint("merge"), same).select("doc_id", "text_key", "width", "hashes", F.explode("at").alias("at"))
-    part = F.slice("hashes", F.col("at.start") + 1, F.greatest(F.lit(1), F.col("at.length") - F.col("width") + 1))
-    windows = windows.select("doc_id", "text_key", F.col("at.length").alias("length"), F.col("at.start").alias("start"), part.alias("part"))
-    windows = written(windows.withColumn("print", simhash(F.col("part"))), "windows")
-
-    a = windows.select("doc_id", "text_key", "length", "start", "part", "print", F.explode(_blocks(F.col("print"))).alias("b"))
-    b = prints.select("item_id", "length", "hashes", F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"))).alias("ib"))
-    found = a.join(b.withColumnRenamed("length", "item_length"), (F.col("length") == F.col("item_length")) & (F.col("b.block") == F.col("ib.block")) & (F.col("b.value") == F.col("ib.value")))
-    differ = F.col("print").bitwiseXOR(F.col("item_print"))
-    found = found.where(F.bit_count(differ) <= RADIUS)
-    # the pair counts in the first block that agrees, so no pair is verified twice
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, o).bitwiseAND(F.lit((1 << n) - 1)) == 0, F.lit(i)) for i, (o, n) in enumerate(_block_bits())])
-    found = found.where(F.col("b.block") == first)
+    some = written(hashed.select("doc_id", "text_key", "n_words", "s.width", "s.hashes").where(F.exists("hashes", hit)), "some")
+    near = written(some.drop("doc_id").dropDuplicates(["text_key", "width"]), "near")  # one row a text
+
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lengths = known.groupBy("hash", "width").agg(F.collect_set("length").alias("lengths"))  # sizes of items, not items
+    places = near.select("text_key", "n_words", "width", F.posexplode("hashes").alias("p", "hash")).where(hit(F.col("hash"))).withColumn("salt", F.col("p") % SALTS)
+    places = places.join(lengths.select("*", salt), ["hash", "width", "salt"]).select("text_key", "n_words", "width", "p", F.explode("lengths").alias("length"))
+    starts = places.groupBy("text_key", "width", "length", "n_words").agg(F.array_sort(F.collect_list("p")).alias("places"))  # as many as the text has shingles
+    starts = starts.select("text_key", "width", "length", _starts("places", "length", "width", "n_words").alias("at")).where(F.size("at") > 0)
+    at = F.explode("at").alias("start")
+    windows = near.select("text_key", "width", "hashes").join(starts, ["text_key", "width"]).select("text_key", "width", "length", "hashes", at)
+    part = F.slice("hashes", F.col("start") + 1, F.col("length") - F.col("width") + 1)
+    windows = windows.select("text_key", "length", "start", part.alias("part")).withColumns({"one": F.xxhash64("part"), "two": F.xxhash64(F.lit("window"), "part")})
+    windows = written(windows.withColumn("window", F.struct("length", "one", "two")).drop("one", "two"), "windows")
+
+    distinct = written(windows.groupBy("window").agg(F.first("part").alias("part")).withColumns({"length": F.col("window.length"), "print": simhash(F.col("part"))}), "distinct")
+    found = within(distinct, prints)
     times = lambda arr, d: F.size(F.filter(arr, lambda x: x == d))
-    shared = F.aggregate(F.array_intersect("part", "hashes"), F.lit(0), lambda s, d: s + F.least(times(F.col("part"), d), times(F.col("hashes"), d)))
+    shared = F.aggregate(F.array_intersect("part", "item_hashes"), F.lit(0), lambda s, d: s + F.least(times(F.col("part"), d), times(F.col("item_hashes"), d)))
     found = found.withColumn("shared", shared)
-    found = found.withColumn("similarity", F.col("shared") / (F.size("part") + F.size("hashes") - F.col("shared"))).where(F.col("similarity") >= SIMILARITY)
+    found = found.withColumn("similarity", F.col("shared") / (F.size("part") + F.size("item_hashes") - F.col("shared"))).where(F.col("similarity") >= SIMILARITY)
+    alike = written(found.groupBy("window").agg(F.collect_set(F.struct("item_id", "similarity")).alias("items")), "alike")  # as many as items are alike one window
+
+    # back to the texts that hold such a window, and to the documents with such a text; both may be any share of all
+    seen = written(windows.select("text_key", "start", "window").join(alike.select("window"), "window", "left_semi"), "seen")
+    held = spread_join(seen, alike, "window", seen.groupBy("window").agg(F.count("*").alias("n")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
-    return found.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))
+    held = held.select("text_key", "start", F.explode("items").alias("i")).select("text_key", "start", "i.*").groupBy("text_key", "item_id").agg(best)
+    of_text = written(held.groupBy("text_key").agg(F.collect_list(F.struct("item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))).alias("items")), "of_text")
+    holders = written(some.select("doc_id", "text_key").distinct().join(of_text.select("text_key").hint("merge"), "text_key", "left_semi"), "holders")
+    out = spread_join(holders, of_text, "text_key", holders.groupBy("text_key").agg(F.count("*").alias("n")))
+    forget(items, known, some, near, windows, distinct, alike, seen)
+    return out.select("doc_id", "text_key", F.explode("items").alias("i")).select("doc_id", "text_key", "i.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +192,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word")
 
 
-#: The same by strings instead of hashes, and without fingerprints.
+#: The same by strings instead of hashes, over all windows that share a shingle with the item, and without fingerprints.
 OP5_SQL = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
@@ -146,8 +204,8 @@ d_sh AS (
   FROM words, unnest(range(0, greatest(len(w) - 4, 0))) AS u(p) WHERE kind = 'd'),
 hits AS (SELECT * FROM d_sh SEMI JOIN i_sh USING (g)),
 starts AS (
-  SELECT DISTINCT h.doc_id, h.n, i.item_id, i.length, greatest(0, least(h.p - i.q, h.n - i.length)) AS start
-  FROM hits h JOIN i_sh i ON h.g = i.g),
+  SELECT DISTINCT h.doc_id, h.n, i.item_id, i.length, s.start
+  FROM hits h JOIN i_sh i ON h.g = i.g, unnest(range(greatest(0, least(h.p - i.length + 5, h.n - i.length)), greatest(0, least(h.p, h.n - i.length)) + 1)) AS s(start)),
 window_counts AS (
   SELECT s.doc_id, s.item_id, s.start, h.g, count(*) AS c
   FROM starts s JOIN hits h ON s.doc_id = h.doc_id AND h.p >= s.start AND h.p <= s.start + s.length - 5 GROUP BY ALL),

@@ -43,12 +43,12 @@ def planted():
     word = lambda: f"w{rng.randrange(500)}"
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 9, 20, 40])))) for i in range(30)]
     rows = []
-    for d in range(120):
+    for d in range(400):
         w = [word() for _ in range(rng.choice([0, 4, 60, 200]))]
         if d % 2:
             p = items[rng.randrange(30)][1].split()
-            if d % 4 == 1 and len(p) > 15:  # an edit at an end, or one word more
-                p = p[1:] if d % 8 == 1 else p[: len(p) - 1] + ["zzz"]
+            if d % 4 == 1 and len(p) > 15:  # an edit at an end, or words more or less in the middle
+                p = [p[1:], p[: len(p) - 1] + ["zzz"], p[:9] + ["zzz"] + p[9:], p[:12] + p[14:], p[:-2] + ["a", "b"] + p[-2:]][d // 4 % 5]
             at = rng.randrange(len(w) + 1)
             w[at:at] = [x.upper() + "," if d % 3 == 0 else x for x in p]
         rows.append((d, " ".join(w)))
@@ -63,6 +63,32 @@ def test_against_all_windows(spark, docs, planted):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in brute(rows, items).items()}
 
 
+def test_index_finds_all_within_the_radius(spark):
+    """Each pair of one length within the radius once, and few others looked at."""
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    near = [(p ^ sum(1 << b for b in rng.sample(range(64), n)), i) for i, p in enumerate(prints) for n in (0, 1, 5, 12, 17, 19, 19, 19, 20, 24)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = spark.createDataFrame([(7, signed(p), i) for i, p in enumerate(prints)] + [(8, signed(prints[0]), 99)], "length int, item_print long, item int")
+    windows = spark.createDataFrame([(7, signed(p), k) for k, (p, _) in enumerate(near)], "length int, print long, w int")
+    got = sorted((r["w"], r["item"]) for r in decontam.within(windows, items).collect())
+    assert got == sorted((k, i) for k, (p, _) in enumerate(near) for i, q in enumerate(prints) if (p ^ q).bit_count() <= decontam.RADIUS)
+    # entries that meet, of items that have nothing to do with a window
+    value = lambda p, i: p >> 16 * i & 0xFFFF
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(2000)]
+    met = sum(any((value(p, i) ^ value(q, i)).bit_count() <= decontam.FLIPS for i in range(4)) for p, q in pairs)
+    assert met / len(pairs) < 0.2
+
+
+def test_a_passage_in_a_third_of_the_texts(spark, docs):
+    """One item in very many texts, also often in one text, is compared once."""
+    rng = random.Random(12)
+    item = " ".join(f"w{rng.randrange(9000)}" for _ in range(30))
+    rows = [(i, f"x{i} y{i} " + item + f" z{i}") for i in range(1500)] + [(9000, (item + " ") * 40)] + [(i, item) for i in range(2000, 2500)]
+    got = decontam.leaks(docs(rows), spark.createDataFrame([(1, item), (2, item), (3, "q " + item)], "item_id long, text string")).collect()
+    assert len(got) == 3 * len(rows) and {r["start_word"] for r in got if r["doc_id"] < 1500 and r["item_id"] == 1} == {2}
+
+
 def test_no_python_in_the_plan(spark, docs, planted):
     rows, items = planted
     plan = decontam.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
