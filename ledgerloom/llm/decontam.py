@@ -76,7 +76,7 @@ def within(windows: DataFrame, items: DataFrame) -> DataFrame:
     index = items.withColumn("x", F.explode(_entries(F.col("item_print"), ITEM_FLIPS)))
     names = [c for c in items.columns if c != "length"]
     index = index.select(F.col("length").alias("of"), F.col("x.block").alias("block"), F.col("x.value").alias("value"), *names)
-    found = look.join(index, (F.col("length") == F.col("of")) & (F.col("e.block") == F.col("block")) & (F.col("e.value") == F.col("value")))
+    found = look.join(index.hint("merge"), (F.col("length") == F.col("of")) & (F.col("e.block") == F.col("block")) & (F.col("e.value") == F.col("value")))
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
     found = found.where(F.bit_count(differ) <= RADIUS)
     # a pair counts in its first block that is near enough, there without a flip of the window's or, if the item's do not reach, with that of the lowest bits
@@ -92,8 +92,8 @@ def _filter(hashes: DataFrame):
     bits = min(FILTER_BITS_MOST, max(1 << 16, 1 << (hashes.count() * FILTER_BITS_EACH).bit_length()))
 
     def spots(h: Column) -> list[Column]:
-        step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
-        return [(h + step * i).bitwiseAND(F.lit(bits - 1)).cast("int") for i in range(PROBES)]
+        low, high = h.bitwiseAND(F.lit((1 << 31) - 1)), F.shiftrightunsigned(h, 33)
+        return [x.bitwiseAND(F.lit(bits - 1)).cast("int") for x in (h, high, *(low + high * i for i in range(1, PROBES - 1)))]
 
     words = hashes.select(F.explode(F.array(*spots(F.col("hash")))).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).collect()  # bits / 64 rows at most
     values = [0] * (bits // 64)
@@ -126,6 +126,16 @@ def _starts(places: str, length: str, width: str, n_words: str) -> Column:
     return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), of))).otherwise(F.array().cast("array<int>"))
 
 
+def _similarity(a: Column, b: Column) -> Column:
+    """Weighted Jaccard index of two arrays: what is in both, as often as in the one that has it less, over what is in either."""
+    times = lambda arr, d: F.size(F.filter(arr, lambda x: x == d))
+    both = F.array_intersect(a, b)
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    # where one side repeats nothing, each shared value counts once
+    shared = F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda s, d: s + F.least(times(a, d), times(b, d))))
+    return F.get(F.transform(F.array(shared), lambda n: n / (F.size(a) + F.size(b) - n)), F.lit(0))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, similarity, start_word for each document and item with a window of the item's size that is alike enough; the best window, then the first.
 
@@ -145,9 +155,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return docs.sparkSession.createDataFrame([], kind)
     by_width = lambda df: F.coalesce(*[F.when(df["width"] == k, _hashes("w", k)) for k in widths])
-    items = written(items.withColumn("hashes", by_width(items)).drop("w"), "items")
+    items = written(items.withColumn("hashes", by_width(items)).drop("w").withColumn("item", F.monotonically_increasing_id()), "items")
     known = written(items.select("width", "length", F.explode("hashes").alias("hash")).distinct(), "known")
-    prints = items.select("item_id", "length", F.col("hashes").alias("item_hashes"), simhash(F.col("hashes")).alias("item_print"))
+    prints = items.select("item", "length", simhash(F.col("hashes")).alias("item_print"))
 
     hit = _filter(known.select("hash").distinct())
     hashed = word_hashes(rows, "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.size("w").alias("n_words"), F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _hashes("w", k).alias("hashes")) for k in widths])).alias("s"))
@@ -166,13 +176,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.select("text_key", "length", "start", part.alias("part")).withColumns({"one": F.xxhash64("part"), "two": F.xxhash64(F.lit("window"), "part")})
     windows = written(windows.withColumn("window", F.struct("length", "one", "two")).drop("one", "two"), "windows")
 
-    distinct = written(windows.groupBy("window").agg(F.first("part").alias("part")).withColumns({"length": F.col("window.length"), "print": simhash(F.col("part"))}), "distinct")
-    found = within(distinct, prints)
-    times = lambda arr, d: F.size(F.filter(arr, lambda x: x == d))
-    shared = F.aggregate(F.array_intersect("part", "item_hashes"), F.lit(0), lambda s, d: s + F.least(times(F.col("part"), d), times(F.col("item_hashes"), d)))
-    found = found.withColumn("shared", shared)
-    found = found.withColumn("similarity", F.col("shared") / (F.size("part") + F.size("item_hashes") - F.col("shared"))).where(F.col("similarity") >= SIMILARITY)
-    alike = written(found.groupBy("window").agg(F.collect_set(F.struct("item_id", "similarity")).alias("items")), "alike")  # as many as items are alike one window
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = written(windows.groupBy("window").agg(F.first("part").alias("part")).repartition(tasks, "window").withColumns({"length": F.col("window.length"), "print": simhash(F.col("part"))}), "distinct")
+    pairs = within(distinct.select("window", "length", "print"), prints).select("window", "item")
+    pairs = pairs.join(distinct.select("window", "part").hint("merge"), "window").join(items.select("item", "item_id", "hashes").hint("merge"), "item")
+    scored = written(pairs.select("window", "item_id", _similarity(F.col("part"), F.col("hashes")).alias("similarity")), "scored")
+    alike = written(scored.where(F.col("similarity") >= SIMILARITY).groupBy("window").agg(F.collect_set(F.struct("item_id", "similarity")).alias("items")), "alike")  # as many as items are alike one window
 
     # back to the texts that hold such a window, and to the documents with such a text; both may be any share of all
     seen = written(windows.select("text_key", "start", "window").join(alike.select("window"), "window", "left_semi"), "seen")
@@ -182,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_text = written(held.groupBy("text_key").agg(F.collect_list(F.struct("item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"))).alias("items")), "of_text")
     holders = written(some.select("doc_id", "text_key").distinct().join(of_text.select("text_key").hint("merge"), "text_key", "left_semi"), "holders")
     out = spread_join(holders, of_text, "text_key", holders.groupBy("text_key").agg(F.count("*").alias("n")))
-    forget(items, known, some, near, windows, distinct, alike, seen)
+    forget(items, known, some, near, windows, distinct, scored, alike, seen)
     return out.select("doc_id", "text_key", F.explode("items").alias("i")).select("doc_id", "text_key", "i.*")
 
 
