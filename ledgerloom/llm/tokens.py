@@ -8,6 +8,7 @@ tokens that a context limit would keep, for every limit, without going back to t
 from __future__ import annotations
 
 import base64
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from .common import mapped, table, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How such vocabularies split a text before they merge bytes (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space (as the pattern means it) from this length on are cut out, as the pattern's matcher has no bound on what it holds of one.
+LONG_SPACE = 1 << 12
+_long_space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 #: Lengths that one task of the suffix sums gets.
 SPAN = 256
 
@@ -33,10 +37,27 @@ def encoder(name: str, raw: bytes):
     return _encoders[name]
 
 
+def n_tokens(enc, text: str | None) -> int:
+    """How many tokens the whole text has.
+
+    A long run of white space is a piece of its own: all of it at the end of a text, else all but its
+    last character, which may belong to the next word. What is before and behind is cut as ever.
+    """
+    if not text:
+        return 0
+    n, at = 0, 0
+    for m in _long_space.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The columns of `keep` and n_tokens of each row of docs (text).
 
-    Null and empty texts have 0; special tokens' strings are ordinary text. Repeated rows count as
+    Null and empty texts have 0; special tokens' strings are ordinary text. Texts, words and runs of
+    white space may have any length. Repeated rows count as
     often as they come; no rows give no rows. Other columns are not read.
     """
     with open(vocabulary, "rb") as f:
@@ -44,7 +65,7 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] = ["d
 
     def count(texts):
         enc = encoder(vocabulary, shared.value)
-        return [[len(enc.encode_ordinary(t)) if t else 0 for t in texts]]
+        return [[n_tokens(enc, t) for t in texts]]
 
     return mapped(docs, keep, ["text"], {"n_tokens": "long"}, count)
 
