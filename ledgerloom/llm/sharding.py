@@ -1,10 +1,11 @@
 """Shards on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring is cut into CELLS equal cells. A row's cell comes from a hash of its doc_id; the next
+The ring is cut into equal cells, more of them for more rows. A row's cell comes from a hash of its
+doc_id and text, so that rows without doc_id, or with one and the same, are no hot place; the next
 virtual node clockwise is its home. Each shard has room for its share of the rows only: first
 every shard takes its own cells in ring order until it is full, then what is left goes on
 clockwise to the next virtual node whose shard has room. That walk needs the row count of each
-cell only, so the driver sees CELLS numbers however many rows there are. In a cell rows are
+cell only, so the driver sees 2 ** MOST_BITS numbers at most. In a cell rows are
 ranked by hash; the walk hands out ranges of ranks, and each range starts at a known slot.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-CELL_BITS = 14
-CELLS = 1 << CELL_BITS
+#: Cells: one for so many entries, within bounds.
+CELL_ROWS, LEAST_BITS, MOST_BITS = 1 << 16, 14, 20
 #: Virtual nodes of each shard.
 VIRTUAL = 128
 SEED = 77
@@ -27,21 +28,21 @@ SEED = 77
 RUN = 4096
 
 
-def ring(shards: int) -> list[tuple[int, int, int]]:
-    """(cell, tie, shard) of all virtual nodes, clockwise."""
+def ring(shards: int, bits: int = LEAST_BITS) -> list[tuple[int, int, int]]:
+    """(cell, tie, shard) of all virtual nodes, clockwise. More bits cut the same ring finer."""
     out = []
     for shard in range(shards):
         for v in range(VIRTUAL):
             x = int.from_bytes(hashlib.blake2b(f"{SEED}/{shard}/{v}".encode(), digest_size=8).digest(), "big")
-            out.append((x % CELLS, x // CELLS, shard))
+            out.append((x >> 64 - bits, x, shard))
     return sorted(out)
 
 
-def walk(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int, int]]:
+def walk(counts: dict[int, int], shards: int, bits: int = LEAST_BITS) -> list[tuple[int, int, int, int, int]]:
     """(cell, first rank, last rank + 1, shard, first slot): who takes which rows of each cell. Loads differ by one at most."""
     total = sum(counts.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
-    filled, nodes, out, left = [0] * shards, ring(shards), [], []
+    filled, nodes, out, left = [0] * shards, ring(shards, bits), [], []
     cells = [n[0] for n in nodes]
 
     def give(cell: int, start: int, n: int, shard: int) -> int:
@@ -75,11 +76,12 @@ def placed(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     entries = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    h = F.xxhash64(F.lit(SEED), "doc_id")
-    entries = written(entries.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")), "entries")
-    counts = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
+    entries = written(entries.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size", "text_crc32")), "entries")
+    bits = min(MOST_BITS, max(LEAST_BITS, (entries.count() // CELL_ROWS).bit_length()))
+    entries = entries.withColumn("cell", F.shiftrightunsigned("h", 64 - bits).cast("int"))
+    counts = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # 2 ** MOST_BITS rows at most
     parts: dict[int, list] = {}
-    for cell, *part in walk(counts, shards):
+    for cell, *part in walk(counts, shards, bits):
         parts.setdefault(cell, []).append(tuple(part))
     plan = docs.sparkSession.createDataFrame(list(parts.items()), "cell int, parts array<struct<lo:long,hi:long,shard:int,slot:long>>")  # a range or two a cell
     rank = F.sum("n").over(Window.partitionBy("cell").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0))
