@@ -41,14 +41,14 @@ def row_salt() -> Column:
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """left (a scan) left-joined with right (one row a key). A key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt over SALTS tasks."""
+    """left (a scan) left-joined with right (one row a key, a written table). A right side below spark.sql.autoBroadcastJoinThreshold is broadcast; else a key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt over SALTS tasks."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(sizes.where(F.col("n") * HOT > total).select(F.col(key), F.lit(True).alias("__hot")))  # HOT rows at most
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
     a = left.withColumn("__row", row_salt()).join(hot, key, "left").withColumn("__salt", F.when(is_hot, F.col("__row")).otherwise(0)).drop("__hot", "__row")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
-    return a.join(b.hint("merge"), [key, "__salt"], "left").drop("__salt")
+    return a.join(b, [key, "__salt"], "left").drop("__salt")
 
 
 # ---------------------------------------------------------------- hashed words and shingles

@@ -3,8 +3,11 @@
 Documents are counted by source and exact length in words. A source's target is so many whole
 passes over it and a remaining budget. All but DP_WORDS of the budget is spread over the lengths
 in proportion, with seeded rounding; what is then open is filled by a bounded-knapsack dynamic
-program over the counts that are left. Which documents of a length are
-taken is decided by a seeded hash: whole hash slices first, ranks only inside the slice at the cut.
+program over the counts that are left. Which documents of a length are taken is decided by a
+seeded hash of the whole row: documents come in the order of that hash, up to a cut. The cut of each
+source and length is found by counting, in slices, then in slices of the slice at the cut, then row
+by row there, so rows themselves are never ranked or sorted. Rows alike in all columns share their
+hash; where the cut falls among them they are made anew, as many with the extra copy as it takes.
 """
 
 from __future__ import annotations
@@ -13,15 +16,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, spread_join, table, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 1234
+#: Slices of the hash, and slices of each of them.
 SLICES = 512
+#: Rows alike that one task makes at most.
+RUN = 4096
 #: Largest budget that the dynamic program fills.
 DP_WORDS = 1 << 16
 
@@ -121,35 +127,56 @@ def mixed(docs: DataFrame, keep: list[str], seed: int = SEED, prefix: str = "")
     """The columns of `keep` and, behind the prefix, size, source_size, target, times (copies that the mix takes) of each row of docs (doc_id, text, source).
 
     size counts words; a null text has none. A null source is one more source, the last. Sizes of
-    0 are taken with the whole passes. Rows alike in all columns may swap places. No rows: no rows.
+    0 are taken with the whole passes. Rows of one doc_id with other texts or other values in `keep`
+    are rows of their own, whose places are fixed; only rows alike in all of these may swap places.
+    No rows: no rows.
     """
     # one row a source comes to the driver, one row a source and length to a task of that source
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    names = [F.col(n).alias(f"k_{n}") for n in keep]
-    rows = docs.select(*names, F.col("source").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), F.col("doc_id").alias("id"))
-    rows = rows.withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-    slices = written(rows.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slices")
-    lengths = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    h = F.xxhash64(F.lit(seed), *[F.col(n) for n in dict.fromkeys(["doc_id", "text", "source", *keep])])
+    rows = docs.select(*[F.col(n).alias(f"k_{n}") for n in keep], F.col("source").alias("source"), size.alias("size"), h.alias("h"))
+    kind = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "size")
+    rows = rows.withColumns({"kind": kind, "one": F.pmod("h", F.lit(SLICES)).cast("int"), "two": F.pmod(F.shiftright("h", 12), F.lit(SLICES)).cast("int")})
+    counts = written(rows.groupBy("kind", "one", "two", "h").agg(F.count("*").alias("n")), "counts")
+    lengths = written(counts.groupBy("kind").agg(F.sum("n").alias("n")).select(F.when(~F.col("kind.none"), F.col("kind.source")).alias("source"), F.col("kind.size").alias("size"), "n"), "lengths")
     size_of = {r["source"]: r["s"] for r in lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     goal = targets(size_of)
     plan = lengths.groupBy("source").applyInPandas(_planned(goal, size_of), "source string, size long, passes int, extra long")
-    sources = docs.sparkSession.createDataFrame([(k, size_of[k], float(goal[k])) for k in size_of], "source string, source_size long, target double")
-
-    def same(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-        other = b.select(*[F.col(n).alias(f"r_{n}") for n in names], *[n for n in b.columns if n not in names])
-        on: Column = F.lit(True)
-        for n in names:
-            on = on & a[n].eqNullSafe(other[f"r_{n}"])
-        return a.join(other, on, how).drop(*[f"r_{n}" for n in names])
-
-    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = same(slices.withColumn("before", F.coalesce(before, F.lit(0))), plan, ["source", "size"])
-    cuts = same(cuts, sources, ["source"])
-    cuts = cuts.select("source", "size", "slice", "passes", "source_size", "target", F.least("n", F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("cut"))
-    cuts = written(cuts, "cuts")
-    found = same(rows, cuts, ["source", "size", "slice"])
-    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "id"))
-    return found.withColumn("times", F.col("passes") + (rank <= F.col("cut")).cast("int")).select(*[F.col(f"k_{n}").alias(n) for n in keep], *[F.col(n).alias(f"{prefix}{n}") for n in ("size", "source_size", "target", "times")])
+    plan = plan.select(kind.alias("kind"), "passes", F.col("extra").alias("left"))
+
+    # for each kind the first slice, slice of it and hash that are not taken whole, and how much is taken there
+    level, found = [], plan
+    for name in ("one", "two", "h"):
+        here = counts.join(found.select("kind", *[F.col(x).alias(f"at_{x}") for x in level]), "kind") if level else counts
+        for x in level:
+            here = here.where(F.col(x) == F.col(f"at_{x}"))
+        here = here.groupBy("kind", name).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("kind").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))  # SLICES rows, or those of one small slice
+        here = here.withColumn("upto", upto).join(found.select("kind", "left"), "kind").where(F.col("upto") > F.col("left"))
+        first = here.groupBy("kind").agg(F.min_by(F.struct(name, (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "n"), name).alias("c"))
+        first = first.select("kind", F.col(f"c.{name}").alias(name), F.col("c.left").alias("rest"), F.col("c.n").alias("alike"))
+        # where nothing is left over, all is taken: no cut
+        found = written(found.drop("alike").join(first, "kind", "left").withColumn("left", F.coalesce("rest", F.lit(0))).drop("rest"), "cuts")
+        level.append(name)
+    cuts = found.select("kind", "passes", *[F.col(x).alias(f"at_{x}") for x in level], F.col("left").alias("some"), "alike")
+    sources = docs.sparkSession.createDataFrame([(k is None, k or "", size_of[k], float(goal[k])) for k in size_of], "none boolean, source string, source_size long, target double")
+    cuts = written(cuts.join(sources, (F.col("kind.none") == F.col("none")) & (F.col("kind.source") == F.col("source"))).drop("none", "source"), "cuts")
+
+    placed = spread_join(rows, cuts, "kind", counts.groupBy("kind").agg(F.sum("n").alias("n")))
+    before = F.lit(False)
+    for x in reversed(level):
+        before = (F.col(x) < F.col(f"at_{x}")) | ((F.col(x) == F.col(f"at_{x}")) & before)
+    taken = F.when(F.col("at_one").isNull(), True).otherwise(before)
+    split = F.coalesce((F.col("some") > 0) & (F.col("one") == F.col("at_one")) & (F.col("two") == F.col("at_two")) & (F.col("h") == F.col("at_h")), F.lit(False))
+    names = [f"k_{n}" for n in keep]
+    placed = placed.select(*names, "size", "source_size", "target", "passes", "h", "kind", "some", "alike", taken.alias("taken"), split.alias("split"))
+    whole = placed.where(~F.col("split")).select(*names, "size", "source_size", "target", (F.col("passes") + F.col("taken").cast("int")).alias("times"))
+    # rows alike where the cut is: one of them stands for all
+    one = F.first(F.struct(*names, "size", "source_size", "target", "passes", "some", "alike")).alias("row")
+    runs = placed.where("split").groupBy("kind", "h").agg(one).select("row.*").withColumn("run", F.explode(F.expr(f"sequence(0L, alike - 1, {RUN}L)"))).repartition(F.col("run"), *names[:1])
+    each = runs.withColumn("i", F.explode(F.expr(f"sequence(run, least(run + {RUN}L, alike) - 1)")))
+    made = each.select(*names, "size", "source_size", "target", (F.col("passes") + (F.col("i") < F.col("some")).cast("int")).alias("times"))
+    return whole.unionByName(made).select(*[F.col(f"k_{n}").alias(n) for n in keep], *[F.col(n).alias(f"{prefix}{n}") for n in ("size", "source_size", "target", "times")])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
