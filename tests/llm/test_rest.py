@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, sharding, sketches, tokens, urls
@@ -37,10 +38,45 @@ def test_hot_key(docs):
     assert sharding.placed(docs([]), 16).count() == 0
 
 
+def test_rows_without_doc_id_are_no_hot_place(spark):
+    """Different texts under one id are dealt over the ring."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = sharding.placed(rows, 16).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [1250] * 16
+
+
+@pytest.mark.parametrize(("shards", "bits"), [(1, 14), (5, 14), (16, 17)])
+def test_walk_against_one_row_after_another(shards, bits):
+    """Each row takes its home if it has room, in ring order; what is left goes on clockwise."""
+    rng = random.Random(shards)
+    counts = {c: rng.choice([1, 1, 2, 50]) for c in rng.sample(range(1 << bits), 300)}
+    nodes = sharding.ring(shards, bits)
+    total = sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    clockwise = lambda cell: [n[2] for n in nodes if n[0] >= cell] + [n[2] for n in nodes if n[0] < cell]
+    expected, late, filled = {}, [], [0] * shards
+    for cell in sorted(counts):
+        home = clockwise(cell)[0]
+        for rank in range(counts[cell]):
+            if room[home]:
+                room[home] -= 1
+                expected[cell, rank] = (home, filled[home])
+                filled[home] += 1
+            else:
+                late.append((cell, rank))
+    for cell, rank in late:
+        shard = next(s for s in clockwise(cell) if room[s])
+        room[shard] -= 1
+        expected[cell, rank] = (shard, filled[shard])
+        filled[shard] += 1
+    got = {(c, r): (shard, slot + r - lo) for c, lo, hi, shard, slot in sharding.walk(counts, shards, bits) for r in range(lo, hi)}
+    assert got == expected
+
+
 def test_walk_moves_little():
     """Rows keep to their home while it has room."""
     rng = random.Random(1)
-    counts = {c: rng.randrange(5) for c in range(0, sharding.CELLS, 7)}
+    counts = {c: rng.randrange(5) for c in range(0, 1 << sharding.LEAST_BITS, 7)}
     parts, nodes = sharding.walk(counts, 16), sharding.ring(16)
     taken = {}
     for cell, lo, hi, shard, _ in parts:
@@ -99,6 +135,32 @@ def test_mix(docs, real, odd):
     assert mixing.mixed(docs([]), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [1, 300])
+def test_chosen_rows_are_the_first_by_their_hash(spark, docs, repeats, monkeypatch):
+    """Against a plain sort: of each source and length the rows with the smallest (slice, slice of it, hash) get the extra copy; as many as the plan says, also among rows alike."""
+    monkeypatch.setattr(mixing, "RUN", 64)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, rng.randrange(400)]), "w " * rng.choice([3, 3, 3, 4, 9, 17]) + rng.choice("ab"), None, rng.choice(["x", "y", None])) for _ in range(700)] + [(77, "w w w a", None, "x")] * repeats
+    df = docs(rows).select("doc_id", "text", "source")
+    got = mixing.mixed(df, ["doc_id", "text"]).withColumn("source", F.lit(0)).collect()
+    h = F.xxhash64(F.lit(mixing.SEED), "doc_id", "text", "source")
+    local = [(r["source"], len(r["text"].split()), r["h"] % 512, (r["h"] >> 12) % 512, r["h"], r["doc_id"], r["text"]) for r in df.withColumn("h", h).collect()]
+    sizes: dict = {}
+    for r in local:
+        sizes[r[0]] = sizes.get(r[0], 0) + r[1]
+    goal, expected = mixing.targets(sizes), []
+    for source in sizes:
+        mine = [r for r in local if r[0] == source]
+        lengths = sorted({r[1] for r in mine})
+        passes = min(3, int(goal[source] // sizes[source]))
+        n = np.array([sum(r[1] == x for r in mine) for x in lengths])
+        extra = mixing.picks(source, np.array(lengths), n, 0 if passes >= 3 else round(goal[source]) - passes * sizes[source])
+        for x, k in zip(lengths, extra, strict=True):
+            for i, r in enumerate(sorted((r for r in mine if r[1] == x), key=lambda r: r[2:5])):
+                expected.append((r[5], r[6], x, sizes[source], int(passes + (i < k))))
+    assert sorted(map(repr, expected)) == sorted(repr((r["doc_id"], r["text"], r["size"], r["source_size"], r["times"])) for r in got)
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -112,17 +174,22 @@ def likeness(a, b):
 
 
 def check_prints(got, rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    place = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, place(r[1])))
     expected = []
     for i, (d, t) in enumerate(order):
         t, following = t or "", order[(i + 1) % len(order)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + following[:half]
-        expected.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), likeness(grams(t), grams(e)), likeness(grams(t), grams(following))))
+        a, b, c = grams(t), grams(e), grams(following)
+        expected.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), likeness(a, b), likeness(a, c), len(a | b), len(a | c)))
     found = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    expected.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    expected.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3], r[4]))
+    found.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3], r[4]))
     assert [x[:3] for x in found] == [x[:3] for x in expected]
-    assert max(abs(x[i] - y[i]) for x, y in zip(found, expected, strict=True) for i in (3, 4)) < 0.2
+    # exact up to K shingles in the union, beyond that within five deviations
+    off = [(abs(x[i] - y[i]), y[i + 2]) for x, y in zip(found, expected, strict=True) for i in (3, 4)]
+    assert all(o < 1e-12 for o, n in off if n <= sketches.K) and all(o < 5 * 0.5 / sketches.K**0.5 for o, _ in off)
 
 
 def test_fingerprints(docs, real):
@@ -142,6 +209,14 @@ def test_fingerprints_of_odd_rows(docs, odd):
     assert sketches.fingerprinted(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 40])
+def test_documents_that_come_often(docs, others, monkeypatch):
+    monkeypatch.setattr(sketches, "ALIKE", 100)
+    monkeypatch.setattr(sketches, "RUN", 64)
+    rows = [(5, "a b c d e f g")] * 700 + [(None, "x y z")] * (200 if others else 0) + [(None, f"n {i}") for i in range(others)] + [(5, f"t {i} a b c d e") for i in range(others)] + [(i, f"o {i}") for i in range(others)]
+    check_prints(sketches.fingerprinted(docs(rows)).collect(), rows)
+
+
 def test_sketches():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 2**63, 20_000).astype(np.uint64), rng.integers(0, 2**63, 20_000).astype(np.uint64)
@@ -160,7 +235,8 @@ def test_token_counts(docs, real, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    rows = [r[:2] for r in real] + [o for o in odd if len(o[1] or "") < 1000]
+    long = [" " * 1_000_000 + "a", "b" + "\n \t" * 300_000, "c" + " " * 5000 + "d" + "\u3000" * 5000 + "!" + " " * 4095 + "7" + "\n" * 4096, " " * 4096, "x" * 1_000_000, "7" * 1_000_000, "!" * 1_000_000, "\x1c" * 5000 + "e"]
+    rows = [r[:2] for r in real] + list(odd) + [(100 + i, t) for i, t in enumerate(long)]
     other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # the same vocabulary by another library
     lengths = [len(other.encode(t, add_special_tokens=False).ids) if t else 0 for _, t in rows]
     counted = tokens.counted(docs(rows), keep=["doc_id", "text"])
@@ -176,7 +252,7 @@ def test_token_counts(docs, real, odd):
 
 
 def test_token_counts_of_odd_rows(docs, odd):
-    got = {r["doc_id"]: r["n_tokens"] for r in tokens.counted(docs([o for o in odd if o[0] != 7] + [(20, "<|endoftext|>")])).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.counted(docs([*odd, (20, "<|endoftext|>")])).collect()}
     assert got[1] == got[2] == 0 and got[20] > 1 and got[8] > 50_000
     none = tokens.histogram(tokens.counted(docs([])))
     assert none.count() == 0 and tokens.limit_total(none, 5).first()["kept"] == 0 and tokens.quantile(none, 0.5).first()["n_tokens"] is None
