@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, langid, minhash, mixing, sharding
-from ledgerloom.llm.common import shared_dir, table, written
+from ledgerloom.llm.common import scratch, shared_dir, table, written
 from ledgerloom.llm.sampling import fold
 
 
@@ -15,10 +15,10 @@ OWN = "__pipeline_"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null texts and texts without a letter); the model comes from the labelled rows of the training folds of documents."""
+    """Drops documents in none of the learned languages, null texts and texts without a letter among them; the model comes from the labelled rows of the training folds of documents."""
     model = langid.fit(table(spark, sf_dir, "documents").where(fold(4) != 2))
-    found = langid.identified(docs, model, keep=docs.columns, prefix="__")
-    return found.where(F.col("__lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identified(docs, model, keep=docs.columns, prefix=OWN)
+    return found.where(~F.col(f"{OWN}foreign")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias("__t")).distinct()
-    return docs.join(found.hint("merge"), F.xxhash64("text") == F.col("__t"), "left_anti")
+    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_key").alias(f"{OWN}leak")).distinct()
+    return docs.join(found, F.xxhash64("text") == F.col(f"{OWN}leak"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    chosen = mixing.mixed(docs, docs.columns, prefix="__").where("__times > 0")
-    return chosen.select(*docs.columns, F.explode(F.expr("sequence(1, __times)")).alias("__copy")).drop("__copy")
+    chosen = mixing.mixed(docs, docs.columns, prefix=OWN).where(f"{OWN}times > 0")
+    return chosen.select(*docs.columns, F.explode(F.expr(f"sequence(1, {OWN}times)")).alias(f"{OWN}copy")).drop(f"{OWN}copy")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            kept.append(docs := written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

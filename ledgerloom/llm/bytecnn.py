@@ -16,6 +16,38 @@ def windows(data: bytes, length: int, stride: int, most: int | None = None) -> n
     return out
 
 
+#: Windows that are looked at together.
+TOGETHER = 4096
+
+
+def grouped(texts: list[bytes], length: int, stride: int):
+    """The windows of many texts in groups of about TOGETHER: (numbers of the texts, windows, where each text's windows start). A text of more windows comes alone, in several groups, so what is added up for a text does not depend on its neighbours."""
+    numbers, parts, held = [], [], 0
+
+    def group():
+        return numbers, np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts[:-1])])
+
+    for i, data in enumerate(texts):
+        n = 1 + max(0, -(-(len(data) - length) // stride))
+        if n > TOGETHER:
+            for at in range(0, n, TOGETHER):
+                few = min(TOGETHER, n - at)
+                yield [i], windows(data[at * stride : (at + few - 1) * stride + length], length, stride)[:few], np.array([0])
+            continue
+        if held + n > TOGETHER and numbers:
+            yield group()
+            numbers, parts, held = [], [], 0
+        numbers, parts, held = [*numbers, i], [*parts, windows(data, length, stride)], held + n
+    if numbers:
+        yield group()
+
+
+def outputs(features: np.ndarray, dense: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """features @ dense + bias; of equal rows the same to the last bit, wherever they stand."""
+    wide = features.astype(np.float64)
+    return np.stack([(wide * dense[:, k].astype(np.float64)).sum(1) for k in range(dense.shape[1])], 1) + bias
+
+
 class ByteCnn:
     """Filters of several widths, each a table of one weight a byte value and place; max-pooled over a window."""
 

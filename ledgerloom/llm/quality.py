@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytecnn import ByteCnn, softmax, trained, windows
+from .bytecnn import ByteCnn, grouped, outputs, trained
 from .common import mapped, table
 from .sampling import fold, thinned, windowed
 
@@ -44,18 +44,17 @@ class Quality:
     shift: float  # added to the log odds of label 1
 
     def scores(self, texts) -> np.ndarray:
-        out = []
-        for t in texts:
-            if self.net is None:
-                out.append(0.5 if self.shift == 0 else 1 / (1 + np.exp(-self.shift)))
-                continue
-            x, pooled = windows((t or "").encode("utf-8", "surrogatepass"), CHUNK, STRIDE), []
-            for i in range(0, len(x), 4096):
-                pooled.append(self.net.pooled(x[i : i + 4096]))
-            features, _ = _spread(p := np.concatenate(pooled), np.zeros(len(p), int))
-            z = features @ self.net.dense + self.net.dense_bias
-            out.append(float(1 / (1 + np.exp(-np.clip(z[0, 1] - z[0, 0] + self.shift, -60, 60)))))
-        return np.array(out)
+        if self.net is None:
+            return np.full(len(texts), 0.5 if self.shift == 0 else 1 / (1 + np.exp(-self.shift)))
+        f = len(self.net.bias)
+        total, most, count = np.zeros((len(texts), f)), np.zeros((len(texts), f)), np.zeros(len(texts))  # rectified: nothing is below 0
+        for numbers, x, starts in grouped([(t or "").encode("utf-8", "surrogatepass") for t in texts], CHUNK, STRIDE):
+            pooled = self.net.pooled(x).astype(np.float64)
+            total[numbers] += np.add.reduceat(pooled, starts)
+            most[numbers] = np.maximum(most[numbers], np.maximum.reduceat(pooled, starts))
+            count[numbers] += np.diff([*starts, len(x)])
+        z = outputs(np.concatenate([total / np.maximum(count, 1)[:, None], most], 1), self.net.dense, self.net.dense_bias)
+        return 1 / (1 + np.exp(-np.clip(z[:, 1] - z[:, 0] + self.shift, -60, 60)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Quality:

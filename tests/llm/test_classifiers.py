@@ -15,6 +15,52 @@ def test_windows_cover_everything():
     assert len(bytecnn.windows(data * 50, 64, 48, most=5)) == 5
 
 
+TEXTS = [b"", b"a", bytes(range(1, 256)) * 3, b"word " * 9000, b"x" * 127, b"y" * 128, b"z" * 129] + [bytes([65 + i % 26]) * (i * 7) for i in range(60)]
+
+
+def test_groups_hold_each_window_once(monkeypatch):
+    for together in (1, 3, 50, 4096):
+        monkeypatch.setattr(bytecnn, "TOGETHER", together)
+        got: dict = {}
+        for numbers, x, starts in bytecnn.grouped(TEXTS, 128, 96):
+            for i, part in zip(numbers, np.split(x, starts[1:]), strict=True):
+                got.setdefault(i, []).append(part)
+        assert sorted(got) == list(range(len(TEXTS)))
+        assert all(np.array_equal(np.concatenate(got[i]), bytecnn.windows(t, 128, 96)) for i, t in enumerate(TEXTS))
+
+
+def by_place(net, data, length, stride):
+    """Pooled filters of each window by a plain loop over its places."""
+    out = []
+    for w in bytecnn.windows(data, length, stride):
+        row = []
+        for t in net.tables:
+            for f in range(t.shape[2]):
+                row.append(max(sum(float(t[j, w[at + j], f]) for j in range(len(t))) for at in range(length - len(t) + 1)))
+        out.append([max(0.0, r + float(b)) for r, b in zip(row, net.bias, strict=True)])
+    return np.array(out)
+
+
+def test_scores_are_those_of_a_plain_loop():
+    texts = ["", "short", "Some words, und noch mehr davon. " * 14, None]
+    rng = np.random.default_rng(5)
+    net = bytecnn.ByteCnn({3: 2, 6: 2}, 2, 8, seed=3, sees_padding=True)
+    net.dense = rng.normal(0, 1, net.dense.shape).astype(np.float32)
+    got = quality.Quality(net, 0.3).scores(texts * 2)
+    for i, t in enumerate(texts):
+        pooled = by_place(net, (t or "").encode(), quality.CHUNK, quality.STRIDE)
+        z = np.concatenate([pooled.mean(0), pooled.max(0)]) @ net.dense + net.dense_bias
+        assert got[i] == got[i + len(texts)] == pytest.approx(1 / (1 + np.exp(-(z[1] - z[0] + 0.3))), rel=1e-4)
+    net = bytecnn.ByteCnn({2: 2, 4: 2}, 3, 4, seed=4)
+    net.dense = rng.normal(0, 1, net.dense.shape).astype(np.float32)
+    shares = langid.Languages(net, ["a", "b"]).shares([t or "" for t in texts] * 2)
+    for i, t in enumerate(texts[1:3], 1):
+        pooled, cut = by_place(net, t.encode(), langid.LENGTH, langid.LENGTH), bytecnn.windows(t.encode(), langid.LENGTH, langid.LENGTH)
+        z = np.exp(pooled @ net.dense + net.dense_bias)
+        expected = ((z / z.sum(1, keepdims=True)) * (cut != 0).sum(1)[:, None]).sum(0) / (cut != 0).sum()
+        assert shares[i] == pytest.approx(expected, rel=1e-4) and np.array_equal(shares[i], shares[i + len(texts)])
+
+
 def test_gradients():
     net = bytecnn.ByteCnn({3: 4}, 2, 4, seed=1)
     x = np.random.default_rng(0).integers(1, 256, (5, 20)).astype(np.uint8)
@@ -47,6 +93,7 @@ def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
+    assert not got["foreign"].any()
 
 
 def test_language_odd_rows(docs, odd, real):
