@@ -1,9 +1,11 @@
 """URL verdicts: rules first, then segmented host and path words under multinomial naive Bayes.
 
 Host labels are split at signs and digits; what is left is segmented by the most probable
-sequence of words (Viterbi) under a unigram model. The model counts the words of all pages;
-only counts of words that occur inside some host label are gathered, a label at a time. Words of
-host and path are scored by a multinomial naive Bayes model fitted on the examples below.
+sequence of words (Viterbi) under a unigram model. The model mixes how often words stand in the
+visible text of all pages with a small share for the words of the labelled examples. A page's text
+says nothing about the labels of its own host, or each name would be a word for its own sake. Only
+counts of words that occur inside some host label are gathered, a label at a time. Words of host
+and path are scored by a multinomial naive Bayes model fitted on the labelled examples.
 """
 
 from __future__ import annotations
@@ -19,42 +21,152 @@ from .common import mapped, spread_join, table, written
 #: Rules of the query: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-#: Longest word of the unigram model; what it weighs if a word of the examples was never seen.
-LONGEST, KNOWN_WORD = 24, 2000
+#: Longest word of the unigram model; share of the examples' words in it; what an unknown word weighs beside a tenth for each letter.
+LONGEST, EXAMPLE_SHARE, UNKNOWN = 24, 0.05, 1e-8
 #: Smoothing, and the share of allowed hosts before any word is seen.
 ALPHA, ALLOWED = 0.1, 0.75
-# Words that say nothing, and the labelled examples, one a line of words.
+# Words that say nothing.
 SILENT = set("www m mobile com net org edu gov info io co uk de fr es it en example html htm php asp aspx index page ref amp http https".split())
-BLOCK_EXAMPLES = """cheap pills online pharmacy
-viagra cialis pills discount meds
-casino poker slots jackpot bonus
-betting bet odds casino lottery
-payday loan loans fast cash
-adult xxx porn sex videos
-escort cams nude singles dating
-spam farm seo backlinks
-replica watches fake rolex outlet
-crack keygen warez torrent serial
-malware phishing scam virus
-miracle weightloss diet pills
-win prize winner claim free gift
-hot singles adult chat
-ads track tracker tracking banner popup clicks""".splitlines()
-ALLOW_EXAMPLES = """news world report daily
-blog post article journal
-science physics biology chemistry research
-university school library education
-museum history art culture
-garden farm organic food recipes cooking
-travel city guide hotel
-health doctor hospital clinic
-weather sport football music
-docs developer software code open data
-wiki forum community group
-government law economy market
-family home house kids
-books reading literature review
-about contact team project""".splitlines()
+#: Version 2 of the labelled examples: words of names of sites, made up by kind. judged() takes other ones in their place.
+EXAMPLES = [
+    ("block", line) for line in """cheap pills online pharmacy
+buy viagra cialis no prescription
+discount meds shop
+weight loss pills miracle diet
+steroids for sale
+online casino slots jackpot
+casino bonus free spins
+poker room texas
+sports betting odds tips
+lottery jackpot winner
+bet win cash
+payday loan fast cash
+instant loans bad credit
+debt relief forex signals
+crypto doubler invest profit
+get rich quick money
+adult xxx videos
+free porn tube
+hot sex cams
+nude cam girls
+escort service
+singles adult dating chat
+milf hookup
+hentai erotic gallery
+spam farm
+spam mail bulk sender
+seo backlinks farm
+link farm directory submit
+cheap traffic bot clicks
+replica watches rolex
+fake bags outlet luxury
+counterfeit sneakers outlet
+crack keygen serial
+warez torrent download
+pirate movies free download
+nulled scripts cracked
+hacked accounts generator
+free gift card claim
+claim your prize
+survey reward iphone winner
+you won a prize
+phishing login verify account
+secure account update verify
+virus malware download
+trojan exploit kit
+scam alert refund claim
+hate white power
+gore shock videos
+drugs weed cocaine shop
+vape kratom sale
+fake diploma degree buy
+essay mill cheap papers
+buy followers likes
+ads track
+ad server tracker
+tracking pixel analytics banner
+popup ads network
+clicks banner exchange
+affiliate redirect offer
+miracle cure detox
+psychic love spell
+mlm work from home money
+unlock phone hack cheats
+game cheats hack coins""".splitlines()
+] + [
+    ("allow", line) for line in """world news daily
+local news report
+city times
+morning post herald
+weather forecast
+science journal
+physics research institute
+biology lab
+chemistry today
+astronomy space
+university library
+school education
+college courses
+learning languages
+mathematics lectures
+museum of art
+history archive
+culture festival
+theatre music
+classical concerts
+photo gallery travel
+travel city guide
+mountain hiking trails
+hotel booking
+railway timetable
+garden recipes
+farm organic food
+family farm market
+cooking with kids
+bread baking blog
+health clinic
+doctor hospital
+dental care
+mental health help
+cancer research fund
+football club
+sport results
+running cycling
+chess federation
+yoga studio
+software developer docs
+open source code
+data engineering blog
+linux forum
+web design
+public library
+book review
+reading group
+poetry writers
+children stories
+government services
+law review
+tax office
+city council
+election results
+economy and market
+bank branch
+insurance advice
+job board careers
+company about contact
+house and home
+furniture makers
+car repair
+bicycle shop
+pet care
+bird watching
+gardening club
+community forum
+charity volunteers
+church choir
+my blog
+team project""".splitlines()
+]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -76,15 +188,19 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return first([h + p for _, h, p in ordered]), first([v for v, _, _ in ordered])
 
 
-def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most probable words of a run of letters; unknown words cost ten times more with each letter. Ties take the longer last word."""
+def words_of(examples) -> list[str]:
+    return sorted({w for _, line in examples for w in line.split()})
+
+
+def segment(label: str, counts: dict[str, int], total: int, known: frozenset = frozenset()) -> list[str]:
+    """The most probable words of a run of letters, under counts of words in texts and the words of the examples; unknown words cost ten times more with each letter. Ties take the longer last word."""
     best, back = [0.0], [0]
     for end in range(1, len(label) + 1):
         options = []
         for start in range(max(0, end - LONGEST), end):
-            n = counts.get(label[start:end], 0)
-            cost = math.log(n / total) if n else math.log(10.0 / total) - math.log(10.0) * (end - start)
-            options.append((best[start] + cost, -start))
+            word = label[start:end]
+            p = (1 - EXAMPLE_SHARE) * counts.get(word, 0) / max(1, total) + EXAMPLE_SHARE * (word in known) / max(1, len(known))
+            options.append((best[start] + (math.log(p) if p else math.log(UNKNOWN) - math.log(10.0) * (end - start)), -start))
         score, start = max(options)
         best.append(score)
         back.append(-start)
@@ -96,16 +212,17 @@ def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 class Bayes:
-    """Multinomial naive Bayes on lists of words; words of no example and silent words count for nothing."""
-
-    def __init__(self, block=BLOCK_EXAMPLES, allow=ALLOW_EXAMPLES):
-        n = [dict(), dict()]
-        for counts, rows in zip(n, (allow, block), strict=True):
-            for w in " ".join(rows).split():
-                counts[w] = counts.get(w, 0) + 1
-        words = {*n[0], *n[1]}
-        sums = [sum(c.values()) + ALPHA * len(words) for c in n]
-        self.odds = {w: math.log((n[1].get(w, 0) + ALPHA) / sums[1]) - math.log((n[0].get(w, 0) + ALPHA) / sums[0]) for w in words}
+    """Multinomial naive Bayes on labelled lines of words; words of no example and silent words count for nothing."""
+
+    def __init__(self, examples=EXAMPLES):
+        n: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
+        for verdict, line in examples:
+            for w in line.split():
+                n[verdict][w] = n[verdict].get(w, 0) + 1
+        words = {*n["allow"], *n["block"]}
+        sums = {k: sum(c.values()) + ALPHA * len(words) for k, c in n.items()}
+        of = lambda k, w: math.log((n[k].get(w, 0) + ALPHA) / sums[k])
+        self.odds = {w: of("block", w) - of("allow", w) for w in words}
         self.prior = math.log((1 - ALLOWED) / ALLOWED)
 
     def log_odds(self, words) -> float:
@@ -114,40 +231,45 @@ class Bayes:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): runs of a-z in all pages, and KNOWN_WORD for each word of the examples."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(rf"(?<![\p{{L}}])[a-z]{{1,{LONGEST}}}(?![\p{{L}}])"), F.lit(0))).alias("word"))
-    known = sorted({w for w in " ".join(BLOCK_EXAMPLES + ALLOW_EXAMPLES).split()})
-    extra = pages.sparkSession.createDataFrame([(w, KNOWN_WORD) for w in known], "word string, n long")
-    return words.groupBy("word").agg(F.count("*").alias("n")).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, words) of distinct labels (runs of a-z)."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    pieces = F.expr(f"explode(array_distinct(flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, least({LONGEST}, length(label) - i + 1)), k -> substring(label, i, k))))))")
-    found = labels.select("label", pieces.alias("word")).join(counts, "word")
+    """(word, n): runs of a-z in the visible text of pages (host, html). Scripts, styles, comments, markup and names with dots in them are left out, and so are the labels of a page's own host."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    text = F.regexp_replace(F.lower(text), r"[\w-]+(?:\.[\w-]+)+", " ")
+    found = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})[a-z]{{1,{LONGEST}}}(?!\p{{L}})"), F.lit(0))
+    own = F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))
+    words = pages.select(found.alias("words"), own.alias("own")).select(F.explode(F.filter("words", lambda w: ~F.array_contains("own", w))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def segmented(labels: DataFrame, counts: DataFrame, examples=EXAMPLES) -> DataFrame:
+    """(label, words) of a written table of distinct labels (runs of a-z). Pieces of one letter are no words."""
+    total, known = counts.agg(F.sum("n")).first()[0] or 0, frozenset(words_of(examples))
+    pieces = F.expr(f"explode(array_distinct(flatten(transform(sequence(1, length(label)), i -> transform(sequence(2, greatest(2, least({LONGEST}, length(label) - i + 1))), k -> substring(label, i, k))))))")
+    cut = written(labels.select("label", pieces.alias("word")).where(F.length("word") > 1), "pieces")
+    found = spread_join(cut, counts, "word", cut.groupBy("word").agg(F.count("*").alias("n"))).where("n IS NOT NULL")
     # a label has at most its length times LONGEST pieces
     found = labels.join(found.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")), "label", "left")
-    return mapped(found, ["label"], ["label", "counts"], {"words": "array<string>"}, lambda ls, cs: [[segment(x, dict(c or []), total) for x, c in zip(ls, cs, strict=True)]])
+    return mapped(found, ["label"], ["label", "counts"], {"words": "array<string>"}, lambda ls, cs: [[segment(x, dict(c or []), total, known) for x, c in zip(ls, cs, strict=True)]])
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, examples=EXAMPLES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words, score for each row of pages (page_id, url, html).
 
     A null url, or one without ://, has empty host and path; no rule fits an empty path. Without a
     word that the examples know the verdict is allow. Repeated rows are judged alike, null html adds
-    no words, no rows give no rows. Other columns are not read. score: log odds of block.
+    no words, no rows give no rows. Other columns are not read. score: log odds of block. examples:
+    a list of (verdict, words), of bounded length.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     hosts = written(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    runs = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("at", "label"))
-    words = segmented(runs.select("label").distinct(), written(word_counts(pages), "words"))
-    of_host = runs.join(words, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))  # labels of one host
+    runs = written(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("at", "label")), "runs")
+    labels = written(runs.groupBy("label").agg(F.count("*").alias("n")), "labels")
+    words = written(segmented(labels.select("label"), written(word_counts(pages.select(host.alias("host"), "html")), "words"), examples), "segmented")
+    of_host = spread_join(runs, words, "label", labels).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))  # labels of one host
     of_host = of_host.select("host", F.flatten("parts.words").alias("host_words"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     joined = spread_join(rows.withColumn("rule", rule).withColumn("ruled", verdict), written(of_host, "segments"), "host", hosts)
-    model = Bayes()
+    model = Bayes(examples)
 
     def score(host_words, paths):
         return [[model.log_odds([*(h or []), *re.findall("[a-z]+", p.lower())]) for h, p in zip(host_words, paths, strict=True)]]

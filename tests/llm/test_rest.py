@@ -271,7 +271,7 @@ URLS = ["http://a.com/x?y#z", "https://WWW.Example.com/en/1", "https://shop.exam
 
 
 def test_verdicts(spark):
-    html = "<p>garden recipes and news about farms, cheap pills</p>"
+    html = "<p>garden recipes and news about farms, cheap pills</p><script>gardenrecipes</script><p class='cheappills'>gardenrecipes.org</p>"
     df = spark.createDataFrame([(i, u, html, 1, "x") for i, u in enumerate(URLS)] * 2, "page_id long, url string, html string, n int, host string")
     got = urls.judged(df).collect()
     assert len(got) == 2 * len(URLS)
@@ -288,27 +288,56 @@ def test_verdicts(spark):
     assert urls.judged(df.withColumn("html", F.lit(None).cast("string"))).count() == 2 * len(URLS)
 
 
-def test_segmentation_is_the_best():
-    counts = {"cheap": 50, "pills": 40, "ch": 500, "ea": 900, "p": 20, "pill": 30, "s": 200, "heap": 10}
-    total = 10_000
+def plain_cost(words, counts, total, known):
+    import math
 
-    def cost(words):
-        import math
+    out = 0.0
+    for w in words:
+        p = (1 - urls.EXAMPLE_SHARE) * counts.get(w, 0) / total + urls.EXAMPLE_SHARE * (w in known) / len(known)
+        out += math.log(p) if p and (len(w) > 1 or w in known) else math.log(urls.UNKNOWN) - math.log(10) * len(w)
+    return out
 
-        return sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - math.log(10) * len(w) for w in words)
 
-    def splits(x):
-        return [[x]] + [[x[:i], *rest] for i in range(1, len(x)) for rest in splits(x[i:])]
+def splits(x):
+    return [[x]] + [[x[:i], *rest] for i in range(1, len(x)) for rest in splits(x[i:])]
 
-    for label in ("cheappills", "heaps", "zqcheap", "spills"):
-        assert cost(urls.segment(label, counts, total)) == pytest.approx(max(map(cost, splits(label))))
+
+def test_segmentation_is_the_best():
+    counts = {"cheap": 50, "pills": 40, "ch": 500, "ea": 900, "pill": 30, "heap": 10}
+    total, known = 10_000, frozenset({"cheap", "farm"})
+    for label in ("cheappills", "heaps", "zqcheap", "spills", "cheapfarm"):
+        assert plain_cost(urls.segment(label, counts, total, known), counts, total, known) == pytest.approx(max(plain_cost(w, counts, total, known) for w in splits(label)))
     assert urls.segment("", counts, total) == [] and urls.segment("cheappills", counts, total) == ["cheap", "pills"]
 
 
+def test_names_are_split_although_their_pages_say_them(spark):
+    """Planted concatenations, which also stand in their own pages; verdicts against plain counting."""
+    from collections import Counter
+
+    talk = "the best casino and a bonus for the garden with recipes on news of today"
+    hosts = {"bestcasinobonus": "block", "gardenrecipes": "allow", "newstoday": "allow", "freepornvideos": "block", "bestgarden": "allow"}
+    rows = [(i, f"https://{h}.example.org/{i}", f"<p>{talk}</p><p>{(h + ' ') * 30}</p>") for i, h in enumerate(hosts)] + [(100 + i, f"https://site{i}.example.org/", f"<h1>{talk}</h1>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judged(df).collect()}
+    counts: Counter = Counter()
+    for _, url, html in rows:
+        own = re.findall("[a-z]+", url[8:].split("/")[0])
+        counts.update(w for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html)) if w not in own)
+    total, known, model = sum(counts.values()), frozenset(urls.words_of(urls.EXAMPLES)), urls.Bayes()
+    for i, (h, verdict) in enumerate(hosts.items()):
+        words = max(splits(h), key=lambda w: plain_cost(w, counts, total, known))
+        assert len(words) > 1 and got[i]["host_words"] == " ".join([*words, "example", "org"])
+        assert got[i]["score"] == pytest.approx(model.log_odds(words)) and got[i]["verdict"] == verdict == ("block" if model.log_odds(words) > 0 else "allow")
+
+
 def test_bayes_against_counts():
-    model = urls.Bayes(["spam spam ham"], ["ham eggs"])
+    model = urls.Bayes([("block", "spam spam ham"), ("allow", "ham eggs")])
     import math
 
     words, a = 3, urls.ALPHA
     odd = math.log((2 + a) / (3 + a * words)) - math.log((0 + a) / (2 + a * words))
+    both = math.log((1 + a) / (3 + a * words)) - math.log((1 + a) / (2 + a * words))
     assert model.log_odds(["spam", "unknown", "www"]) == pytest.approx(math.log(0.25 / 0.75) + odd)
+    assert model.log_odds(["ham", "spam", "spam"]) == pytest.approx(math.log(0.25 / 0.75) + 2 * odd + both)
+    # what was never seen with one verdict is not impossible
+    assert all(math.isfinite(x) for x in urls.Bayes().odds.values())
