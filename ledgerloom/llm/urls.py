@@ -30,10 +30,10 @@ SILENT = set("www m mobile com net org edu gov info io co uk de fr es it en exam
 #: Version 2 of the labelled examples: words of names of sites, made up by kind. judged() takes other ones in their place.
 EXAMPLES = [
     ("block", line) for line in """cheap pills online pharmacy
-buy viagra cialis no prescription
+buy viagra cialis prescription
 discount meds shop
 weight loss pills miracle diet
-steroids for sale
+steroids sale
 online casino slots jackpot
 casino bonus free spins
 poker room texas
@@ -67,9 +67,9 @@ pirate movies free download
 nulled scripts cracked
 hacked accounts generator
 free gift card claim
-claim your prize
+claim prize
 survey reward iphone winner
-you won a prize
+won prize
 phishing login verify account
 secure account update verify
 virus malware download
@@ -90,7 +90,7 @@ clicks banner exchange
 affiliate redirect offer
 miracle cure detox
 psychic love spell
-mlm work from home money
+mlm earn money
 unlock phone hack cheats
 game cheats hack coins""".splitlines()
 ] + [
@@ -109,7 +109,7 @@ school education
 college courses
 learning languages
 mathematics lectures
-museum of art
+museum art
 history archive
 culture festival
 theatre music
@@ -122,7 +122,7 @@ railway timetable
 garden recipes
 farm organic food
 family farm market
-cooking with kids
+cooking kids
 bread baking blog
 health clinic
 doctor hospital
@@ -149,12 +149,12 @@ law review
 tax office
 city council
 election results
-economy and market
+economy market
 bank branch
 insurance advice
 job board careers
 company about contact
-house and home
+house home
 furniture makers
 car repair
 bicycle shop
