@@ -1,15 +1,18 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Every page becomes tokens: the path of each element (names, classes and ids from the root down)
-and each text with its path. Tokens of a host that occur equally often in each of its pages have
-one occurrence vector and form an equivalence class. The vectors are never gathered: a token
-keeps the number of its pages, its total and two sums of hashes over (page, count), which merge
-in any order, so a host of any size is aggregated before the shuffle. Classes that enough pages
+and each text with its path. A path is known by a hash of its parent's and its last step, so a page
+costs what it is long, however deep it nests. Tokens of a host that occur equally often in each of
+its pages have one occurrence vector and form an equivalence class. The vectors are never gathered:
+a token keeps the number of its pages, its total and two sums of hashes over (page, count), which
+merge in any order, so a host of any size is aggregated before the shuffle. Classes that enough pages
 share are valid; they nest by their paths into the host's template. What lies between template
 tokens are slots. A slot is dropped for what its template path says (menus, forms, adverts and
 the like), for being mostly links, or for holding one text on most pages; the rest is extracted.
 Inside an article the template decides: a slot that holds one and the same text wherever the host
 has it goes, whatever its name; names and ids are only a reason to drop where the slot bears them out.
+A text that most pages repeat in a slot beside other texts may be the article's own: it goes only if
+its own words tell of sharing, subscribing and the like.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +34,17 @@ LINK_SHARE = 0.6
 
 # Elements of HTML by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-UNREAD = set("script style noscript template title head iframe object svg math canvas audio video map select option textarea button datalist".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mspace mstyle mpadded mphantom menclose mmultiscripts mprescripts semantics "
+    "svg g path circle rect line polygon polyline ellipse use defs text tspan object audio video canvas noscript map area source track embed param input picture".split()
+)
+#: What is never shown as text. Of these, what may stand inside a line of text does not end it.
+UNREAD = set("script style template title head iframe select optgroup option textarea button datalist".split())
+UNREAD_INLINE = UNREAD - {"head", "title"}
+#: What a head holds; anything else ends it.
+OF_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head html".split())
+OF_SELECT = set("option optgroup hr script template select".split())
 DROPPED = set("nav footer aside form menu dialog fieldset".split())
 HOLDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -47,66 +60,123 @@ OUTER_MARKS = {"header", "masthead", "topbar", "banner", "tags", "meta"}
 TOPICS = set("reviews discussion legal search warning alert notice notices responses popular trending".split())
 #: Marks that as one word of a longer class may also name a part of an article.
 WEAK = TOPICS | set("share sharing social copyright rail related recommended recommendations respond reply replies comment".split())
+#: Words of a repeated line that is no part of the article.
+TELLING = set("share subscribe subscription newsletter advertisement advert sponsored cookie cookies follow login unsubscribe".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+class Node:
+    """An element's path: its last step and the path before it."""
+
+    __slots__ = ("step", "parent", "key", "depth", "inside", "framed", "dropped", "steps", "count", "chars", "links")
+
+    def __init__(self, step: str, parent: Node | None):
+        self.step, self.parent = step, parent
+        self.key = xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), parent.key & _MASK) - (1 << 63) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
+        name, marks = _marks(step)
+        framed = parent is not None and parent.framed  # below an article or main element
+        plain = name not in ("html", "body")
+        outer = name in DROPPED or plain and name not in ("article", "main") and (bool(marks & (MARKS | OUTER_MARKS)) or name == "header")
+        self.dropped = parent is not None and (parent.dropped or (name in DROPPED if framed else outer))
+        self.framed = framed or name in ("article", "main")
+        self.inside = parent is not None and parent.inside or name in ("article", "main") or "main" in marks and plain
+        self.steps: dict[str, Node] = {}
+        self.count = self.chars = self.links = 0
+
+
+_MASK = (1 << 64) - 1
+
+
 class _Page(HTMLParser):
-    """Blocks (path, text, characters in links) and element paths of one page."""
+    """Blocks (node, text, characters in links) and element paths of one page."""
+
+    RCDATA_CONTENT_ELEMENTS = ()  # a title or text field that never closes ends with the next block
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []  # name, path
-        self.inline: list[str] = []
-        self.blocks: list[tuple[str, str, int]] = []
-        self.paths: dict[str, int] = {"": 1}
+        self.root = Node("", None)
+        self.root.count = 1
+        self.nodes = [self.root]
+        self.stack: list[tuple[str, Node]] = []
+        self.inline = 0  # open links
+        self.blocks: list[tuple[Node, str, int]] = []
         self.parts: list[str] = []
         self.links = 0
         self.unread = 0
+        self.open: dict[str, int] = {}  # how many of each name are open
 
-    def path(self) -> str:
-        return self.stack[-1][1] if self.stack else ""
+    def node(self) -> Node:
+        return self.stack[-1][1] if self.stack else self.root
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((self.path(), text, min(self.links, len(text))))
+            at = next((n for name, n in reversed(self.stack) if name not in UNREAD), self.root)
+            links = min(self.links, len(text))
+            self.blocks.append((at, text, links))
+            at.chars += len(text)
+            at.links += links
         self.parts, self.links = [], 0
 
     def drop(self, at: int) -> None:
-        self.flush()
+        if any(name not in UNREAD_INLINE for name, _ in self.stack[at:]):
+            self.flush()
+            self.inline = 0
         for name, _ in self.stack[at:]:
             self.unread -= name in UNREAD
+            self.open[name] -= 1
         del self.stack[at:]
-        self.inline.clear()
+
+    def last(self, name: str) -> int:
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name)
+
+    def implied(self, tag: str) -> None:
+        """Ends what a start tag ends."""
+        if self.open.get("title") and tag != "title":
+            self.drop(self.last("title"))
+        if self.open.get("head") and tag not in OF_HEAD:
+            self.drop(self.last("head"))
+        if tag not in INLINE and tag not in VOID:
+            if self.open.get("select") and tag not in OF_SELECT:
+                self.drop(self.last("select"))
+            if self.open.get("textarea"):
+                self.drop(self.last("textarea"))
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self.implied(tag)
         if tag == "br":
             self.parts.append(" ")
         if tag in INLINE:
-            if tag == "a":
-                self.inline.append(tag)
+            self.inline += tag == "a"
             return
-        self.flush()
-        if tag == "p" or tag not in INLINE | VOID:
-            for i in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[i][0]
-                if name == "p" and tag not in ("script", "style"):
-                    self.drop(i)
-                    break
-                if name in HOLDS.get(tag, ()):
-                    self.drop(i)
-                    break
-                if name in BOUNDS.get(tag, ()) or tag not in HOLDS:
-                    break
+        shown = tag not in UNREAD_INLINE
+        if shown:
+            self.flush()
+            if tag not in VOID and any(self.open.get(x) for x in ("p", *HOLDS.get(tag, ()))):
+                for i in range(len(self.stack) - 1, -1, -1):
+                    name = self.stack[i][0]
+                    if name == "p" or name in HOLDS.get(tag, ()):
+                        self.drop(i)
+                        break
+                    if name in BOUNDS.get(tag, ()) or tag not in HOLDS:
+                        break
+        elif tag in ("option", "optgroup") and self.stack and self.stack[-1][0] == "option":
+            self.drop(len(self.stack) - 1)
         values = dict(attrs)
         names = {*(values.get("class") or "").split(), *(values.get("role") or "").split(), *(["hidden"] if "hidden" in values else [])}
         plain = lambda m: re.sub("[./#]", "-", m)
         marks = [plain(m) for m in sorted(names)] + [f"#{plain(m)}" for m in sorted({*(values.get("id") or "").split()})]
-        path = f"{self.path()}/{tag}" + "".join(f".{m}" for m in marks)
-        self.paths[path] = self.paths.get(path, 0) + 1
+        step, around = tag + "".join(f".{m}" for m in marks), self.node()
+        node = around.steps.get(step)
+        if node is None:
+            node = around.steps[step] = Node(step, around)
+            self.nodes.append(node)
+        node.count += 1
         if tag not in VOID:
-            self.stack.append((tag, path))
+            self.stack.append((tag, node))
             self.unread += tag in UNREAD
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -115,16 +185,15 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
-            if tag == "a" and self.inline:
-                self.inline.pop()
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.drop(i)
-                return
-        self.flush()
+            self.inline = max(0, self.inline - (tag == "a"))
+        elif self.open.get(tag):
+            self.drop(self.last(tag))
+        elif tag not in UNREAD_INLINE:
+            self.flush()
 
     def handle_data(self, data: str) -> None:
+        if self.open.get("head") and self.stack[-1][0] == "head" and data.strip():
+            self.drop(self.last("head"))
         if not self.unread:
             self.parts.append(data)
             if self.inline:
@@ -144,27 +213,6 @@ def _marks(step: str) -> tuple[str, set[str]]:
     return name, {w for m in marks for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower()) if w}
 
 
-def is_article(path: str) -> bool:
-    return any(name in ("article", "main") or "main" in marks and name not in ("html", "body") for name, marks in map(_marks, path.split("/")))
-
-
-def _inner(path: str) -> int:
-    """How many steps of a path lead to its outermost article or main element; 0 if it has none."""
-    return next((i for i, step in enumerate(path.split("/")) if step.split(".")[0] in ("article", "main")), -1) + 1
-
-
-def dropped(path: str) -> bool:
-    """Whether a template path says that its slot is no article. Inside an article or main element only the element's own name says so."""
-    steps = path.split("/")
-    inner = _inner(path) or len(steps)
-    for name, marks in map(_marks, steps[:inner]):
-        if name in DROPPED or marks & MARKS and name not in ("html", "body", "article", "main"):
-            return True
-        if name not in ("article", "main") and (name == "header" or marks & OUTER_MARKS and name not in ("html", "body")):
-            return True
-    return any(step.split(".")[0] in DROPPED for step in steps[inner:])
-
-
 def suspicion(step: str) -> int:
     """What the classes, roles and ids of a step inside an article say: 3 no article, 2 none if the template repeats the slot, 1 none if the slot's texts are fixed or links, 0 nothing."""
     tag, *marks = step.split(".")
@@ -187,124 +235,131 @@ class Template:
     """The valid classes of a host and what they say about slots."""
 
     def __init__(self, pages: int, classes):
-        self.slots, self.texts, self.decided = {}, set(), {}
-        self.repeated: set[str] = set()  # paths on most pages
-        self.fixed: set[str] = set()  # of these, inside an article: those whose slot never holds a second text
-        sole: dict[str, int] = {}  # characters of the most common text of a slot
+        self.slots, self.texts = {}, set()
+        self.decided: dict[int, bool] = {}
+        self.repeated: set[int] = set()  # paths on most pages
+        self.fixed: set[int] = set()  # of these, inside an article: those whose slot never holds a second text
+        parents: dict[int, int | None] = {}
+        sole: dict[int, int] = {}  # characters of the most common text of a slot
         common = 0  # characters inside articles that are in texts of most pages
+        inside: dict[int, int] = {}
+        by_depth = []
         for c in classes or []:
             often = c["pages"] >= TEXT_PAGES and c["pages"] >= TEXT_SHARE * pages
             for t in c["tokens"]:
+                key = t["path"]
                 if t["text"] is None:
-                    self.slots[t["path"]] = (t["chars"], t["links"])
+                    self.slots[key] = (t["chars"], t["links"])
+                    parents[key] = t["parent"]
+                    by_depth.append((-t["depth"], key))
+                    if t["inside"] and t["chars"]:
+                        inside[key] = t["chars"]
                     if often:
-                        self.repeated.add(t["path"])
+                        self.repeated.add(key)
                 elif often:
-                    self.texts.add((t["path"], t["text"]))
-                    if is_article(t["path"]):
-                        sole[t["path"]] = max(sole.get(t["path"], 0), t["chars"])
+                    self.texts.add((key, t["text"]))
+                    if t["inside"]:
+                        sole[key] = max(sole.get(key, 0), t["chars"])
                         common += t["chars"]
-        inside = {p: chars for p, (chars, _) in self.slots.items() if chars and is_article(p)}
         varying = {p: chars - sole.get(p, 0) for p, chars in inside.items()}
         # where nothing varies, as on a host of copies, nothing tells a template from an article
         if sum(inside.values()) > common:
             self.fixed = {p for p, rest in varying.items() if not rest and p in self.repeated}
-        self.open = {q for p, rest in varying.items() if p not in self.fixed for q in self._around(p)}
-
-    @staticmethod
-    def _around(path: str):
-        steps = path.split("/")
-        return ["/".join(steps[:i]) for i in range(len(steps), 0, -1)]
-
-    def slot(self, path: str) -> str:
-        """The deepest template path around a block; a path that is in no class is its own."""
-        at = path
-        while at and at not in self.slots:
-            at = at.rpartition("/")[0]
-        return at or path
-
-    def _under(self, path: str) -> tuple[int, int]:
-        """Characters of the slots at and below a path, and of those in links."""
-        found = [v for p, v in self.slots.items() if p == path or p.startswith(f"{path}/")]
-        return sum(v[0] for v in found), sum(v[1] for v in found)
-
-    def inner_drop(self, path: str) -> bool:
+        self.open: set[int] = set()  # paths at or below which something varies
+        for p in varying.keys() - self.fixed:
+            while p is not None and p not in self.open:
+                self.open.add(p)
+                p = parents.get(p)
+        self.under = dict(self.slots)  # characters of the slots at and below a path, and of those in links
+        for _, p in sorted(by_depth):
+            if (up := parents[p]) in self.under:
+                self.under[up] = tuple(x + y for x, y in zip(self.under[up], self.under[p], strict=True))
+
+    def _says_no(self, node: Node) -> bool:
+        """Whether a step inside an article is a reason to drop what it holds."""
+        level, known = suspicion(node.step), node.key in self.repeated
+        if level == 3 or level == 2 and known:
+            return True
+        chars, links = self.under.get(node.key, (0, 0))
+        return bool(level and known and chars and (node.key not in self.open or links > LINK_SHARE * chars))
+
+    def inner_drop(self, node: Node) -> bool:
         """Whether the template drops a block inside an article."""
-        steps = path.split("/")
-        first = next(i for i in range(1, len(steps) + 1) if is_article(steps[i - 1]))
-        for i in range(first, len(steps) + 1):
-            at, level = "/".join(steps[:i]), suspicion(steps[i - 1])
-            if level == 3 or level == 2 and at in self.repeated:
-                return True
-            if level and at in self.repeated:
-                chars, links = self._under(at)
-                if chars and at not in self.open or links > LINK_SHARE * chars:
-                    return True
-        if path not in self.fixed:
-            return False
+        chain, at = [], node
+        while at is not None and at.inside and at.key not in self.decided:
+            chain.append(at)
+            at = at.parent
+        no = at is not None and at.inside and self.decided[at.key]
+        for n in reversed(chain):
+            no = self.decided[n.key] = no or self._says_no(n)
+        if no or node.key not in self.fixed:
+            return no
         # a fixed heading goes only with all that it heads
-        around = path.rpartition("/")[0]
-        return steps[-1].split(".")[0] not in HEADINGS or around.count("/") >= first and around not in self.open
+        around = node.parent
+        return node.step.split(".")[0] not in HEADINGS or around.inside and around.parent.inside and around.key not in self.open
 
-    def keeps(self, path: str, text_key: int) -> bool:
-        if path not in self.decided:
-            if is_article(path):
-                self.decided[path] = not (dropped(path) or self.inner_drop(path))
-            else:
-                chars, links = self.slots.get(self.slot(path), (0, 0))
-                menu = chars > 0 and links > LINK_SHARE * chars
-                self.decided[path] = not (dropped(path) or menu)
-        return self.decided[path] and (is_article(path) or (path, text_key) not in self.texts)
+    def keeps(self, node: Node, text: str) -> bool:
+        repeated = (node.key, _text_key(text)) in self.texts
+        if node.inside:
+            return not (node.dropped or self.inner_drop(node) or repeated and set(re.findall(r"[^\W\d_]+", text.lower())) & TELLING)
+        at = node
+        while at is not None and at.key not in self.slots:  # the deepest template path around; a path in no class is its own
+            at = at.parent
+        chars, links = self.slots.get((at if at is not None and at.parent is not None else node).key, (0, 0))
+        return not (node.dropped or chars > 0 and links > LINK_SHARE * chars or repeated)
 
 
 def _text_key(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+TOKEN = "struct<path:bigint,parent:bigint,step:string,depth:int,inside:boolean,text:bigint,count:bigint,chars:bigint,links:bigint>"
+
+
 def _tokens(htmls):
     tokens = []
     for html in htmls:
         page = parsed(html)
-        held: dict[str, list[int]] = {p: [n, 0, 0] for p, n in page.paths.items()}
-        texts: dict[tuple[str, int], int] = {}
-        lengths: dict[tuple[str, int], int] = {}
-        for path, text, links in page.blocks:
-            held[path][1] += len(text)
-            held[path][2] += links
-            key = (path, _text_key(text))
-            texts[key] = texts.get(key, 0) + 1
-            lengths[key] = len(text)
-        tokens.append([(p, None, n, c, x) for p, (n, c, x) in held.items()] + [(p, t, n, lengths[p, t] * n, 0) for (p, t), n in texts.items()])
+        texts: dict[tuple[int, int], list] = {}
+        for node, text, _ in page.blocks:
+            texts.setdefault((node.key, _text_key(text)), [node, len(text), 0])[2] += 1
+        up = lambda n: n.parent.key if n.parent else None
+        tokens.append(
+            [(n.key, up(n), n.step, n.depth, n.inside, None, n.count, n.chars, n.links) for n in page.nodes]
+            + [(n.key, up(n), None, n.depth, n.inside, t, times, size * times, 0) for (_, t), (n, size, times) in texts.items()]
+        )
     return [tokens]
 
 
+def extracted(page: _Page, template: Template) -> str:
+    """The blocks that a template leaves: of the article if there is one, else of the whole page."""
+    kept = [t for n, t, _ in page.blocks if n.inside and template.keeps(n, t)]
+    if not kept:
+        kept = [t for n, t, links in page.blocks if template.keeps(n, t) and links <= LINK_SHARE * len(t)]
+    return "\n".join(kept)
+
+
 def _extract(hosts, pages, classes, htmls):
     known: dict = {}
     out = []
     for host, n, c, html in zip(hosts, pages, classes, htmls, strict=True):
         if host not in known:
             known[host] = Template(n or 0, c)
-        template = known[host]
-        rows = parsed(html).blocks
-        body = [r for r in rows if is_article(r[0])]
-        kept = [r[1] for r in body if template.keeps(r[0], _text_key(r[1]))] if body else []
-        if not kept:
-            kept = [t for p, t, x in rows if template.keeps(p, _text_key(t)) and x <= LINK_SHARE * len(t)]
-        out.append("\n".join(kept))
+        out.append(extracted(parsed(html), known[host]))
     return [out]
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, pages, classes: the valid equivalence classes of each host, of tokens (host, page, path, text, count, chars, links)."""
+    """host, pages, classes: the valid equivalence classes of each host, of tokens (host, page and the fields of TOKEN)."""
     seen = F.xxhash64("page", "count")
     merged = written(tokens.groupBy("host", "path", "text").agg(
-        F.count("*").alias("pages"), F.sum("count").alias("total"), F.sum(seen.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"),
-        F.sum(F.shiftrightunsigned(seen, 33)).alias("v2"), F.sum("chars").alias("chars"), F.sum("links").alias("links")).where((F.col("pages") >= LEAST_PAGES) | ((F.col("path") == "") & F.col("text").isNull())), "tokens")
-    sizes = merged.where("path = '' AND text IS NULL").select("host", F.col("pages").alias("all"))
-    valid = merged.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("all") * LEAST_SHARE)
-    token = F.struct("path", "text", "chars", "links")
+        F.count("*").alias("pages"), F.sum("count").alias("total"), F.sum(seen.bitwiseAND(F.lit(0x7FFFFFFF))).alias("v1"), F.sum(F.shiftrightunsigned(seen, 33)).alias("v2"),
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), *[F.max(n).alias(n) for n in ("parent", "step", "depth", "inside")])
+        .where((F.col("pages") >= LEAST_PAGES) | ((F.col("path") == 0) & F.col("text").isNull())), "tokens")
+    sizes = written(merged.where("path = 0 AND text IS NULL").select("host", F.col("pages").alias("all")), "sizes")
+    often = merged.where(F.col("pages") >= LEAST_PAGES)
+    valid = spread_join(often, sizes, "host", often.groupBy("host").agg(F.count("*").alias("n"))).where(F.col("pages") >= F.col("all") * LEAST_SHARE)
+    token = F.struct("path", "parent", "step", "depth", "inside", "text", "chars", "links")
     classes = valid.groupBy("host", "all", "pages", "total", "v1", "v2").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
     return classes.groupBy("host").agg(F.max("all").alias("pages"), F.sort_array(F.collect_list(F.struct("pages", "total", "tokens"))).alias("classes"))
 
@@ -314,13 +369,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text. A null url, or one without host, counts as the host ''.
     Repeated rows are pages of their own. Text inside of an article or main element is preferred;
-    of pages without such, all slots count that are not dropped. Markup that never closes is closed
-    at the end. No rows give no rows. Other columns are not read.
+    of pages without such, all slots count that are not dropped. Elements may nest as deep as a page
+    is long. A head, title, text field or list of options that never closes ends with the next
+    block, other markup at the end. No rows give no rows. Other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    made = {"tokens": "array<struct<path:string,text:bigint,count:bigint,chars:bigint,links:bigint>>"}
-    tokens = mapped(rows, ["host", "page_id", "url"], ["html"], made, _tokens)
+    tokens = mapped(rows, ["host", "page_id", "url"], ["html"], {"tokens": f"array<{TOKEN}>"}, _tokens)
     tokens = tokens.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("tokens").alias("t")).select("host", "page", "t.*")
     found = written(templates(tokens), "templates")
     sizes = written(rows.groupBy("host").agg(F.count("*").alias("n")), "sizes")

@@ -71,10 +71,42 @@ def test_odd_pages(extract):
 
 
 def test_classes_are_by_occurrence(spark):
-    rows = spark.createDataFrame([("h", 1, "", None, 1, 0, 0), ("h", 2, "", None, 1, 0, 0), ("h", 1, "/a", None, 2, 0, 0), ("h", 2, "/a", None, 3, 0, 0), ("h", 1, "/a/b", None, 2, 5, 0), ("h", 2, "/a/b", None, 3, 5, 0),
-                                  ("h", 1, "/c", None, 1, 0, 0), ("h", 2, "/c", None, 1, 0, 0), ("h", 1, "/c", 7, 1, 0, 0)], "host string, page long, path string, text long, count long, chars long, links long")
+    row = lambda page, path, text, count: ("h", page, path, 0 if path else None, f"s{path}", 1, False, text, count, 0, 0)
+    rows = spark.createDataFrame([row(1, 0, None, 1), row(2, 0, None, 1), row(1, 1, None, 2), row(2, 1, None, 3), row(1, 2, None, 2), row(2, 2, None, 3), row(1, 3, None, 1), row(2, 3, None, 1), row(1, 3, 7, 1)],
+                                 "host string, page long, path long, parent long, step string, depth int, inside boolean, text long, count long, chars long, links long")
     got = html.templates(rows).first()
-    assert sorted([sorted(t["path"] for t in c["tokens"]) for c in got["classes"]]) == [["", "/c"], ["/a", "/a/b"]] and got["pages"] == 2
+    assert sorted([sorted(t["path"] for t in c["tokens"]) for c in got["classes"]]) == [[0, 3], [1, 2]] and got["pages"] == 2
+
+
+def test_without_the_template_the_result_is_another(extract):
+    """Articles with lines that only the host's pages together tell from their own."""
+    body = ("<article><h1>Title {i}</h1><p>Own {i}</p><p>The same sentence in each article.</p><p>Share this page on X</p><div class='q1'><p>Read our terms</p></div>"
+            "<p class='b7'>Subscribe to the newsletter</p><p>We share {i} ideas</p></article>")
+    pages = [SITE.format(i=i, body=body.format(i=i)) for i in range(8)]
+    got = extract([(i, f"https://seven.example/{i}", h) for i, h in enumerate(pages)])
+    assert all(t == f"Title {i}\nOwn {i}\nThe same sentence in each article.\nWe share {i} ideas" for i, (t, _) in got.items())
+    alone = [html.extracted(html.parsed(h), html.Template(0, None)) for h in pages]
+    assert all("Share this page on X" in t and "Read our terms" in t for t in alone)
+
+
+def test_ends_that_are_left_out(extract):
+    got = extract([(1, "https://a1/", "<html><head><title>t</title><body><article><p>Hello</p><p>there</article>"), (2, "https://a2/", "<head><meta charset=x><title>t<body><article><p>Hello"), (3, "https://a3/", "<html><head>Hello <b>there</b>"),
+                   (4, "https://a4/", "<article><p>Pick <select><option>one<option>two</p><p>Hello</p></article>"), (5, "https://a5/", "<article><p>Say<textarea>typed<p>Hello</article>"), (6, "https://a6/", "<title>t<p>Hello")])
+    assert [got[i][0] for i in range(1, 7)] == ["Hello\nthere", "Hello", "Hello there", "Pick\nHello", "Say\nHello", "Hello"]
+
+
+def test_nothing_else_is_dropped(extract):
+    got = extract([(1, "https://b1/", "<article><p>E=<math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds</p><p>a<script>x()</script>b<svg><text>s</text></svg>c</p><noscript><p>No script</p></noscript><p class='legal'>Legal</p><p class='warning'>Warned</p><p class='notice'>Noticed</p><object><p>Object</p></object></article>")])
+    assert got[1][0] == "E=mc2 holds\nabsc\nNo script\nLegal\nWarned\nNoticed\nObject"
+
+
+def test_deep_pages(extract):
+    import time
+
+    deep = "<article>" + "<div>" * 100_000 + "deep" + "</div>" * 50_000 + "<p>more" + "</article>"
+    began = time.time()
+    got = extract([(i, "https://deep/", deep) for i in range(3)] + [(9, "https://deep/", "<p>plain")])
+    assert got[0][0] == got[2][0] == "deep\nmore" and got[9][0] == "plain" and time.time() - began < 60
 
 
 def test_agrees_with_sql(spark, small, duck, same_rows):
