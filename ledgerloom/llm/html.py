@@ -18,6 +18,7 @@ its own words tell of sharing, subscribing and the like.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import xxhash
@@ -65,6 +66,15 @@ TELLING = set("share subscribe subscription newsletter advertisement advert spon
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+@lru_cache(1 << 16)
+def _says(step: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a step is an article or main element, whether it is called so, and whether it is no article inside of one and outside."""
+    name, marks = _marks(step)
+    frame, plain = name in ("article", "main"), name not in ("html", "body")
+    outer = name in DROPPED or plain and not frame and (bool(marks & (MARKS | OUTER_MARKS)) or name == "header")
+    return frame, frame or plain and "main" in marks, name in DROPPED, outer
+
+
 class Node:
     """An element's path: its last step and the path before it."""
 
@@ -74,13 +84,11 @@ class Node:
         self.step, self.parent = step, parent
         self.key = xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), parent.key & _MASK) - (1 << 63) if parent else 0
         self.depth = parent.depth + 1 if parent else 0
-        name, marks = _marks(step)
+        frame, main, inner, outer = _says(step)
         framed = parent is not None and parent.framed  # below an article or main element
-        plain = name not in ("html", "body")
-        outer = name in DROPPED or plain and name not in ("article", "main") and (bool(marks & (MARKS | OUTER_MARKS)) or name == "header")
-        self.dropped = parent is not None and (parent.dropped or (name in DROPPED if framed else outer))
-        self.framed = framed or name in ("article", "main")
-        self.inside = parent is not None and parent.inside or name in ("article", "main") or "main" in marks and plain
+        self.dropped = parent is not None and (parent.dropped or (inner if framed else outer))
+        self.framed = framed or frame
+        self.inside = parent is not None and parent.inside or main
         self.steps: dict[str, Node] = {}
         self.count = self.chars = self.links = 0
 
@@ -213,6 +221,7 @@ def _marks(step: str) -> tuple[str, set[str]]:
     return name, {w for m in marks for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower()) if w}
 
 
+@lru_cache(1 << 16)
 def suspicion(step: str) -> int:
     """What the classes, roles and ids of a step inside an article say: 3 no article, 2 none if the template repeats the slot, 1 none if the slot's texts are fixed or links, 0 nothing."""
     tag, *marks = step.split(".")
