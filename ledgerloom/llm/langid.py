@@ -6,7 +6,7 @@ its windows, weighted by their bytes. Fitted in numpy on a bounded sample of lab
 
 One more output stands for text in none of the languages. It learns from made-up windows: letters
 of other scripts, random bytes, and the sample's own windows with their letters shuffled. A document
-is foreign if that output's share of it is beyond what any document of the sample has.
+is foreign if that output's share of it is nine tenths, and beyond what any document of the sample has.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ WIDTHS = {2: 12, 3: 12, 4: 12}
 EACH, MOST_WINDOWS = 800, 12
 UNKNOWN = "und"
 #: Made-up windows for each window of the sample, and the least share of a document that may be called foreign.
-MADE_SHARE, LEAST_FOREIGN = 0.2, 0.5
+MADE_SHARE, LEAST_FOREIGN = 0.2, 0.9
 #: First and last code points of letters of other scripts, from the public code charts (fixed values).
 SCRIPTS = [(0x0391, 0x03C9), (0x0410, 0x044F), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 
