@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset sums over exact lengths.
 
 Documents are counted by source and exact length in words. A source's target is so many whole
-passes over it and a remaining budget. All but DP_WORDS of the budget is spread over the lengths
-in proportion, with seeded rounding; what is then open is filled by a bounded-knapsack dynamic
-program over the counts that are left. Which documents of a length are taken is decided by a
+passes over it and a remaining budget. All but the last words of the budget (DP_WORDS of them, or
+LONGEST times the longest document if that is more) are spread over the lengths in proportion, with
+seeded rounding; what is then open is filled by a bounded-knapsack dynamic program over the counts
+that are left, so a few long documents are fitted, too. Which documents of a length are taken is decided by a
 seeded hash of the whole row: documents come in the order of that hash, up to a cut. The cut of each
 source and length is found by counting, in slices, then in slices of the slice at the cut, then row
 by row there, so rows themselves are never ranked or sorted. Rows alike in all columns share their
@@ -28,8 +29,8 @@ SEED = 1234
 SLICES = 512
 #: Rows alike that one task makes at most.
 RUN = 4096
-#: Largest budget that the dynamic program fills.
-DP_WORDS = 1 << 16
+#: Budget that the dynamic program fills: so many words, or so many times the longest document, up to a bound of its memory (8 bytes a word).
+DP_WORDS, LONGEST, DP_MOST = 1 << 16, 4, 1 << 23
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
@@ -49,8 +50,8 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
 
 
 def subset(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take so that their sum comes as near below `budget` (0 to DP_WORDS) as can be."""
-    first = np.full(budget + 1, -1, np.int64)
+    """How many of each size to take so that their sum comes as near below `budget` (0 to DP_MOST) as can be."""
+    first = np.full(budget + 1, -1, np.int32)
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
     items = []
@@ -85,24 +86,27 @@ def picks(source, sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
-    take = np.minimum(counts, np.floor(counts * (max(0, budget - DP_WORDS) / total) + rng.random(len(sizes))).astype(np.int64))
+    window = min(DP_MOST, max(DP_WORDS, LONGEST * int(sizes.max())))
+    take = np.minimum(counts, np.floor(counts * (max(0, budget - window) / total) + rng.random(len(sizes))).astype(np.int64))
     left = budget - int((take * sizes).sum())
+    least = min(budget, window) // 2
     for i in order:  # the rounding took too much
-        if left >= 0:
+        if left >= least:
             break
-        k = min(int(take[i]), -(left // int(sizes[i])))
+        k = min(int(take[i]), -((left - least) // int(sizes[i])))
         take[i] -= k
         left += k * int(sizes[i])
     for i in order:  # or far too little
-        if left <= DP_WORDS:
+        if left <= window:
             break
-        k = min(int(counts[i] - take[i]), left // int(sizes[i]))
+        k = min(int(counts[i] - take[i]), (left - window) // int(sizes[i]) + 1, left // int(sizes[i]))
         take[i] += k
         left -= k * int(sizes[i])
-    if left > DP_WORDS:  # what is left over is longer than the budget
+    if left > window:  # each document left over is longer than the budget
         return take
     free = counts - take
     fits = order[(free[order] > 0) & (sizes[order] <= left)]
+    fits = fits[np.argsort(-(sizes[fits] // (DP_WORDS // LONGEST)), kind="stable")]  # long documents first, as few sums of others come near theirs
     take[fits] += subset(sizes[fits], free[fits], left)
     return take
 

@@ -117,6 +117,28 @@ def test_subset_sum_is_exact_where_it_can_be():
     assert (big * np.arange(1, 2000)).sum() == 30_000_017 and (big <= 50).all()
 
 
+@pytest.mark.parametrize("lengths, n", [((40_000, 90_000), 30), ((70_000, 200_000), 30), ((5_000, 20_000), 200)])
+def test_few_long_documents_meet_their_budget(lengths, n):
+    missed = []
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sizes, counts = np.unique(rng.integers(*lengths, n), return_counts=True)
+        budget = int(0.4 * (sizes * counts).sum())
+        took = mixing.picks(f"s{seed}", sizes, counts, budget)
+        assert (took >= 0).all() and (took <= counts).all()
+        missed.append(1 - (took * sizes).sum() / budget)
+    assert min(missed) >= 0 and max(missed) < 0.002 and sum(missed) / len(missed) < 0.0003
+
+
+def test_one_long_document_among_short_ones():
+    sizes = np.concatenate([np.arange(20, 1500), [1_000_000]])
+    counts = np.where(sizes < 1500, 20, 1)
+    for share in (0.1, 0.4, 0.9):
+        budget = int(share * (sizes * counts).sum())
+        took = mixing.picks("s", sizes, counts, budget)
+        assert (took >= 0).all() and (took <= counts).all() and (took * sizes).sum() == budget
+
+
 def test_mix(docs, real, odd):
     rows = [*real, *[(d, t, None, s) for (d, t), s in zip(odd, [None, "zz", ""] * 9, strict=False)]]
     got = mixing.mixed(docs(rows), ["doc_id", "text", "source"]).collect()
