@@ -187,3 +187,24 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, mixed by weights 1, 2, 3, repeating."""
     docs = table(spark, sf_dir, "documents")
     return mixed(docs, ["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the mix: sizes and targets, and that the words taken of a document are whole passes over it."""
+    found = op9_source_mix(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", "target", ((F.col("taken") <= MOST * F.col("size")) & (F.col("taken") % F.greatest(F.col("size"), F.lit(1)) == 0)).alias("whole"))
+
+
+#: Sources by how soon they are full: one is if its share of what the fuller ones leave is above its bound.
+MIX_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(size) OVER () AS whole, coalesce(sum(3 * size) OVER (ORDER BY size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (ORDER BY size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest FROM s),
+f AS (SELECT *, (whole - before) * w > 3 * size * w_rest AS capped FROM o),
+t AS (
+  SELECT source, CAST(size AS BIGINT) AS source_size, CASE WHEN capped THEN CAST(3 * size AS DOUBLE)
+    ELSE CAST((whole - sum(CASE WHEN capped THEN 3 * size ELSE 0 END) OVER ()) * w AS DOUBLE) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM f)
+SELECT doc_id, d.size, source_size, target, true AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

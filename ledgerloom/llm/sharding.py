@@ -98,3 +98,15 @@ def placed(docs: DataFrame, shards: int = 16) -> DataFrame:
 def op7_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table on 16 shards."""
     return placed(table(spark, sf_dir, "documents"), 16)
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the shards: how many rows each has, at how many places, and which one is its last."""
+    found = op7_consistent_sharding(spark, sf_dir)
+    return found.groupBy("law", "shard").agg(F.count("*").alias("rows"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last_slot"))
+
+
+SHARD_LAWS_SQL = """
+WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT CAST(i AS INT) AS shard, n // 16 + CAST(i < n % 16 AS INT) AS rows FROM n, unnest(range(0, 16)) AS u(i))
+SELECT 'rows' AS law, shard, CAST(rows AS BIGINT) AS rows, CAST(rows AS BIGINT) AS slots, CAST(rows - 1 AS BIGINT) AS last_slot FROM s WHERE rows > 0
+"""

@@ -179,3 +179,15 @@ def fingerprinted(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
     return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the fingerprints: lengths and the checksums of the edited texts."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_TEXTS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, length(t) // 2 AS half, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM t)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(left(t, length(t) - half) || left(following, half)) AS edited_sha256 FROM o
+"""
