@@ -24,11 +24,13 @@ def thinned(rows: DataFrame, label: str, each: int) -> tuple[DataFrame, dict]:
 
 
 def windowed(rows: DataFrame, label: str, length: int, stride: int, most: int) -> tuple[list[np.ndarray], list]:
-    """To the driver: of each row (doc_id, text, label) `most` evenly spaced windows at most, in a repeatable order."""
+    """To the driver: of each doc_id of the rows (doc_id, text, label) `most` evenly spaced windows at most, in a repeatable order. Of rows of one doc_id that with the smallest hash of its text counts, so an id on any share of the rows is one document of the sample."""
 
     def cut(texts):
         return [[np.ascontiguousarray(windows((t or "").encode("utf-8", "surrogatepass"), length, stride, most)).tobytes() for t in texts]]
 
-    rows = mapped(rows.select("doc_id", "text", F.col(label).alias("label")), ["doc_id", "label"], ["text"], {"cut": "binary"}, cut)
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col(label).alias("label"))).alias("first")
+    rows = rows.groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.label")
+    rows = mapped(rows, ["doc_id", "label"], ["text"], {"cut": "binary"}, cut)
     found = sorted((str(r["doc_id"]), bytes(r["cut"]), r["label"]) for r in rows.collect())
     return [np.frombuffer(x[1], np.uint8).reshape(-1, length) for x in found], [x[2] for x in found]

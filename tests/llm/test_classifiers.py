@@ -117,3 +117,16 @@ def test_sample_is_bounded(spark):
     some, counts = thinned(rows, "y", 500)
     assert sum(counts.values()) == 20_000 and all(380 < r["count"] < 620 for r in some.groupBy("y").count().collect())
     assert spark.range(10).select(F.col("id").alias("doc_id")).where(fold(5).isNull()).count() == 0
+
+
+def test_sample_of_an_id_on_many_rows(docs):
+    """Whatever share of the rows has one doc_id, the driver gets the windows of one of them."""
+    from ledgerloom.llm import sampling
+
+    rows = [(7, f"some text {i}", "en") for i in range(3000)] + [(7, "same", "en")] * 500 + [(i, "other text", "de") for i in range(100, 120)]
+    some, counts = sampling.thinned(docs(rows).select("doc_id", "text", "lang"), "lang", 5000)
+    assert counts == {"en": 3500, "de": 20} and some.count() == 3520
+    found, labels = sampling.windowed(some, "lang", 64, 64, 4)
+    assert len(found) == 21 and sorted(labels) == ["de"] * 20 + ["en"]
+    again, _ = sampling.windowed(some.repartition(5), "lang", 64, 64, 4)
+    assert all((x == y).all() for x, y in zip(found, again, strict=True))
