@@ -88,7 +88,7 @@ def within(windows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _filter(hashes: DataFrame):
-    """A test for hashes (one bigint column) by a literal bit array of bounded size: PROBES places of a hash must be set. Beyond FILTER_BITS_MOST / 16 hashes it lets more and more others pass, which the join after it takes out."""
+    """What makes a condition of a test for hashes (one bigint column) by a literal bit array of bounded size: PROBES places of a hash must be set. Beyond FILTER_BITS_MOST / 16 hashes it lets more and more others pass, which the join after it takes out. The condition holds the array once, as the driver keeps and sends each copy."""
     bits = min(FILTER_BITS_MOST, max(1 << 16, 1 << (hashes.count() * FILTER_BITS_EACH).bit_length()))
 
     def spots(h: Column) -> list[Column]:
@@ -100,15 +100,16 @@ def _filter(hashes: DataFrame):
     for r in words:
         values[r["w"]] = r["v"]
     table_ = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    bit = lambda b: F.call_function("getbit", F.get(table_, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+    bit = lambda t, b: F.call_function("getbit", F.get(t, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
 
-    def passes(h: Column) -> Column:
+    def passes(t: Column, h: Column) -> Column:
         out = F.lit(True)
         for b in spots(h):
-            out = out & bit(b)
+            out = out & bit(t, b)
         return out
 
-    return passes
+    # as a lambda's variable the array is one literal, however often it is probed
+    return lambda condition: F.get(F.transform(F.array(table_), lambda t: condition(lambda h: passes(t, h))), F.lit(0))
 
 
 def _starts(places: str, length: str, width: str, n_words: str) -> Column:
@@ -161,12 +162,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hit = _filter(known.select("hash").distinct())
     hashed = word_hashes(rows, "text").select("doc_id", F.xxhash64("text").alias("text_key"), F.size("w").alias("n_words"), F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _hashes("w", k).alias("hashes")) for k in widths])).alias("s"))
-    some = written(hashed.select("doc_id", "text_key", "n_words", "s.width", "s.hashes").where(F.exists("hashes", hit)), "some")
+    some = written(hashed.select("doc_id", "text_key", "n_words", "s.width", "s.hashes").where(hit(lambda passes: F.exists("hashes", passes))), "some")
     near = written(some.drop("doc_id").dropDuplicates(["text_key", "width"]), "near")  # one row a text
 
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     lengths = known.groupBy("hash", "width").agg(F.collect_set("length").alias("lengths"))  # sizes of items, not items
-    places = near.select("text_key", "n_words", "width", F.posexplode("hashes").alias("p", "hash")).where(hit(F.col("hash"))).withColumn("salt", F.col("p") % SALTS)
+    places = near.select("text_key", "n_words", "width", F.posexplode("hashes").alias("p", "hash")).where(hit(lambda passes: passes(F.col("hash")))).withColumn("salt", F.col("p") % SALTS)
     places = places.join(lengths.select("*", salt), ["hash", "width", "salt"]).select("text_key", "n_words", "width", "p", F.explode("lengths").alias("length"))
     starts = places.groupBy("text_key", "width", "length", "n_words").agg(F.array_sort(F.collect_list("p")).alias("places"))  # as many as the text has shingles
     starts = starts.select("text_key", "width", "length", _starts("places", "length", "width", "n_words").alias("at")).where(F.size("at") > 0)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam
 
@@ -104,3 +105,13 @@ def test_odd_rows(spark, docs, odd):
 
 def test_agrees_with_sql(spark, small, duck, same_rows):
     same_rows(decontam.op5_decontamination(spark, small), duck, decontam.OP5_SQL)
+
+
+def test_plans_hold_the_filter_once(spark):
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("hash"))
+    hit = decontam._filter(hashes)
+    rows = spark.range(1990, 2300).select("id", F.xxhash64("id").alias("hash"), F.array(F.xxhash64("id")).alias("hashes"))
+    some, one = rows.where(hit(lambda passes: F.exists("hashes", passes))), rows.where(hit(lambda passes: passes(F.col("hash"))))
+    assert set(range(1990, 2000)) <= {r["id"] for r in some.collect()} and sorted(some.collect()) == sorted(one.collect()) and some.count() < 30
+    for df in (some, one):  # 2048 words or more of up to 20 digits
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 2 * 22 * (1 << (2000 * decontam.FILTER_BITS_EACH).bit_length()) / 64

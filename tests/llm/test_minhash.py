@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from ledgerloom.llm import minhash
+from ledgerloom.llm import graph, minhash
 from ledgerloom.llm.common import shingle_sets, shingles, word_hashes
 from ledgerloom.llm.graph import components
 
@@ -161,3 +161,14 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r["component"] for r in components(chain).collect()} == {0}
     assert components(links.limit(0)).count() == 0
+
+
+def test_few_links_cost_few_jobs(spark, monkeypatch):
+    rng = random.Random(5)
+    links = spark.createDataFrame([*((i, i + 1) for i in range(200)), *((1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(300))], "a long, b long")
+    spark.sparkContext.setJobGroup("few-links", "few-links")
+    found = sorted(components(links).collect())
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8
+    monkeypatch.setattr(graph, "ONE_TASK", 0)  # the distributed steps
+    assert found == sorted(components(links).collect()) and len(found) > 400
