@@ -31,7 +31,7 @@ def mapped(df: DataFrame, keep: list[str], inputs: list[str], made: dict[str, st
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
 
 
-#: A key with more than one of HOT rows is dealt over SALTS tasks; there are HOT such keys at most.
+#: A key with more than one of HOT rows, and more than HOT rows, is dealt over SALTS tasks; there are HOT such keys at most.
 HOT, SALTS = 256, 64
 
 
@@ -41,9 +41,11 @@ def row_salt() -> Column:
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """left (a scan) left-joined with right (one row a key, a written table). A right side below spark.sql.autoBroadcastJoinThreshold is broadcast; else a key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt over SALTS tasks."""
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(sizes.where(F.col("n") * HOT > total).select(F.col(key), F.lit(True).alias("__hot")))  # HOT rows at most
+    """left (a scan) left-joined with right (one row a key, a written table). A right side below spark.sql.autoBroadcastJoinThreshold is broadcast; else a key may hold any share of left's rows: sizes (key, n) tells which are hot, and rows of those are dealt over SALTS tasks. Without any the plan is a plain join."""
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    if not total or most <= max(HOT, total // HOT):
+        return left.join(right, key, "left")
+    hot = F.broadcast(sizes.where((F.col("n") * HOT > total) & (F.col("n") > HOT)).select(F.col(key), F.lit(True).alias("__hot")))  # HOT rows at most
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
     a = left.withColumn("__row", row_salt()).join(hot, key, "left").withColumn("__salt", F.when(is_hot, F.col("__row")).otherwise(0)).drop("__hot", "__row")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -152,6 +152,7 @@ FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 
 def _full_sets(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(node, hashes) of nodes (node, set_key, row: the row that stands for the set). Texts (row, text) are picked by a broadcast filter of bounded size, so they are never shuffled; what it lets pass wrongly goes in the join. Of rows alike a task gives one."""
+    nodes = written(nodes, "nodes")
     n = nodes.count()
     size = min(FILTER_BITS_MOST, max(1 << 16, 1 << int(n * FILTER_BITS_EACH).bit_length()))
     at = mapped(nodes.select("row"), [], ["row"], {"bit": "long"}, lambda x: [(mix(np.array(x, np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)])

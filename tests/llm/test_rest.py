@@ -363,3 +363,14 @@ def test_bayes_against_counts():
     assert model.log_odds(["ham", "spam", "spam"]) == pytest.approx(math.log(0.25 / 0.75) + 2 * odd + both)
     # what was never seen with one verdict is not impossible
     assert all(math.isfinite(x) for x in urls.Bayes().odds.values())
+
+
+def test_spread_join_salts_hot_keys_only(spark):
+    from ledgerloom.llm import common
+
+    right = common.written(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    for hot in (0, 600):
+        left = common.written(spark.range(400).select((F.col("id") % 51).alias("k"), "id").union(spark.range(hot).select(F.lit(7).alias("k"), F.col("id") + 1000)), "left")
+        joined = common.spread_join(left, right, "k", left.groupBy("k").agg(F.count("*").alias("n")))
+        assert joined.columns == ["k", "id", "v"] and ("explode" in joined._jdf.queryExecution().optimizedPlan().toString()) == (hot > 0)
+        assert sorted((r["id"], r["k"], r["v"]) for r in joined.collect()) == sorted((r["id"], r["k"], r["k"] * 2 if r["k"] < 50 else None) for r in left.collect())
