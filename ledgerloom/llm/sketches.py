@@ -10,9 +10,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,20 @@ def stretched(docs: DataFrame, alike: DataFrame) -> DataFrame:
     return out.select(F.explode("places").alias("p"), "doc_id", "text", "h").select("p.*", "doc_id", "text", "h")
 
 
+#: Texts are unpacked up to about this many bytes at a time, however long those of a batch are.
+PART_BYTES = 1 << 22
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of PART_BYTES of text, or of a single row that is longer."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points gives way to as many of the beginning of the next text."""
     half = len(text) // 2
@@ -147,7 +163,7 @@ def fingerprinted(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
 
     def run(batches):
         held = []
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             got = held + list(zip(*(b.column(n).to_pylist() for n in ("stretch", "guest", "doc_id", "text", "h")), strict=True))
             held = got[-1:]
             own = [bottom(h, k) for h in shingle_sets([r[3] for r in got], width)]

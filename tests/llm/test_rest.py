@@ -374,3 +374,15 @@ def test_spread_join_salts_hot_keys_only(spark):
         joined = common.spread_join(left, right, "k", left.groupBy("k").agg(F.count("*").alias("n")))
         assert joined.columns == ["k", "id", "v"] and ("explode" in joined._jdf.queryExecution().optimizedPlan().toString()) == (hot > 0)
         assert sorted((r["id"], r["k"], r["v"]) for r in joined.collect()) == sorted((r["id"], r["k"], r["k"] * 2 if r["k"] < 50 else None) for r in left.collect())
+
+
+def test_texts_are_unpacked_in_parts(monkeypatch):
+    """However long the texts of a batch are, so many bytes at a time; no row is lost or out of order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sketches, "PART_BYTES", 10)
+    texts = ["", "abc", None, "é" * 3, "x" * 50, "y", "z" * 10, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skipped", *texts])], names=["text"]).slice(1)
+    found = [p.column("text").to_pylist() for p in sketches.parts(batch)]
+    assert sum(found, []) == texts and len(found) > 2
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in found)
