@@ -46,6 +46,7 @@ UNREAD_INLINE = UNREAD - {"head", "title"}
 #: What a head holds; anything else ends it.
 OF_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head html".split())
 OF_SELECT = set("option optgroup hr script template select".split())
+ENDS_NONE = INLINE | VOID
 DROPPED = set("nav footer aside form menu dialog fieldset".split())
 HOLDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -96,6 +97,21 @@ class Node:
 _MASK = (1 << 64) - 1
 
 
+def _step(tag: str, attrs) -> str:
+    """An element's name, classes, roles and ids."""
+    values = dict(attrs)
+    said = values.get("class") or "", values.get("role") or "", "hidden" in values, values.get("id") or ""
+    return (_named if len(said[0]) + len(said[1]) + len(said[3]) <= 256 else _named.__wrapped__)(tag, *said)  # long ones are not kept
+
+
+@lru_cache(1 << 16)
+def _named(tag: str, classes: str, role: str, hidden: bool, ids: str) -> str:
+    names = {*classes.split(), *role.split(), *(["hidden"] if hidden else [])}
+    plain = lambda m: re.sub("[./#]", "-", m)
+    marks = [plain(m) for m in sorted(names)] + [f"#{plain(m)}" for m in sorted({*ids.split()})]
+    return tag + "".join(f".{m}" for m in marks)
+
+
 class _Page(HTMLParser):
     """Blocks (node, text, characters in links) and element paths of one page."""
 
@@ -118,17 +134,23 @@ class _Page(HTMLParser):
         return self.stack[-1][1] if self.stack else self.root
 
     def flush(self) -> None:
+        if not self.parts:
+            self.links = 0
+            return
         text = " ".join("".join(self.parts).split())
         if text:
-            at = next((n for name, n in reversed(self.stack) if name not in UNREAD), self.root)
+            at = self.stack[-1][1] if self.stack and self.stack[-1][0] not in UNREAD else next((n for name, n in reversed(self.stack) if name not in UNREAD), self.root)
             links = min(self.links, len(text))
             self.blocks.append((at, text, links))
             at.chars += len(text)
             at.links += links
         self.parts, self.links = [], 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines are not counted
+
     def drop(self, at: int) -> None:
-        if any(name not in UNREAD_INLINE for name, _ in self.stack[at:]):
+        if self.stack[at][0] not in UNREAD_INLINE or any(name not in UNREAD_INLINE for name, _ in self.stack[at:]):
             self.flush()
             self.inline = 0
         for name, _ in self.stack[at:]:
@@ -137,18 +159,22 @@ class _Page(HTMLParser):
         del self.stack[at:]
 
     def last(self, name: str) -> int:
-        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name)
+        at = len(self.stack) - 1
+        while self.stack[at][0] != name:
+            at -= 1
+        return at
 
     def implied(self, tag: str) -> None:
         """Ends what a start tag ends."""
-        if self.open.get("title") and tag != "title":
+        is_open = self.open.get
+        if is_open("title") and tag != "title":
             self.drop(self.last("title"))
-        if self.open.get("head") and tag not in OF_HEAD:
+        if is_open("head") and tag not in OF_HEAD:
             self.drop(self.last("head"))
-        if tag not in INLINE and tag not in VOID:
-            if self.open.get("select") and tag not in OF_SELECT:
+        if tag not in ENDS_NONE:
+            if is_open("select") and tag not in OF_SELECT:
                 self.drop(self.last("select"))
-            if self.open.get("textarea"):
+            if is_open("textarea"):
                 self.drop(self.last("textarea"))
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -161,7 +187,7 @@ class _Page(HTMLParser):
         shown = tag not in UNREAD_INLINE
         if shown:
             self.flush()
-            if tag not in VOID and any(self.open.get(x) for x in ("p", *HOLDS.get(tag, ()))):
+            if tag not in VOID and (self.open.get("p") or tag in HOLDS and any(self.open.get(x) for x in HOLDS[tag])):
                 for i in range(len(self.stack) - 1, -1, -1):
                     name = self.stack[i][0]
                     if name == "p" or name in HOLDS.get(tag, ()):
@@ -171,11 +197,7 @@ class _Page(HTMLParser):
                         break
         elif tag in ("option", "optgroup") and self.stack and self.stack[-1][0] == "option":
             self.drop(len(self.stack) - 1)
-        values = dict(attrs)
-        names = {*(values.get("class") or "").split(), *(values.get("role") or "").split(), *(["hidden"] if "hidden" in values else [])}
-        plain = lambda m: re.sub("[./#]", "-", m)
-        marks = [plain(m) for m in sorted(names)] + [f"#{plain(m)}" for m in sorted({*(values.get("id") or "").split()})]
-        step, around = tag + "".join(f".{m}" for m in marks), self.node()
+        step, around = _step(tag, attrs) if attrs else tag, self.node()
         node = around.steps.get(step)
         if node is None:
             node = around.steps[step] = Node(step, around)
@@ -188,7 +210,7 @@ class _Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID | INLINE:
+        if tag not in ENDS_NONE:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:

@@ -111,3 +111,11 @@ def test_deep_pages(extract):
 
 def test_agrees_with_sql(spark, small, duck, same_rows):
     same_rows(html.op3_html_extraction(spark, small), duck, html.OP3_SQL)
+
+
+def test_names_of_elements_are_made_once():
+    """Elements written alike share one name; very long names are not kept. Lines are not counted."""
+    html._named.cache_clear()
+    page = html.parsed("<div class='b a' id=q.r role=nav>x\n</div>" * 50 + f"<div class='{'k' * 1000}'>y</div>")
+    assert (html._named.cache_info().misses, html._named.cache_info().hits) == (1, 49) and page.getpos()[0] == 1
+    assert [n.step for n in page.nodes[1:]] == ["div.a.b.nav.#q-r", "div." + "k" * 1000]
